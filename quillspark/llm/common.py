@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six white-space bytes of the contracts: space, tab, LF, VT, FF, CR.
@@ -34,3 +36,17 @@ def power_at_least(base: int, least: int) -> int:
     while out < least:
         out *= base
     return out
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once for each context, for the operators that run Python there."""
+    context = spark.sparkContext
+    if getattr(context, "_sent_package", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="source-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._sent_package = True

@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, mixing, sharding
+from quillspark.llm import exact_dedup, mixing, perplexity, pieces, sharding
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """The file of a public tokenizer, on every machine that has the tokenizers package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
+    return pieces.encode_digest(_read(spark, root, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+def op8_quality(spark: SparkSession, root: str) -> DataFrame:
+    trusted = _read(spark, root, "labels").filter("quality = 1").select("doc_id")
+    judged = perplexity.judge(_read(spark, root, "documents").select("doc_id", "text", "lang"), trusted)
+    return judged.select("doc_id", "lang", F.col("__bits").alias("bits"), F.col("__low").alias("low"), F.col("__high").alias("high"), F.col("__kept").alias("kept"))
+
+
 def op7_sharding(spark: SparkSession, root: str) -> DataFrame:
     plan = sharding.plan_shards(_read(spark, root, "documents"), shards=16)
     return plan.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -28,7 +45,7 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
+    return {"op3_sentencepiece": op3_sentencepiece, "op8_quality": op8_quality, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
 
 
 _OP9 = r"""
@@ -40,11 +57,11 @@ dealt AS (SELECT *, h % (SELECT greatest(1, (count(*) + 511) // 512) FROM rows)
 sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY ALL),
 weighed AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS w,
   source_size * 2 AS cap, (SELECT sum(size) FROM rows) * 1.5::DOUBLE AS budget FROM sized),
-levels AS (SELECT l.lambda FROM (
+levels AS (SELECT l.lvl FROM (
   SELECT (a.budget - coalesce((SELECT sum(b.cap) FROM weighed b WHERE b.cap::DOUBLE / b.w < a.cap::DOUBLE / a.w), 0))
-    / (SELECT sum(b.w) FROM weighed b WHERE b.cap::DOUBLE / b.w >= a.cap::DOUBLE / a.w) AS lambda, a.cap::DOUBLE / a.w AS ratio
-  FROM weighed a) l WHERE l.lambda <= l.ratio ORDER BY l.ratio LIMIT 1),
-fair AS (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT lambda FROM levels)) AS target FROM weighed),
+    / (SELECT sum(b.w) FROM weighed b WHERE b.cap::DOUBLE / b.w >= a.cap::DOUBLE / a.w) AS lvl, a.cap::DOUBLE / a.w AS ratio
+  FROM weighed a) l WHERE l.lvl <= l.ratio ORDER BY l.ratio LIMIT 1),
+fair AS (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT lvl FROM levels)) AS target FROM weighed),
 stepped AS (SELECT *, least(floor(coalesce(target / nullif(source_size, 0), 0) * 16777216)::BIGINT, 33554432) AS step FROM fair),
 along AS (SELECT d.*, s.source_size, s.target, s.step, row_number() OVER (PARTITION BY d.source ORDER BY bucket,
     CASE WHEN bucket % 2 = 0 THEN size ELSE -size END, h, doc_id) AS nth
