@@ -33,6 +33,9 @@ BITS = 6
 PRIOR = 200
 #: Kept between these quantiles of the trusted documents' perplexity.
 LOW, HIGH = 0.0005, 0.998
+#: The bounds lie beyond the quantiles by this share of the quantiles' distance from the median: trusted documents are
+#: part of what the model was trained on and score a little better than others as good.
+MARGIN = 0.5
 #: Symbols counted at once by a task; bounds its memory.
 CHUNK = 4_000_000
 
@@ -204,7 +207,7 @@ def sum_bits(shared: _Shared):
 def judge(
     docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", low: float = LOW, high: float = HIGH
 ) -> DataFrame:
-    """The documents with __bits (drawn perplexity, bits a symbol), __low, __high (its language's quantiles), __kept.
+    """The documents with __bits (drawn perplexity, bits a symbol), __low, __high (bounds of its language), __kept.
 
     ``trusted_ids`` has one column: ids of trusted documents.
     """
@@ -221,7 +224,7 @@ def judge(
     means = cut(known.groupBy("lang").agg(mean.alias("m")))
     overall = known.agg(mean.alias("m"))
     drawn = lambda m: (F.col("bits") + PRIOR * m) / (F.col("symbols") + PRIOR)
-    quantiles = F.percentile_approx("d", [low, high], 20_000).alias("q")
+    quantiles = F.percentile_approx("d", [low, 0.5, high], 20_000).alias("q")
     per = known.join(means, "lang").withColumn("d", drawn(F.col("m"))).groupBy("lang").agg(quantiles, F.first("m").alias("m"))
     every = known.crossJoin(F.broadcast(overall)).withColumn("d", drawn(F.col("m"))).agg(quantiles, F.first("m").alias("m"))
     every = every.select(F.col("q").alias("__q_all"), F.col("m").alias("__m_all"))  # one row
@@ -230,6 +233,7 @@ def judge(
     joined = scored.join(per, F.col("__of") == F.col("__lang"), "left").crossJoin(F.broadcast(every))
     m, q = F.coalesce("__m", "__m_all"), F.coalesce("__q", "__q_all")
     bits = F.when(F.col("__s.symbols") <= 1, m).otherwise((F.col("__s.bits") + PRIOR * m) / (F.col("__s.symbols") + PRIOR))
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], bits.alias("__bits"), q[0].alias("__low"), q[1].alias("__high"))
+    beyond = lambda edge: edge + MARGIN * (edge - q[1])
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], bits.alias("__bits"), beyond(q[0]).alias("__low"), beyond(q[2]).alias("__high"))
     empty = F.length(whole) == 0
     return out.withColumn("__kept", empty | F.coalesce(F.col("__bits").between(F.col("__low"), F.col("__high")), F.lit(True)))
