@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, mixing, perplexity, pieces, sharding
+from quillspark.llm import exact_dedup, mixing, perplexity, pieces, sharding, toxicity
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    scored = toxicity.run(_read(spark, root, "documents"), _read(spark, root, "labels"))
+    held_out = toxicity.fold(F.col("id")) == 0
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_exact", "n_stem", "n_misspelled", "n_quoted")
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     """The file of a public tokenizer, on every machine that has the tokenizers package."""
     import public_tokenizers
@@ -45,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_sentencepiece": op3_sentencepiece, "op8_quality": op8_quality, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op3_sentencepiece": op3_sentencepiece, "op8_quality": op8_quality, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
 
 
 _OP9 = r"""
