@@ -235,9 +235,18 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-def _rows(frames: Iterator[pd.DataFrame], path: str, digest: bool) -> Iterator[pd.DataFrame]:
+#: Columns of each form of result.
+FORMS = {
+    "spans": "ids array<int>, begins array<int>, ends array<int>, decoded string",
+    "ids": "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string",
+    "digest": "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, aligned boolean",
+}
+
+
+def _rows(frames: Iterator[pd.DataFrame], path: str, form: str) -> Iterator[pd.DataFrame]:
     model = load(path)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    names = ["id", *(x.split()[0] for x in FORMS[form].split(", "))]
     for frame in frames:
         for start in range(0, len(frame), BATCH):
             part = frame.iloc[start : start + BATCH]
@@ -245,26 +254,33 @@ def _rows(frames: Iterator[pd.DataFrame], path: str, digest: bool) -> Iterator[p
             texts = part["text"].tolist()
             for key, text, (joined, ids, begins, ends) in zip(part["id"], texts, model.encode(texts), strict=True):
                 decoded = model.decode(ids)
-                if digest:
+                if form == "spans":
+                    out.append((key, ids, begins.astype(np.int32), ends.astype(np.int32), decoded))
+                elif form == "ids":
+                    out.append((key, len(ids), ids, sha(joined), sha(decoded)))
+                else:
                     size = len(text.encode())
                     aligned = len(ids) == 0 or bool(begins[0] == 0 and ends[-1] == size and (begins[1:] <= ends[:-1]).all())
                     out.append((key, len(ids), sha(joined), sha(decoded), size, aligned))
-                else:
-                    out.append((key, ids.tolist(), begins.tolist(), ends.tolist(), decoded))
-            yield pd.DataFrame(out, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "aligned"] if digest else ["id", "ids", "begins", "ends", "decoded"])
+            yield pd.DataFrame(out, columns=names)
 
 
-def _apply(docs: DataFrame, model_path: str, id_col: str, text_col: str, digest: bool, schema: str) -> DataFrame:
+def _apply(docs: DataFrame, model_path: str, id_col: str, text_col: str, form: str) -> DataFrame:
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return slim.mapInPandas(lambda frames: _rows(frames, model_path, digest), f"id {slim.schema['id'].dataType.simpleString()}, {schema}")
+    return slim.mapInPandas(lambda frames: _rows(frames, model_path, form), f"id {slim.schema['id'].dataType.simpleString()}, {FORMS[form]}")
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids, begins, ends (original UTF-8 bytes of each piece) and decoded text of every document."""
-    return _apply(docs, model_path, id_col, text_col, False, "ids array<int>, begins array<int>, ends array<int>, decoded string")
+    return _apply(docs, model_path, id_col, text_col, "spans")
+
+
+def encode_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, ids, ids_sha256 and decoded_sha256 of every document."""
+    return _apply(docs, model_path, id_col, text_col, "ids")
 
 
 def encode_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same encoding as digests: n_tokens, ids_sha256, decoded_sha256, n_bytes, aligned (the spans cover all bytes in order)."""
-    return _apply(docs, model_path, id_col, text_col, True, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, aligned boolean")
+    return _apply(docs, model_path, id_col, text_col, "digest")
