@@ -213,13 +213,14 @@ def judge(
     """
     ship(docs.sparkSession)
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted")).distinct()
-    trusted = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("__trusted"), "left_semi")
+    trusted = docs.select(id_col, text_col).join(ids.hint("merge"), F.col(id_col) == F.col("__trusted")).select(text_col)
     levels = train(trusted, text_col)
     shared = share(docs.sparkSession, levels)
     score = sum_bits(shared)
     whole = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), score(whole).alias("s"))
-    known = cut(slim.join(ids, F.col("id") == F.col("__trusted"), "left_semi").select("lang", "s.bits", "s.symbols"))
+    # An inner join stays above the scores; a semi-join would be pushed below them and shuffle the texts again.
+    known = cut(slim.join(ids, F.col("id") == F.col("__trusted")).select("lang", "s.bits", "s.symbols"))
     mean = F.coalesce(F.sum("bits") / F.sum("symbols"), F.lit(0.0))
     means = cut(known.groupBy("lang").agg(mean.alias("m")))
     overall = known.agg(mean.alias("m"))
