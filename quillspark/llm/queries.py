@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, jaccard_join, mixing, perplexity, pieces, sharding, toxicity
+from quillspark.llm import exact_dedup, jaccard_join, knn, mixing, perplexity, pieces, pii, sharding, toxicity
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op4_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return jaccard_join.find(_read(spark, root, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_knn(spark: SparkSession, root: str) -> DataFrame:
+    return knn.nearest(_read(spark, root, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_pii(spark: SparkSession, root: str) -> DataFrame:
+    return pii.find(_read(spark, root, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_quality(spark: SparkSession, root: str) -> DataFrame:
     trusted = _read(spark, root, "labels").filter("quality = 1").select("doc_id")
     judged = perplexity.judge(_read(spark, root, "documents").select("doc_id", "text", "lang"), trusted)
@@ -55,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_jaccard": op4_jaccard, "op8_quality": op8_quality, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_jaccard": op4_jaccard, "op5_knn": op5_knn, "op6_pii": op6_pii, "op8_quality": op8_quality, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
 
 
 _OP9 = r"""
