@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, jaccard_join, knn, mixing, perplexity, pieces, pii, sharding, toxicity
+from quillspark.llm import exact_dedup, jaccard_join, knn, mixing, perplexity, pieces, pii, sharding, suffixes, toxicity
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_exact", "n_stem", "n_misspelled", "n_quoted")
 
 
+def op2_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    found = suffixes.find(_read(spark, root, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "first_word", "last_word", (F.col("last_word") - F.col("first_word")).alias("n_words"), F.col("other_id").alias("other_doc_id"))
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     """The file of a public tokenizer, on every machine that has the tokenizers package."""
     import public_tokenizers
@@ -63,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_jaccard": op4_jaccard, "op5_knn": op5_knn, "op6_pii": op6_pii, "op8_quality": op8_quality, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_jaccard": op4_jaccard, "op5_knn": op5_knn, "op6_pii": op6_pii, "op8_quality": op8_quality, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
 
 
 _OP9 = r"""
