@@ -32,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle and checkpoint files of results that no one holds any more.
+
+    Its cleaner waits for the driver's garbage collector, which may not run for long while disks fill.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

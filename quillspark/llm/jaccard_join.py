@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, ship
+from quillspark.llm.common import cut, release, ship
 from quillspark.llm.components import components
 from quillspark.llm.shingles import batches, mix, shingle_sets
 
 #: Similarity, as a fraction.
 OF, PER = 75, 100
 #: Part of a set by which its prefix is extended.
-EXTEND = 0.15
+EXTEND = 0.10
 #: Classes with a token up to which it is indexed singly.
 RARE = 64
 #: Tokens of a block of documents that are counted together, and of a hash range.
@@ -77,18 +77,8 @@ def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": ids, "n": [x[0] for x in sums], "s1": [x[1] for x in sums], "s2": [x[2] for x in sums]})
 
 
-def _prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for ids, sets in _texts(frames):
-        out = []
-        for key, s in zip(ids, sets, strict=True):
-            if len(s):
-                sums = (len(s), int(_signed(mix(s).sum(dtype=np.uint64, keepdims=True))[0]), int(_signed(mix(~s).sum(dtype=np.uint64, keepdims=True))[0]))
-                out.append((key, *sums, s[: int(spare(len(s)) + extension(band_of(len(s))))].tobytes()))
-        yield pd.DataFrame(out, columns=["id", "n", "s1", "s2", "tokens"])
-
-
 def _blocks(parts: int):
-    """Split the prefixes of a block of documents by hash range; a row for the block itself has part -1."""
+    """Split the extended prefixes of a block of documents by hash range; a row for the block itself has part -1."""
 
     def flush(block: int, ids: list, ns: list, tokens: list) -> pd.DataFrame:
         every = np.concatenate(tokens)
@@ -96,20 +86,21 @@ def _blocks(parts: int):
         rest = ((every >> np.uint64(parts.bit_length() - 1)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         order = np.argsort(place, kind="stable")
         edges = np.searchsorted(place[order], np.arange(parts + 1))
-        at, rest = order.astype(np.uint32), rest[order]
+        rest = rest[order]
         rows = [(block, -1, np.array(ids, np.int64).tobytes(), np.array(ns, np.int64).tobytes())]
-        rows += [(block, p, at[a:b].tobytes(), rest[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        rows += [(block, p, _steps(order[a:b]), rest[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
         return pd.DataFrame(rows, columns=["block", "part", "x", "y"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = TaskContext.get().partitionId() << 32
         ids, ns, tokens, size = [], [], [], 0
-        for frame in frames:
-            for key, n, blob in zip(frame["id"], frame["n"], frame["tokens"], strict=True):
-                ids.append(key)
-                ns.append(n)
-                tokens.append(np.frombuffer(blob, np.uint64))
-                size += len(tokens[-1])
+        for keys, sets in _texts(frames):
+            for key, s in zip(keys, sets, strict=True):
+                if len(s):
+                    ids.append(key)
+                    ns.append(len(s))
+                    tokens.append(s[: int(spare(len(s)) + extension(band_of(len(s))))])
+                    size += len(tokens[-1])
                 if size >= BLOCK_TOKENS:
                     yield flush(block, ids, ns, tokens)
                     block, ids, ns, tokens, size = block + 1, [], [], [], 0
@@ -119,14 +110,31 @@ def _blocks(parts: int):
     return run
 
 
+def _steps(at: np.ndarray) -> bytes:
+    """Ascending positions as 16-bit steps; a step beyond that is led by as many full ones as it needs."""
+    steps = np.diff(at, prepend=0)
+    full = steps // 65535
+    if not full.any():
+        return steps.astype(np.uint16).tobytes()
+    out = np.full(len(steps) + int(full.sum()), 65535, np.uint16)
+    out[np.cumsum(full + 1) - 1] = steps % 65535
+    return out.tobytes()
+
+
+def _positions(blob: bytes) -> np.ndarray:
+    steps = np.frombuffer(blob, np.uint16).astype(np.int64)
+    at = np.cumsum(steps)
+    return at[steps != 65535] if (steps == 65535).any() else at
+
+
 def _classes(parts: int):
     """Of one hash range: the frequency class of every token that more than one prefix holds, for each block."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         part = int(frame["part"].iloc[0])
-        sizes = [len(x) // 4 for x in frame["x"]]
+        sizes = [len(y) // 4 for y in frame["y"]]
         rest = np.frombuffer(b"".join(frame["y"]), np.uint32)
-        at = np.frombuffer(b"".join(frame["x"]), np.uint32)
+        at = np.concatenate([_positions(x) for x in frame["x"]])
         _, inverse, counts = np.unique(rest, return_inverse=True, return_counts=True)
         count = counts[inverse]
         level = band_of(count).astype(np.uint64)
@@ -137,7 +145,7 @@ def _classes(parts: int):
         for block, n in zip(frame["block"], sizes, strict=True):
             keep = count[a : a + n] > 1
             if keep.any():
-                rows.append((block, 0, at[a : a + n][keep].tobytes(), token[a : a + n][keep].tobytes()))
+                rows.append((block, 0, _steps(at[a : a + n][keep]), token[a : a + n][keep].tobytes()))
             a += n
         return pd.DataFrame(rows, columns=["block", "part", "x", "y"])
 
@@ -180,21 +188,23 @@ def _entries_of(tokens: np.ndarray, ranks: np.ndarray, n: int) -> list[np.ndarra
 
 
 def _entries(frame: pd.DataFrame) -> pd.DataFrame:
-    """Index entries (key, id, n) of the documents of one block."""
-    own = frame["part"] == -1
+    """Index entries (key, id, n) of the representatives of one block."""
+    own, named, back = (frame["part"] == -1), (frame["part"] == -2), (frame["part"] >= 0)
+    stands = np.frombuffer(b"".join(frame.loc[named, "x"]), np.int64)
     ids = np.frombuffer(frame.loc[own, "x"].iloc[0], np.int64)
     ns = np.frombuffer(frame.loc[own, "y"].iloc[0], np.int64)
     sizes = spare(ns) + extension(band_of(ns))
     sizes = np.minimum(sizes, ns)
     starts = np.cumsum(sizes) - sizes
-    at = np.frombuffer(b"".join(frame.loc[~own, "x"]), np.uint32).astype(np.int64)
-    tokens = np.frombuffer(b"".join(frame.loc[~own, "y"]), np.uint64)
+    at = np.concatenate([np.zeros(0, np.int64), *[_positions(x) for x in frame.loc[back, "x"]]])
+    tokens = np.frombuffer(b"".join(frame.loc[back, "y"]), np.uint64)
     order = np.argsort(at, kind="stable")
     at, tokens = at[order], tokens[order]
     edges = np.searchsorted(at, np.append(starts, starts[-1] + sizes[-1]))
     keys, who = [], []
+    chosen = np.isin(ids, stands)
     for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if b > a:
+        if b > a and chosen[i]:
             for k in _entries_of(tokens[a:b], at[a:b] - starts[i], int(ns[i])):
                 keys.append(k)
                 who.append(np.full(len(k), i))
@@ -203,6 +213,18 @@ def _entries(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": _signed(every), "id": ids[of], "n": ns[of]})
 
 
+def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The documents of each block."""
+    for frame in frames:
+        for block, x in zip(frame["block"], frame["x"], strict=True):
+            yield pd.DataFrame({"block": block, "id": np.frombuffer(x, np.int64)})
+
+
+def _named(frame: pd.DataFrame) -> pd.DataFrame:
+    """The representatives of one block as one row."""
+    return pd.DataFrame({"block": frame["block"].iloc[:1], "part": [-2], "x": [frame["id"].to_numpy(np.int64).tobytes()], "y": [b""]})
+
+
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for ids, sets in _texts(frames):
         yield pd.DataFrame({"id": ids, "tokens": [_signed(s) for s in sets]})
@@ -227,26 +249,28 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = cut(slim.mapInPandas(_summaries, "id long, n int, s1 long, s2 long"))
     classes = cut(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-    # Representatives with their extended prefixes: one set of tokens stands for all of its class.
-    prefixes = slim.mapInPandas(_prefixes, "id long, n int, s1 long, s2 long, tokens binary")
-    reps = prefixes.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens")).select("id", "n", "tokens")
-    reps = cut(reps)
-    total = reps.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0))).first()[0] // 8
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0] * (PER - OF + EXTEND * PER) // PER
     parts = 1
     while parts * RANGE_TOKENS < total:
         parts *= 2
     layout = "block long, part int, x binary, y binary"
-    sent = cut(reps.mapInPandas(_blocks(parts), layout))
+    sent = cut(slim.mapInPandas(_blocks(parts), layout))
     back = sent.filter("part >= 0").groupBy("part").applyInPandas(_classes(parts), layout)
-    entries = sent.filter("part = -1").union(back).groupBy("block").applyInPandas(_entries, "key long, id long, n int")
+    # One member of a class, its representative, is indexed for all.
+    listed = sent.filter("part = -1").mapInPandas(_members, "block long, id long").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    named = listed.groupBy("block").applyInPandas(_named, layout)
+    entries = sent.filter("part = -1").union(back).union(named).groupBy("block").applyInPandas(_entries, "key long, id long, n int")
     entries = cut(entries)
+    del sent, back, listed, named
+    release(docs.sparkSession)
     hub = F.min(F.struct("id", "n")).over(Window.partitionBy("key"))
     near = entries.withColumn("hub", hub).filter("hub.id != id").filter(_fit("n", "hub.n")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     near = cut(near)
     # Sets of all that share an entry with another; nobody else can have a link.
     crowd = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     ids = entries.join(crowd, "key", "left_semi").select("id").distinct()
-    sets = cut(slim.join(ids, "id", "left_semi").mapInPandas(_sets, "id long, tokens array<long>").dropDuplicates(["id"]))
+    sets = cut(slim.join(ids, "id", "left_semi").mapInPandas(_sets, "id long, tokens array<long>"))
+    release(docs.sparkSession)
     links = cut(_verified(near, sets))
     first = components(links)
     labelled = entries.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
