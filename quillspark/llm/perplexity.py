@@ -33,9 +33,10 @@ BITS = 6
 PRIOR = 200
 #: Kept between these quantiles of the trusted documents' perplexity.
 LOW, HIGH = 0.0005, 0.998
-#: The bounds lie beyond the quantiles by this share of the quantiles' distance from the median: trusted documents are
-#: part of what the model was trained on and score a little better than others as good.
+#: The bounds lie beyond the quantiles by this share of the quantiles' distance from the median.
 MARGIN = 0.5
+#: One trusted document in so many isn't counted; by how much the others score better, having been, is added to them.
+HELD_OUT = 10
 #: Symbols counted at once by a task; bounds its memory.
 CHUNK = 4_000_000
 
@@ -213,23 +214,28 @@ def judge(
     """
     ship(docs.sparkSession)
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted")).distinct()
-    trusted = docs.select(id_col, text_col).join(ids.hint("merge"), F.col(id_col) == F.col("__trusted")).select(text_col)
-    levels = train(trusted, text_col)
+    trusted = docs.select(id_col, text_col).join(ids.hint("merge"), F.col(id_col) == F.col("__trusted"))
+    held = lambda key: F.pmod(F.xxhash64(F.lit("held"), key), F.lit(HELD_OUT)) == 0
+    levels = train(trusted.filter(~held(F.col(id_col))).select(text_col), text_col)
     shared = share(docs.sparkSession, levels)
     score = sum_bits(shared)
     whole = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), score(whole).alias("s"))
     # An inner join stays above the scores; a semi-join would be pushed below them and shuffle the texts again.
-    known = cut(slim.join(ids, F.col("id") == F.col("__trusted")).select("lang", "s.bits", "s.symbols"))
-    mean = F.coalesce(F.sum("bits") / F.sum("symbols"), F.lit(0.0))
-    means = cut(known.groupBy("lang").agg(mean.alias("m")))
-    overall = known.agg(mean.alias("m"))
+    known = slim.join(ids, F.col("id") == F.col("__trusted")).select("lang", "s.bits", "s.symbols", held(F.col("id")).alias("held"))
+    known = cut(known)
+    of = lambda which: F.sum(F.when(which, F.col("bits"))) / F.sum(F.when(which, F.col("symbols")))
+    m_in, m_out = of(~F.col("held")), of(F.col("held"))
+    overall = known.agg(F.coalesce(m_in, m_out, F.lit(0.0)).alias("__m_all"), F.greatest(F.coalesce(m_out - m_in, F.lit(0.0)), F.lit(0.0)).alias("__gap_all"))
+    known = known.crossJoin(F.broadcast(overall))  # one row
+    means = known.groupBy("lang").agg(F.coalesce(m_in, m_out).alias("m"), F.greatest(F.coalesce(m_out - m_in, F.first("__gap_all")), F.lit(0.0)).alias("gap"))
     drawn = lambda m: (F.col("bits") + PRIOR * m) / (F.col("symbols") + PRIOR)
+    fair = lambda m, gap: drawn(m) + F.when(F.col("held"), F.lit(0.0)).otherwise(gap)
     quantiles = F.percentile_approx("d", [low, 0.5, high], 20_000).alias("q")
-    per = known.join(means, "lang").withColumn("d", drawn(F.col("m"))).groupBy("lang").agg(quantiles, F.first("m").alias("m"))
-    every = known.crossJoin(F.broadcast(overall)).withColumn("d", drawn(F.col("m"))).agg(quantiles, F.first("m").alias("m"))
-    every = every.select(F.col("q").alias("__q_all"), F.col("m").alias("__m_all"))  # one row
-    per = per.select(F.col("lang").alias("__lang"), F.col("q").alias("__q"), F.col("m").alias("__m"))
+    per = known.join(means, "lang").withColumn("d", fair(F.col("m"), F.col("gap"))).groupBy("lang").agg(quantiles, F.first(F.col("m") + F.col("gap")).alias("m"))
+    every = known.withColumn("d", fair(F.col("__m_all"), F.col("__gap_all"))).agg(quantiles, F.first(F.col("__m_all") + F.col("__gap_all")).alias("m"))
+    every = cut(every.select(F.col("q").alias("__q_all"), F.col("m").alias("__m_all")))  # one row
+    per = cut(per.select(F.col("lang").alias("__lang"), F.col("q").alias("__q"), F.col("m").alias("__m")))
     scored = docs.withColumn("__s", score(whole)).withColumn("__of", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
     joined = scored.join(per, F.col("__of") == F.col("__lang"), "left").crossJoin(F.broadcast(every))
     m, q = F.coalesce("__m", "__m_all"), F.coalesce("__q", "__q_all")

@@ -49,6 +49,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 EXACT, STEM, FUZZY, FUZZY_SHORT, FUZZY_STEM = range(1, 6)
 KINDS = 5
 LONG_TERM = 7
+#: Half the log-likelihood ratio that a term needs; chance alone reaches it once in some 100,000 word beginnings.
+LEAST_G = 10.0
 
 
 class Automaton:
@@ -238,7 +240,7 @@ def learn_terms(sample: DataFrame, text_col: str, toxic_col: str) -> list[tuple[
     share = (a + b) / (n1 + n0)
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g = term(a, share * n1) + term(b, share * n0) + term(n1 - a, (1 - share) * n1) + term(n0 - b, (1 - share) * n0)
-    best = found.withColumn("g", g).orderBy(F.round("g", 6).desc(), F.length("w").desc(), "w").limit(40 * MAX_TERMS).toPandas()
+    best = found.withColumn("g", g).filter(F.col("g") >= LEAST_G).orderBy(F.round("g", 6).desc(), F.length("w").desc(), "w").limit(40 * MAX_TERMS).toPandas()
     out: list[tuple[str, bool]] = []
     for w, whole, part in zip(best["w"], best["whole"], best["part"], strict=True):
         if len(out) < MAX_TERMS and not any(w.startswith(x) or x.startswith(w) for x, _ in out):
