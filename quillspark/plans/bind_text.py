@@ -36,7 +36,7 @@ _simple(
     lambda c: T.doc_summary(F.col("source"), c),
 )
 _simple("str_query_terms", r"array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{4e00}-\x{9fff}]+'), ' ')", lambda c: F.array_join(T.query_terms(c), " "), "benchmark", "item_id")
-_simple("str_match_norm", r"regexp_replace(lower(" + _STRIP("text") + r"), '[\s\x{3000}；;，,。、“”""''（）()【】\[\]：:、\\/_-]+', '', 'g')".replace('""', '"'), T.match_norm)
+_simple("str_match_norm", r"regexp_replace(lower(" + _STRIP("text") + r'''), '[\s\x{3000}；;，,。、“”"''（）()【】\[\]：:、\\/_-]+', '', 'g')''', T.match_norm)
 _simple("str_safe_name", "left(regexp_replace(text, '[^0-9A-Za-z._-]+', '_', 'g'), 80)", T.safe_name)
 _simple("str_chunk_hard", f"array_to_string(list_filter(list_transform(range(1, greatest(length({_STRIP('text')}), 1) + 1, 250), lambda i: {_STRIP('substring(' + _STRIP('text') + ', i, 250)')}), lambda p: p <> ''), '|')", lambda c: F.array_join(T.slices(c, 250), "|"))
 _simple("str_chunk_fixed", "array_to_string(list_transform(range(1, greatest(length(text), 1) + 1, 5000), lambda i: substring(text, i, 5000)), '|')", lambda c: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), F.lit(5000)), lambda s: F.substring(c, s, F.lit(5000))), "|"))
@@ -47,7 +47,7 @@ _simple("rank_lexical", "((contains(lower(text), 'the')::INT + contains(lower(te
 _simple("rank_hash", "(('0x' || left(md5('query' || text), 8))::BIGINT % 1000) / 1000.0::DOUBLE", lambda c: (F.conv(F.substring(F.md5(F.concat(F.lit("query"), c).cast("binary")), 1, 8), 16, 10).cast("long") % 1000) / F.lit(1000.0))
 _simple("frag_split", r"(SELECT string_agg(p, '|' ORDER BY o) FROM (SELECT p, min(o) AS o FROM (SELECT regexp_replace(" + _LINE("u") + r", '^[\s，,。.、:：\-]+|[\s，,。.、:：\-]+$', '', 'g') AS p, o FROM (SELECT unnest(string_split_regex(text, '[；;\n]+')) AS u, generate_subscripts(string_split_regex(text, '[；;\n]+'), 1) AS o)) WHERE length(p) >= 2 GROUP BY p))", lambda c: F.nullif(F.array_join(T.fragments(c), "|"), F.lit("")))
 _simple("str_dedupe_lines", r"(SELECT string_agg(p, '|' ORDER BY o) FROM (SELECT p, min(o) AS o FROM (SELECT " + _LINE("u") + r" AS p, o FROM (SELECT unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS o)) WHERE p <> '' GROUP BY p))", lambda c: F.nullif(F.array_join(T.distinct_lines(c), "|"), F.lit("")))
-_simple("str_is_english", r"(list_sum(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(" + _STRIP("x") + r", '^[ `a-zA-Z.,'':;/""?<>!\(\)-]')::INT)) / len(string_split(text, chr(10))) > 0.8)".replace('""', '"'), lambda c: T.is_english(F.split(c, "\n")))
+_simple("str_is_english", r"(list_sum(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(" + _STRIP("x") + r''', '^[ `a-zA-Z.,'':;/"?<>!\(\)-]')::INT)) / len(string_split(text, chr(10))) > 0.8)''', lambda c: T.is_english(F.split(c, "\n")))
 _simple("str_highlight", "array_to_string(list_transform(list_filter(" + _SENTENCES("text") + ", lambda s: regexp_matches(s, '(?i)(idiot|mail)')), lambda s: regexp_replace(s, '(?i)(idiot|mail)', '<em>\\1</em>', 'g')), '...')", lambda c: T.highlight(c, ["idiot", "mail"]))
 _simple(
     "str_find_excerpt",
