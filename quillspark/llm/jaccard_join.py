@@ -8,6 +8,10 @@ tokens while they are rare, and by pairs of tokens of the same one of S(b) = l(b
 of a subclass cover n - 1. Two similar sets then have an index entry in common. A passage that many documents share thus only
 joins documents that share most of the rest too, and tokens that occur once are never sent.
 
+This is done twice. A first index with prefixes extended little, by FIRST, is cheap and only tells which sets can have a link at all;
+the second covers those few with prefixes extended to nearly the whole sets, by SECOND, so that documents that share less than most of their
+tokens with others have no entry.
+
 Counting uses packed blocks: tasks send sorted tokens by hash range, and get the classes of the shared ones back.
 Candidates are compared with the smallest member of their entry first; what is verified becomes a component, and in a
 second round only candidates of different components are compared. So a group of thousands of near copies costs a comparison a member, not
@@ -35,8 +39,9 @@ from quillspark.llm.shingles import batches, mix, shingle_sets
 
 #: Similarity, as a fraction.
 OF, PER = 75, 100
-#: Part of a set by which its prefix is extended.
-EXTEND = 0.10
+#: Parts of a set by which its prefix is extended: in the first index, which only finds out who can have a link at all,
+#: and in the second, of those alone, which makes candidates.
+FIRST, SECOND = 0.15, 0.75
 #: Classes with a token up to which it is indexed singly.
 RARE = 64
 #: Tokens of a block of documents that are counted together, and of a hash range.
@@ -49,9 +54,9 @@ def band_of(n: np.ndarray | int):
     return np.frexp(np.asarray(n, np.float64))[1] - 1
 
 
-def extension(band):
-    """l(b): tokens that two extended prefixes of band b share at least."""
-    return np.maximum(1, np.floor(EXTEND * np.exp2(band))).astype(np.int64)
+def extension(band, extend: float):
+    """l(b): tokens that two extended prefixes of band b share at least; at most t 2**b, which similar sets share."""
+    return np.maximum(1, np.floor(extend * np.exp2(band))).astype(np.int64)
 
 
 def spare(n):
@@ -77,7 +82,13 @@ def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": ids, "n": [x[0] for x in sums], "s1": [x[1] for x in sums], "s2": [x[2] for x in sums]})
 
 
-def _blocks(parts: int):
+def _stored(frames: Iterator[pd.DataFrame]):
+    """The same from sets that were kept."""
+    for frame in frames:
+        yield frame["id"].to_numpy(), [np.asarray(t, np.int64).view(np.uint64) for t in frame["tokens"]]
+
+
+def _blocks(parts: int, extend: float, source):
     """Split the extended prefixes of a block of documents by hash range; a row for the block itself has part -1."""
 
     def flush(block: int, ids: list, ns: list, tokens: list) -> pd.DataFrame:
@@ -94,12 +105,12 @@ def _blocks(parts: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = TaskContext.get().partitionId() << 32
         ids, ns, tokens, size = [], [], [], 0
-        for keys, sets in _texts(frames):
+        for keys, sets in source(frames):
             for key, s in zip(keys, sets, strict=True):
                 if len(s):
                     ids.append(key)
                     ns.append(len(s))
-                    tokens.append(s[: int(spare(len(s)) + extension(band_of(len(s))))])
+                    tokens.append(s[: int(spare(len(s)) + extension(band_of(len(s)), extend))])
                     size += len(tokens[-1])
                 if size >= BLOCK_TOKENS:
                     yield flush(block, ids, ns, tokens)
@@ -152,20 +163,22 @@ def _classes(parts: int):
     return run
 
 
-def _entries_of(tokens: np.ndarray, ranks: np.ndarray, n: int) -> list[np.ndarray]:
-    """Index entries of one set from its shared prefix tokens and their ranks in hash order."""
+def _entries_of(tokens: np.ndarray, ranks: np.ndarray, n: int, extend: float, only_ask: bool) -> list[np.ndarray]:
+    """Index entries of one set from its shared prefix tokens and their ranks in hash order; with ``only_ask``, of any if it has some."""
     out = []
     own, smallest = int(band_of(n)), -(-n * OF // PER)
     for band in sorted({own, int(band_of(smallest))}):
-        share = int(extension(band))
-        inside = ranks < spare(n) + share
-        mine = np.sort(tokens[inside])
+        share = int(extension(band, extend))
+        mine = tokens[ranks < spare(n) + share]
         need = int(spare(n)) + 1 - int(spare(n) + share - len(mine))  # tokens of this prefix that none shares cover first
         if need <= 0:
             continue
+        if only_ask:
+            return [mine[:1]]
+        mine = np.sort(mine)
         tag = np.uint64((band + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
         rare = int(np.searchsorted(mine, np.uint64(int(np.log2(RARE)) << 56)))
-        groups = share - 1
+        groups = min(share - 1, 1 << band >> 3)
         if groups < 1:
             rare = len(mine)
         single = mine[: min(rare, need)]
@@ -187,30 +200,49 @@ def _entries_of(tokens: np.ndarray, ranks: np.ndarray, n: int) -> list[np.ndarra
     return out
 
 
-def _entries(frame: pd.DataFrame) -> pd.DataFrame:
-    """Index entries (key, id, n) of the representatives of one block."""
-    own, named, back = (frame["part"] == -1), (frame["part"] == -2), (frame["part"] >= 0)
-    stands = np.frombuffer(b"".join(frame.loc[named, "x"]), np.int64)
-    ids = np.frombuffer(frame.loc[own, "x"].iloc[0], np.int64)
-    ns = np.frombuffer(frame.loc[own, "y"].iloc[0], np.int64)
-    sizes = spare(ns) + extension(band_of(ns))
-    sizes = np.minimum(sizes, ns)
-    starts = np.cumsum(sizes) - sizes
-    at = np.concatenate([np.zeros(0, np.int64), *[_positions(x) for x in frame.loc[back, "x"]]])
-    tokens = np.frombuffer(b"".join(frame.loc[back, "y"]), np.uint64)
-    order = np.argsort(at, kind="stable")
-    at, tokens = at[order], tokens[order]
-    edges = np.searchsorted(at, np.append(starts, starts[-1] + sizes[-1]))
-    keys, who = [], []
-    chosen = np.isin(ids, stands)
-    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if b > a and chosen[i]:
-            for k in _entries_of(tokens[a:b], at[a:b] - starts[i], int(ns[i])):
-                keys.append(k)
-                who.append(np.full(len(k), i))
-    every = np.concatenate([np.zeros(0, np.uint64), *keys])
-    of = np.concatenate([np.zeros(0, np.int64), *who]).astype(np.int64)
-    return pd.DataFrame({"key": _signed(every), "id": ids[of], "n": ns[of]})
+def _entries(extend: float, only_ask: bool):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """Index entries (key, id, n) of the representatives of one block."""
+        own, named, back = (frame["part"] == -1), (frame["part"] == -2), (frame["part"] >= 0)
+        stands = np.frombuffer(b"".join(frame.loc[named, "x"]), np.int64)
+        ids = np.frombuffer(frame.loc[own, "x"].iloc[0], np.int64)
+        ns = np.frombuffer(frame.loc[own, "y"].iloc[0], np.int64)
+        sizes = spare(ns) + extension(band_of(ns), extend)
+        starts = np.cumsum(sizes) - sizes
+        at = np.concatenate([np.zeros(0, np.int64), *[_positions(x) for x in frame.loc[back, "x"]]])
+        tokens = np.frombuffer(b"".join(frame.loc[back, "y"]), np.uint64)
+        order = np.argsort(at, kind="stable")
+        at, tokens = at[order], tokens[order]
+        edges = np.searchsorted(at, np.append(starts, starts[-1] + sizes[-1]))
+        keys, who = [], []
+        chosen = np.isin(ids, stands)
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if b > a and chosen[i]:
+                for k in _entries_of(tokens[a:b], at[a:b] - starts[i], int(ns[i]), extend, only_ask):
+                    keys.append(k)
+                    who.append(np.full(len(k), i))
+        every = np.concatenate([np.zeros(0, np.uint64), *keys])
+        of = np.concatenate([np.zeros(0, np.int64), *who]).astype(np.int64)
+        return pd.DataFrame({"key": _signed(every), "id": ids[of], "n": ns[of]})
+
+    return run
+
+
+def _index(rows: DataFrame, source, total: int, extend: float, reps: DataFrame, only_ask: bool) -> DataFrame:
+    """Entries (key, id, n) of the representatives among rows; with ``only_ask`` one for each that has any."""
+    parts = 1
+    while parts * RANGE_TOKENS < total:
+        parts *= 2
+    layout = "block long, part int, x binary, y binary"
+    sent = cut(rows.mapInPandas(_blocks(parts, extend, source), layout))
+    back = sent.filter("part >= 0").groupBy("part").applyInPandas(_classes(parts), layout)
+    # One member of a class, its representative, is indexed for all.
+    listed = sent.filter("part = -1").mapInPandas(_members, "block long, id long").join(reps, "id", "left_semi")
+    named = listed.groupBy("block").applyInPandas(_named, layout)
+    found = cut(sent.filter("part = -1").union(back).union(named).groupBy("block").applyInPandas(_entries(extend, only_ask), "key long, id long, n int"))
+    del sent, back, listed, named
+    release(rows.sparkSession)
+    return found
 
 
 def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,28 +281,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = cut(slim.mapInPandas(_summaries, "id long, n int, s1 long, s2 long"))
     classes = cut(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0] * (PER - OF + EXTEND * PER) // PER
-    parts = 1
-    while parts * RANGE_TOKENS < total:
-        parts *= 2
-    layout = "block long, part int, x binary, y binary"
-    sent = cut(slim.mapInPandas(_blocks(parts), layout))
-    back = sent.filter("part >= 0").groupBy("part").applyInPandas(_classes(parts), layout)
-    # One member of a class, its representative, is indexed for all.
-    listed = sent.filter("part = -1").mapInPandas(_members, "block long, id long").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    named = listed.groupBy("block").applyInPandas(_named, layout)
-    entries = sent.filter("part = -1").union(back).union(named).groupBy("block").applyInPandas(_entries, "key long, id long, n int")
-    entries = cut(entries)
-    del sent, back, listed, named
+    reps = classes.select(F.col("rep").alias("id"))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]
+    asked = _index(slim, _texts, int(total * ((PER - OF) / PER + FIRST)), FIRST, reps, True)
+    # Whole sets of those that can have a link.
+    sets = cut(slim.join(asked.select("id").distinct(), "id", "left_semi").mapInPandas(_sets, "id long, tokens array<long>"))
     release(docs.sparkSession)
+    total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long")).first()[0]
+    entries = _index(sets, _stored, total, SECOND, reps, False)
     hub = F.min(F.struct("id", "n")).over(Window.partitionBy("key"))
     near = entries.withColumn("hub", hub).filter("hub.id != id").filter(_fit("n", "hub.n")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     near = cut(near)
-    # Sets of all that share an entry with another; nobody else can have a link.
-    crowd = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    ids = entries.join(crowd, "key", "left_semi").select("id").distinct()
-    sets = cut(slim.join(ids, "id", "left_semi").mapInPandas(_sets, "id long, tokens array<long>"))
-    release(docs.sparkSession)
     links = cut(_verified(near, sets))
     first = components(links)
     labelled = entries.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
