@@ -14,7 +14,7 @@ tokens with others have no entry.
 
 Counting uses packed blocks: tasks send sorted tokens by hash range, and get the classes of the shared ones back.
 Candidates are compared with the smallest member of their entry first; what is verified becomes a component, and in a
-second round only candidates of different components are compared. So a group of thousands of near copies costs a comparison a member, not
+second round only candidates of different components are compared, and of those only the ones that sketches of 1024 parities can't tell apart. So a group of thousands of near copies costs a comparison a member, not
 one a pair. Verification intersects whole sets.
 
 Cases. Null, empty and blank texts have empty sets, are linked with nothing and are their own component. Texts of fewer
@@ -44,6 +44,8 @@ OF, PER = 75, 100
 FIRST, SECOND = 0.15, 0.75
 #: Classes with a token up to which it is indexed singly.
 RARE = 64
+#: Bits of the parity sketch that tells apart most candidates of the second round.
+SKETCH = 1024
 #: Tokens of a block of documents that are counted together, and of a hash range.
 BLOCK_TOKENS = 1_500_000
 RANGE_TOKENS = 1 << 18
@@ -258,8 +260,16 @@ def _named(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole sets, each with the parities of its tokens in SKETCH places."""
     for ids, sets in _texts(frames):
-        yield pd.DataFrame({"id": ids, "tokens": [_signed(s) for s in sets]})
+        bits = [np.packbits(np.bincount((mix(s) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64) for s in sets]
+        yield pd.DataFrame({"id": ids, "tokens": [_signed(s) for s in sets], "bits": bits})
+
+
+def _apart(a: str, b: str) -> str:
+    """Sets that differ in more tokens than similar ones can: two parities differ in no more places than the sets in tokens."""
+    differ = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(SKETCH // 64))
+    return f"{differ} > {a}.n + {b}.n - 2 * ceil({OF} * ({a}.n + {b}.n) / {PER + OF})"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -285,7 +295,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]
     asked = _index(slim, _texts, int(total * ((PER - OF) / PER + FIRST)), FIRST, reps, True)
     # Whole sets of those that can have a link.
-    sets = cut(slim.join(asked.select("id").distinct(), "id", "left_semi").mapInPandas(_sets, "id long, tokens array<long>"))
+    sets = cut(slim.join(asked.select("id").distinct(), "id", "left_semi").mapInPandas(_sets, "id long, tokens array<long>, bits array<long>"))
     release(docs.sparkSession)
     total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long")).first()[0]
     entries = _index(sets, _stored, total, SECOND, reps, False)
@@ -297,9 +307,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     labelled = entries.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = Window.partitionBy("key")
     labelled = labelled.withColumns({"low": F.min("c").over(mixed), "high": F.max("c").over(mixed)}).filter("low < high").select("key", "id", "n", "c")
-    labelled = cut(labelled)
+    labelled = cut(labelled.join(sets.select("id", "bits"), "id"))
     a, b = labelled.alias("p"), labelled.alias("q")
-    rest = a.join(b, F.expr(f"p.key = q.key AND p.id < q.id AND p.c != q.c AND {_fit('p.n', 'q.n')}")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    rest = a.join(b, F.expr(f"p.key = q.key AND p.id < q.id AND p.c != q.c AND {_fit('p.n', 'q.n')} AND NOT ({_apart('p', 'q')})")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     rest = rest.join(near, ["a", "b"], "left_anti")
     more = cut(_verified(rest, sets))
     groups = components(links.union(more))

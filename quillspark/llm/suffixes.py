@@ -9,6 +9,9 @@ reported. A repeated passage holds many retained suffixes; what they report is m
 
 Texts that are equal word by word form a class and only its smallest id takes part; of the others, and it, the whole text repeats.
 
+A span ends where the nearest neighbours in order of following words end to agree. If many documents share a passage and two of
+them also the word before or after it, by chance, those two may not be neighbours, and the span then lacks that word.
+
 Words are compared by 32-bit hashes after the 64-bit hash of the gram agrees.
 
 Cases. Null, empty and texts of fewer than LEAST words have no passages. Repeats inside one document alone are not
@@ -30,6 +33,7 @@ from quillspark.llm.shingles import batches, mix, word_hashes
 
 LEAST = 50
 GRAM = 10
+PERIOD = 16
 WINDOW = LEAST - GRAM
 #: Words compared to the left of a retained suffix, and from it on.
 LEFT, RIGHT = LEAST - GRAM, LEAST
@@ -59,7 +63,12 @@ def retained(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = np.zeros(WINDOW - 1, np.uint64)
     highs = _slide(np.concatenate([pad, lows, pad]), WINDOW, np.maximum)
     at = np.flatnonzero(highs == grams)
-    return at, grams[at]
+    # Of one word said over and over every gram is smallest: every PERIOD-th of such a run is enough, and its last.
+    found = grams[at]
+    follows = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (found[1:] == found[:-1])])
+    begin = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+    keep = ((np.arange(len(at)) - begin) % PERIOD == 0) | ~np.append(follows[1:], False)
+    return at[keep], found[keep]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -161,25 +170,29 @@ _BLANK = {"gram": None, "after": None, "place": None, "before": None}
 
 def _compare(edges: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Matches inside a partition; with ``edges`` also its first and last rows, for the partitions beside it."""
+        """Matches inside a partition; with ``edges`` also the rows of its first and last document, for the partitions beside it."""
         last = None
-        first = None
+        first: list[pd.DataFrame] = []
+        opening = True
         for frame in frames:
             if not len(frame):
                 continue
-            if first is None:
-                first = frame.head(1)
+            ids = frame["id"].to_numpy()
+            if opening:  # rows of the document that the partition begins with
+                lead = ids[0] if not first else first[0]["id"].iloc[0]
+                other = np.flatnonzero(ids != lead)
+                first.append(frame.iloc[: other[0]] if len(other) else frame)
+                opening = not len(other)
             joined = frame if last is None else pd.concat([last, frame], ignore_index=True)
             spans = _spans(joined).drop_duplicates()
             yield spans.assign(edge=False, **_BLANK) if edges else spans
             # Carry the last run of one document and the row before it.
             ids = joined["id"].to_numpy()
-            start = len(ids) - 1
-            while start > 0 and ids[start - 1] == ids[-1] and len(ids) - start < 64:
-                start -= 1
-            last = joined.iloc[max(0, start - 1) :]
-        if edges and first is not None:
-            ends = pd.concat([first, last.tail(1)], ignore_index=True)
+            other = np.flatnonzero(ids != ids[-1])
+            last = joined.iloc[other[-1] if len(other) else 0 :]
+        if edges and first:
+            end = last[last["id"] == last["id"].iloc[-1]]
+            ends = pd.concat([*first, end], ignore_index=True).drop_duplicates(["gram", "after", "id", "place"])
             yield ends.assign(edge=True, first=0, last=0, other=0)[["id", "first", "last", "other", "edge", "gram", "after", "place", "before"]]
 
     return run
@@ -193,7 +206,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = rows.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.max("id").alias("top"))
     classes = cut(classes)
     grams = slim.mapInPandas(_grams, "gram long, id long, place int, s1 long")
-    grams = cut(grams.repartition("gram"))
+    grams = cut(grams)
     shared = grams.groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo != hi").select("gram")
     own = grams.join(shared, "gram", "left_semi").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     places = own.groupBy("id").agg(F.collect_set("place").alias("places"))
@@ -202,7 +215,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ordered = around.repartitionByRange(parts, "gram", "after", "id", "place").sortWithinPartitions("gram", "after", "id", "place")
     matched = cut(ordered.mapInPandas(_compare(True), "id long, first long, last long, other long, edge boolean, gram long, after binary, place int, before binary"))
     suffix = ["gram", "after", "id", "place"]
-    ends = matched.filter("edge").select(*suffix, "before").coalesce(1).sortWithinPartitions(*suffix)  # two rows a partition
+    ends = matched.filter("edge").select(*suffix, "before").coalesce(1).sortWithinPartitions(*suffix)  # two documents a partition
     across = ends.mapInPandas(_compare(False), "id long, first long, last long, other long")
     spans = matched.filter("not edge").select("id", "first", "last", "other").union(across)
     # Merge overlapping spans of a document.
