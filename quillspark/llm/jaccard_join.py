@@ -18,7 +18,7 @@ second round only candidates of different components are compared, and of those
 one a pair. Verification intersects whole sets.
 
 Cases. Null, empty and blank texts have empty sets, are linked with nothing and are their own component. Texts of fewer
-words than a shingle are one shingle. Ids must be integers and not null; repeated rows of an id count as equal documents. An empty table
+words than a shingle are one shingle. Ids must be integers; rows with a null id are linked with nothing and their component is null. Repeated rows of an id count as equal documents. An empty table
 gives an empty result. Extra columns are ignored by ``find`` and kept by ``keep_one``.
 """
 
@@ -288,7 +288,8 @@ def _fit(a: str, b: str) -> str:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links), class_id (smallest of an equal set)."""
     ship(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = every.filter("id IS NOT NULL")
     rows = cut(slim.mapInPandas(_summaries, "id long, n int, s1 long, s2 long"))
     classes = cut(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
     reps = classes.select(F.col("rep").alias("id"))
@@ -315,10 +316,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     groups = components(links.union(more))
     named = classes.join(groups, classes["rep"] == groups["id"], "left").select("n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, ["n", "s1", "s2"], "left")
-    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"))
+    out = out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"))
+    nameless = every.filter("id IS NULL").select(F.lit(0).cast("long").alias("id"), "text").mapInPandas(_summaries, "id long, n int, s1 long, s2 long")
+    null = F.lit(None).cast("long")
+    return out.union(nameless.select(null, F.col("n").cast("long"), null, null))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's smallest, with all their columns."""
-    stays = find(docs, id_col, text_col).filter("id = component_id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(stays, docs[id_col].cast("long") == stays["__id"], "left_semi")
+    """The documents whose id is their component's smallest, and those without id, with all their columns."""
+    goes = find(docs, id_col, text_col).filter("id != component_id").select(F.col("id").alias("__id")).distinct()
+    return docs.join(goes, docs[id_col].cast("long") == goes["__id"], "left_anti")

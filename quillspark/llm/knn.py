@@ -11,7 +11,7 @@ quantile RECALL: with at least that probability a nearer neighbour would have be
 Scale. Cells with more than CELL_ROWS vectors, such as one with a vector repeated a million times, are split by a seeded hash of the id, and every part is searched.
 The boxes of the cells are at most CELLS_MAX rows, whatever the input, and are the only thing broadcast.
 
-Cases. Vectors that are null, zero, hold null or non-finite components, or differ in length from the rest are neither queries nor candidates. Ties go
+Cases. Vectors that are null, zero, hold null or non-finite components, or differ in length from the rest are neither queries nor candidates. Rows with a null id take no part. Ties go
 to the smaller id; equal vectors get equal scores. With fewer candidates than k all are returned; an empty table gives an
 empty result. Repeated ids other than the query's own are candidates each. Extra columns are ignored.
 """
@@ -167,7 +167,7 @@ def usable(vector: str) -> Column:
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row that is a query, among all other rows."""
     ship(rows.sparkSession)
-    good = rows.filter(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    good = rows.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     first = good.select(F.size("v")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if first is None:

@@ -15,7 +15,7 @@ them also the word before or after it, by chance, those two may not be neighbour
 Words are compared by 32-bit hashes after the 64-bit hash of the gram agrees.
 
 Cases. Null, empty and texts of fewer than LEAST words have no passages. Repeats inside one document alone are not
-reported. Ids must be integers; rows that repeat an id count as equal documents if their texts are. An empty table gives
+reported. Ids must be integers, rows with a null id take no part; rows that repeat an id count as equal documents if their texts are. An empty table gives
 an empty result. Extra columns are ignored. Whole texts are read.
 """
 
@@ -201,7 +201,7 @@ def _compare(edges: bool):
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of at least LEAST words that other documents have too: id, first_word, last_word (exclusive), other_id."""
     ship(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id IS NOT NULL")
     rows = cut(slim.mapInPandas(_summaries, "id long, n int, s1 long, s2 long"))
     classes = rows.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.max("id").alias("top"))
     classes = cut(classes)
