@@ -37,6 +37,8 @@ LOW, HIGH = 0.0005, 0.998
 MARGIN = 0.5
 #: One trusted document in so many isn't counted; by how much the others score better, having been, is added to them.
 HELD_OUT = 10
+#: Languages whose bounds are broadcast.
+LANGUAGES = 10_000
 #: Symbols counted at once by a task; bounds its memory.
 CHUNK = 4_000_000
 
@@ -236,6 +238,9 @@ def judge(
     every = known.withColumn("d", fair(F.col("__m_all"), F.col("__gap_all"))).agg(quantiles, F.first(F.col("__m_all") + F.col("__gap_all")).alias("m"))
     every = cut(every.select(F.col("q").alias("__q_all"), F.col("m").alias("__m_all")))  # one row
     per = cut(per.select(F.col("lang").alias("__lang"), F.col("q").alias("__q"), F.col("m").alias("__m")))
+    # One row a language: sent to all while they are as few as languages are; else joined by language.
+    if per.count() <= LANGUAGES:
+        per = F.broadcast(per)
     scored = docs.withColumn("__s", score(whole)).withColumn("__of", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
     joined = scored.join(per, F.col("__of") == F.col("__lang"), "left").crossJoin(F.broadcast(every))
     m, q = F.coalesce("__m", "__m_all"), F.coalesce("__q", "__q_all")
