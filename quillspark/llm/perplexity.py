@@ -231,6 +231,9 @@ def judge(
     overall = known.agg(F.coalesce(m_in, m_out, F.lit(0.0)).alias("__m_all"), F.greatest(F.coalesce(m_out - m_in, F.lit(0.0)), F.lit(0.0)).alias("__gap_all"))
     known = known.crossJoin(F.broadcast(overall))  # one row
     means = known.groupBy("lang").agg(F.coalesce(m_in, m_out).alias("m"), F.greatest(F.coalesce(m_out - m_in, F.first("__gap_all")), F.lit(0.0)).alias("gap"))
+    means = cut(means)
+    few = means.count() <= LANGUAGES  # then a row a language is sent to all, else joined by language
+    means = F.broadcast(means) if few else means
     drawn = lambda m: (F.col("bits") + PRIOR * m) / (F.col("symbols") + PRIOR)
     fair = lambda m, gap: drawn(m) + F.when(F.col("held"), F.lit(0.0)).otherwise(gap)
     quantiles = F.percentile_approx("d", [low, 0.5, high], 20_000).alias("q")
@@ -238,9 +241,7 @@ def judge(
     every = known.withColumn("d", fair(F.col("__m_all"), F.col("__gap_all"))).agg(quantiles, F.first(F.col("__m_all") + F.col("__gap_all")).alias("m"))
     every = cut(every.select(F.col("q").alias("__q_all"), F.col("m").alias("__m_all")))  # one row
     per = cut(per.select(F.col("lang").alias("__lang"), F.col("q").alias("__q"), F.col("m").alias("__m")))
-    # One row a language: sent to all while they are as few as languages are; else joined by language.
-    if per.count() <= LANGUAGES:
-        per = F.broadcast(per)
+    per = F.broadcast(per) if few else per
     scored = docs.withColumn("__s", score(whole)).withColumn("__of", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
     joined = scored.join(per, F.col("__of") == F.col("__lang"), "left").crossJoin(F.broadcast(every))
     m, q = F.coalesce("__m", "__m_all"), F.coalesce("__q", "__q_all")
