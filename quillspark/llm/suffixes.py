@@ -1,18 +1,13 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, by sparse suffixes and the windows around them.
 
 Method. Of every window of WINDOW successive GRAM-word grams the one with the smallest hash is retained, so the suffixes kept depend
-on content alone and any LEAST words in a row hold at least one. Grams that occur in one text only are dropped. The
-suffixes at the others are sorted by gram and following words over a range partitioning, which also splits a gram that
-millions of documents share; each is compared with its nearest neighbours of other documents on both sides, the edges of
-partitions with each other in a second step. Matches are extended right and left, and those of at least LEAST words are
-reported. A repeated passage holds many retained suffixes; what they report is merged, so it's found whole however long it is.
+on content alone and any LEAST words in a row hold at least one. Grams that occur in one text only are dropped. Of the
+others every LEAST words in a row that hold one are hashed, so two documents that share LEAST words meet by a key that covers just
+these, whatever other documents share with either. Repeated windows that overlap or touch are merged.
 
 Texts that are equal word by word form a class and only its smallest id takes part; of the others, and it, the whole text repeats.
 
-A span ends where the nearest neighbours in order of following words end to agree. If many documents share a passage and two of
-them also the word before or after it, by chance, those two may not be neighbours, and the span then lacks that word.
-
-Words are compared by 32-bit hashes after the 64-bit hash of the gram agrees.
+Windows are compared by 96 bits of hash.
 
 Cases. Null, empty and texts of fewer than LEAST words have no passages. Repeats inside one document alone are not
 reported. Ids must be integers, rows with a null id take no part; rows that repeat an id count as equal documents if their texts are. An empty table gives
@@ -35,8 +30,6 @@ LEAST = 50
 GRAM = 10
 PERIOD = 16
 WINDOW = LEAST - GRAM
-#: Words compared to the left of a retained suffix, and from it on.
-LEFT, RIGHT = LEAST - GRAM, LEAST
 _WEIGHTS = mix(np.arange(2000, 2000 + GRAM, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -119,83 +112,47 @@ def _grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield give()
 
 
-def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words around the retained suffixes whose gram other texts share, as bytes that sort like the words."""
-    out = []
+def _window_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits for each LEAST words in a row, by doubling."""
+    size, powers = 1, {1: words}
+    while 2 * size <= LEAST:
+        x = powers[size]
+        powers[2 * size] = mix(x[:-size] * _WEIGHTS[0] + x[size:])
+        size *= 2
+    n, done = len(words) - LEAST + 1, 0
+    out = np.zeros(n, np.uint64)
+    for size in sorted(powers, reverse=True):
+        if done + size <= LEAST:
+            out = mix(out * _WEIGHTS[1] + powers[size][done : done + n])
+            done += size
+    return _signed(out), (mix(words[:n] + out * _WEIGHTS[2] + words[LEAST - 1 :]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All LEAST words in a row that hold a retained suffix whose gram other texts share."""
+    held, size = [], 0
+
+    def give() -> pd.DataFrame:
+        return pd.DataFrame({"h": np.concatenate([x[1] for x in held]), "c": np.concatenate([x[2] for x in held]), "id": np.repeat([x[0] for x in held], [len(x[1]) for x in held]), "place": np.concatenate([x[3] for x in held])})
+
     for row, words in _sequences(frames):
-        short = np.maximum((words >> np.uint64(32)).astype(np.uint32), np.uint32(1)).astype(">u4")
-        padded = np.concatenate([np.zeros(LEFT, ">u4"), short, np.zeros(RIGHT, ">u4")])
-        places = np.sort(np.asarray(row["places"], np.int64))
-        _, grams = None, {int(p): int(g) for p, g in zip(*(lambda a, h: (a, _signed(h)))(*retained(words)), strict=True)}
-        for p in places.tolist():
-            out.append((grams[p], padded[LEFT + p : LEFT + p + RIGHT].tobytes(), int(row["id"]), p, padded[p : p + LEFT].tobytes()))
-        if len(out) >= 20_000:
-            yield pd.DataFrame(out, columns=["gram", "after", "id", "place", "before"])
-            out = []
-    if out:
-        yield pd.DataFrame(out, columns=["gram", "after", "id", "place", "before"])
-
-
-def _spans(rows: pd.DataFrame) -> pd.DataFrame:
-    """Matches of sorted suffixes with the nearest neighbours of other documents: id, first, last, other."""
-    ids, grams = rows["id"].to_numpy(), rows["gram"].to_numpy()
-    n = len(rows)
-    if n < 2:
-        return pd.DataFrame({"id": ids[:0], "first": ids[:0], "last": ids[:0], "other": ids[:0]})
-    after = np.frombuffer(b"".join(rows["after"]), ">u4").reshape(n, RIGHT)
-    before = np.frombuffer(b"".join(rows["before"]), ">u4").reshape(n, LEFT)[:, ::-1]
-    place = rows["place"].to_numpy().astype(np.int64)
-    # The next row of another document: where the run of rows of one document ends.
-    change = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-    run = np.searchsorted(change, np.arange(n), "right")
-    found = []
-    for mine, other in ((np.arange(n), np.append(change, n)[run]), (np.arange(n), np.concatenate([[0], change])[run] - 1)):
-        ok = (other >= 0) & (other < n)
-        mine, other = mine[ok], other[ok]
-        same = grams[mine] == grams[other]
-        mine, other = mine[same], other[same]
-        reach = []
-        for block in (after, before):
-            equal = (block[mine] == block[other]) & (block[mine] != 0)
-            reach.append(np.where(equal.all(1), block.shape[1], (~equal).argmax(1)))
-        far = reach[0] + reach[1] >= LEAST
-        found.append((ids[mine][far], (place[mine] - reach[1])[far], (place[mine] + reach[0])[far], ids[other][far]))
-        # The neighbour has the same passage at its own place.
-        found.append((ids[other][far], (place[other] - reach[1])[far], (place[other] + reach[0])[far], ids[mine][far]))
-    return pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("id", "first", "last", "other"))})
-
-
-_BLANK = {"gram": None, "after": None, "place": None, "before": None}
-
-
-def _compare(edges: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Matches inside a partition; with ``edges`` also the rows of its first and last document, for the partitions beside it."""
-        last = None
-        first: list[pd.DataFrame] = []
-        opening = True
-        for frame in frames:
-            if not len(frame):
-                continue
-            ids = frame["id"].to_numpy()
-            if opening:  # rows of the document that the partition begins with
-                lead = ids[0] if not first else first[0]["id"].iloc[0]
-                other = np.flatnonzero(ids != lead)
-                first.append(frame.iloc[: other[0]] if len(other) else frame)
-                opening = not len(other)
-            joined = frame if last is None else pd.concat([last, frame], ignore_index=True)
-            spans = _spans(joined).drop_duplicates()
-            yield spans.assign(edge=False, **_BLANK) if edges else spans
-            # Carry the last run of one document and the row before it.
-            ids = joined["id"].to_numpy()
-            other = np.flatnonzero(ids != ids[-1])
-            last = joined.iloc[other[-1] if len(other) else 0 :]
-        if edges and first:
-            end = last[last["id"] == last["id"].iloc[-1]]
-            ends = pd.concat([*first, end], ignore_index=True).drop_duplicates(["gram", "after", "id", "place"])
-            yield ends.assign(edge=True, first=0, last=0, other=0)[["id", "first", "last", "other", "edge", "gram", "after", "place", "before"]]
-
-    return run
+        n = len(words) - LEAST + 1
+        if n < 1:
+            continue
+        places = np.asarray(row["places"], np.int64)
+        places = places[places < len(words)]
+        step = np.zeros(len(words) + 1, np.int64)
+        np.add.at(step, np.maximum(places - (LEAST - GRAM), 0), 1)
+        np.add.at(step, places + 1, -1)
+        at = np.flatnonzero(np.cumsum(step)[:n] > 0)
+        h, c = _window_hashes(words)
+        held.append((int(row["id"]), h[at], c[at], at.astype(np.int32)))
+        size += len(at)
+        if size >= 200_000:
+            yield give()
+            held, size = [], 0
+    if held:
+        yield give()
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,20 +167,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = grams.groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo != hi").select("gram")
     own = grams.join(shared, "gram", "left_semi").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     places = own.groupBy("id").agg(F.collect_set("place").alias("places"))
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    around = slim.join(places, "id").mapInPandas(_contexts, "gram long, after binary, id long, place int, before binary")
-    ordered = around.repartitionByRange(parts, "gram", "after", "id", "place").sortWithinPartitions("gram", "after", "id", "place")
-    matched = cut(ordered.mapInPandas(_compare(True), "id long, first long, last long, other long, edge boolean, gram long, after binary, place int, before binary"))
-    suffix = ["gram", "after", "id", "place"]
-    ends = matched.filter("edge").select(*suffix, "before").coalesce(1).sortWithinPartitions(*suffix)  # two documents a partition
-    across = ends.mapInPandas(_compare(False), "id long, first long, last long, other long")
-    spans = matched.filter("not edge").select("id", "first", "last", "other").union(across)
-    # Merge overlapping spans of a document.
-    order = Window.partitionBy("id").orderBy("first", "last")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce(F.col("first") > F.max("last").over(before), F.lit(True)).cast("int")
-    islands = spans.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    merged = islands.groupBy("id", "island").agg(F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.min("other").alias("other_id"))
+    windows = slim.join(places, "id").mapInPandas(_windows, "h long, c int, id long, place int")
+    same = Window.partitionBy("h", "c")
+    held = windows.select("id", "place", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi")).filter("lo != hi")
+    repeated = held.select("id", "place", F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
+    # Merge windows of a document that overlap or touch.
+    order = Window.partitionBy("id").orderBy("place")
+    fresh = F.coalesce(F.col("place") > F.lag("place").over(order) + LEAST, F.lit(True)).cast("int")
+    islands = repeated.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = islands.groupBy("id", "island").agg(F.min("place").cast("long").alias("first_word"), (F.max("place") + LEAST).cast("long").alias("last_word"), F.min("other").alias("other_id"))
     several = classes.filter("size > 1")
     whole = rows.join(several, ["n", "s1", "s2"]).select("id", F.lit(0).cast("long").alias("first_word"), F.col("n").cast("long").alias("last_word"), F.when(F.col("id") == F.col("rep"), F.col("top")).otherwise(F.col("rep")).alias("other_id"))
     single = merged.join(several.select(F.col("rep").alias("id")), "id", "left_anti").select("id", "first_word", "last_word", "other_id")

@@ -146,6 +146,16 @@ def test_repeated_passages(spark):
                     assert got[i] >= set(range(j, j + len(p)))
 
 
+def test_common_tail_shorter_than_a_passage(spark):
+    # Own words of two documents, then a tail that 200 others hold too: the retained suffix often falls in the tail.
+    for seed in range(8):
+        rng = random.Random(seed)
+        own, tail = prose(rng, 20), prose(rng, 40)
+        texts = [f"{prose(rng, 60)} {own} {tail} {prose(rng, 60)}" for _ in range(2)] + [f"{prose(rng, 80)} {tail} {prose(rng, 60)}" for _ in range(200)]
+        got = {r["id"]: (r["first_word"], r["last_word"], r["other_id"]) for r in suffixes.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert got == {0: (60, 120, 1), 1: (60, 120, 0)}, seed
+
+
 def test_passage_of_one_word(spark):
     rows = [(i, f"{prose(random.Random(i), 30)} {'same ' * 300} {prose(random.Random(i + 50), 30)}") for i in range(3)]
     got = {r["id"]: (r["first_word"], r["last_word"]) for r in suffixes.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
