@@ -1,16 +1,12 @@
-"""Quality filter: an interpolated modified Kneser-Ney model of symbol n-grams trained on trusted text.
+"""Quality filter: an interpolated modified Kneser-Ney model of words and pairs of words trained on trusted text.
 
-Method. Characters map to 64 symbols (letters, digits, kinds of space and punctuation, capitals, sixteen groups of other
-letters). All trusted documents are counted: each task counts the n-grams of order ORDER in its texts with numpy,
-and the counts are summed in shards keyed by n-gram. Lower orders count continuations, i.e. distinct left symbols.
-The model is made by joining, shard by shard, counts with the totals of their contexts and with the probabilities
-of the order below. Each document's perplexity (bits a symbol, drawn to the trusted mean by PRIOR symbols so that a
+Method. All trusted documents are counted: pairs of successive words, by 64-bit hashes, in shards, and words by the distinct
+words before them. Every document's words and pairs are joined with these shards, so what scoring gathers grows with the input. What
+pairs and words leave goes to the spelling of a word: a model of ORDER-grams of symbols, to 64 of which characters map
+(letters, digits, kinds of space and punctuation, capitals, sixteen groups of other letters). Only that one, of at most 64**ORDER
+entries (16.7 million), is broadcast. Each document's perplexity (bits a symbol, drawn to the trusted mean by PRIOR symbols so that a
 short text isn't judged on a few rare letters) is held against quantiles of the trusted documents of its language.
 
-The finished model goes to the executors as a broadcast: it has at most 64**ORDER entries (16.7 million) whatever the
-input, a few hundred thousand in practice. Joining each document's own n-grams with the model instead would shuffle about
-as many rows as the corpus has bytes.
-
 Cases. Null and empty texts score the trusted mean and are kept. Null language is a language of its own; languages
 without trusted text use the quantiles of all. With no trusted text at all every document is kept. Repeated rows score
 alike. Extra columns pass through. Texts are scored whole.
@@ -27,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, ship
+from quillspark.llm.shingles import batches, mix, word_hashes
 
 ORDER = 4
 BITS = 6
@@ -42,6 +39,10 @@ LANGUAGES = 10_000
 #: Symbols counted at once by a task; bounds its memory.
 CHUNK = 4_000_000
 
+#: The word before the first of a text, and the weight of the word before in the hash of a pair.
+_START = mix(np.array([77], np.uint64))
+_ODD = mix(np.array([78], np.uint64)) | np.uint64(1)
+
 # The ASCII marks with a symbol of their own, and the groups of others.
 _OWN_MARKS = ".,!?;:-'\"()%&*"
 _GROUPED = "#$@+=~^"
@@ -106,13 +107,18 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"k": total[0], "c": total[1]})
 
 
-def _level(counts: DataFrame, below: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Interpolated probabilities (k, p) of counted n-grams (k, c) and weights (ctx, g) left for the order below."""
+def _discounted(counts: DataFrame) -> DataFrame:
+    """Counts (c) with what modified Kneser-Ney takes off each (d)."""
     of = counts.agg(*[F.coalesce(F.sum((F.col("c") == i).cast("long")), F.lit(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
     d = [F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)))) for i in (1, 2, 3)]
     of = of.select(*[x.alias(f"d{i}") for i, x in enumerate(d, 1)])  # one row
-    rows = counts.crossJoin(F.broadcast(of)).withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+    return counts.crossJoin(F.broadcast(of)).withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+
+
+def _level(counts: DataFrame, below: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Interpolated probabilities (k, p) of counted n-grams (k, c) and weights (ctx, g) left for the order below."""
+    rows = _discounted(counts)
     rows = rows.withColumn("ctx", F.shiftright("k", BITS))
     contexts = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("freed")).select("ctx", "total", (F.col("freed") / F.col("total")).alias("g"))
     rows = rows.join(contexts, "ctx").withColumn("own", (F.col("c") - F.col("d")) / F.col("total"))
@@ -195,16 +201,119 @@ def share(spark, levels: list[tuple[DataFrame, DataFrame]]) -> _Shared:
     return _Shared(spark, tables)
 
 
-def sum_bits(shared: _Shared):
-    """A column function: total bits and symbols of a text."""
+def _pairs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, of the word before each, and of the two together."""
+    words = word_hashes([text], fold_case=False)[0]
+    left = np.concatenate([_START, words[:-1]]) if len(words) else words
+    return words.view(np.int64), left.view(np.int64), mix(left * _ODD + words).view(np.int64)
+
+
+def _count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        words, left, pairs = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*map(_pairs, frame["text"]), strict=True)) if len(frame) else [np.zeros(0, np.int64)] * 3
+        found, first, n = np.unique(pairs, return_index=True, return_counts=True)
+        yield pd.DataFrame({"k": found, "v": left[first], "w": words[first], "c": n})
 
-    @F.pandas_udf("bits double, symbols long")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        model = _model(shared)
-        found = [model.score(x) for x in texts]
-        return pd.DataFrame({"bits": [x[0] for x in found], "symbols": [x[1] for x in found]})
 
-    return score
+def train_words(trusted: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict]:
+    """The word model in shards, and its few numbers: discounts by count of pairs (d2) and words (d1), pairs in all, and
+    the weight that words leave to their spelling (g0).
+
+    Rows (k, x, y, z): of a pair of words, its count; of a word, the distinct words before it, its count as a context and what is taken
+    off the pairs it begins.
+    """
+    texts = trusted.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("text != ''")
+    pairs = cut(texts.mapInPandas(_count_pairs, "k long, v long, w long, c long").groupBy("k", "v", "w").agg(F.sum("c").alias("c")))
+    rows = _discounted(pairs)
+    contexts = rows.groupBy("v").agg(F.sum("c").alias("y"), F.sum("d").alias("z"))
+    words = _discounted(pairs.groupBy("w").agg(F.count("*").alias("c")))
+    discounts = [F.max(F.when(F.least(F.col("c"), F.lit(3)) == i, F.col("d"))).alias(f"d{i}") for i in (1, 2, 3)]
+    two, one = rows.agg(*discounts).first(), words.agg(*discounts, F.sum("c").alias("all"), (F.sum("d") / F.sum("c")).alias("g0")).first()
+    of = lambda row: np.array([0.0] + [row[f"d{i}"] or 0.0 for i in (1, 2, 3)])
+    numbers = {"d2": of(two), "d1": of(one), "all": one["all"] or 0, "g0": 1.0 if one["g0"] is None else one["g0"]}
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    single = words.select("w", F.col("c").alias("x")).join(contexts, F.col("w") == F.col("v"), "full").select(F.coalesce("w", "v").alias("k"), zero("x"), zero("y"), zero("z"))
+    return single.union(pairs.select("k", F.col("c").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))), numbers
+
+
+def _asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words and pairs of each text, once each."""
+    for frame in frames:
+        for a, b in batches(frame["text"].tolist()):
+            keys = [np.unique(np.concatenate(_pairs(text)[::2])) for text in frame["text"].iloc[a:b]]
+            yield pd.DataFrame({"key": np.repeat(frame["key"].to_numpy()[a:b], [len(x) for x in keys]), "k": np.concatenate(keys)})
+
+
+def word_chances(words: np.ndarray, left: np.ndarray, pairs: np.ndarray, known: tuple[np.ndarray, ...], numbers: dict, times: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of a text its own probability after the word before and the weight left to its spelling.
+
+    ``known`` has the rows of the word model for the text's words and pairs, sorted by k. A text that was counted itself,
+    ``times`` times, is judged by the counts of all others.
+    """
+
+    def of(k: np.ndarray, column: np.ndarray) -> np.ndarray:
+        if not len(known[0]):
+            return np.zeros(len(k))
+        at = np.minimum(np.searchsorted(known[0], k), len(known[0]) - 1)
+        return np.where(known[0][at] == k, column[at], 0.0)
+
+    _, first, back, n = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
+    d1, d2 = numbers["d1"], numbers["d2"]
+    level = lambda c: np.minimum(c, 3).astype(np.int64)
+    before = of(pairs[first], known[1])
+    count = np.maximum(before - times * n, 0)
+    gone = ((before > 0) & (count == 0)).astype(float)
+    _, v = np.unique(left[first], return_inverse=True)
+    _, w = np.unique(words[first], return_inverse=True)
+    total = np.maximum(of(left[first], known[2]) - times * np.bincount(v, n)[v], 0)
+    freed = of(left[first], known[3]) - np.bincount(v, d2[level(before)] - d2[level(count)])[v]
+    kinds = np.maximum(of(words[first], known[1]) - np.bincount(w, gone)[w], 0)
+    every = max(numbers["all"] - gone.sum(), 1.0)
+    weight = np.where(total > 0, np.clip(freed / np.maximum(total, 1), 1e-9, 1), 1.0)
+    own = np.where(total > 0, np.maximum(count - d2[level(count)], 0) / np.maximum(total, 1), 0)
+    own = own + weight * np.maximum(kinds - d1[level(kinds)], 0) / every
+    return own[back], (weight * numbers["g0"])[back]
+
+
+def text_bits(model: Model, text: str, known: tuple[np.ndarray, ...], numbers: dict, times: int = 0) -> tuple[float, int]:
+    """Bits and symbols of a text."""
+    keys = keys_of(text)
+    spelled = model.bits[keys].astype(np.float64)
+    words, left, pairs = _pairs(text)
+    if not len(words):
+        return float(spelled.sum()), len(keys)
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    gap = (points == 32) | ((points >= 9) & (points <= 13))
+    begins = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+    spelled = np.add.reduceat(spelled, np.concatenate([[0], begins[1:]]))
+    own, rest = word_chances(words, left, pairs, known, numbers, times)
+    with np.errstate(divide="ignore"):
+        bits = np.where(own > 0, -np.log2(own + rest * np.exp2(-spelled)), spelled - np.log2(rest))
+    return float(bits.sum()), len(keys)
+
+
+def score_texts(texts: DataFrame, counted: DataFrame, shared: _Shared, words: DataFrame, numbers: dict) -> DataFrame:
+    """key, bits and symbols of each distinct text (key, text): its words and pairs are joined with the model's shards."""
+    asked = texts.mapInPandas(_asked, "key long, k long")
+    found = asked.join(words, "k").groupBy("key", "k").agg(*[F.first(c).alias(c) for c in "xyz"])
+    found = found.groupBy("key").agg(*[F.collect_list(c).alias(c + "s") for c in "kxyz"])
+    times = counted.groupBy("key").agg(F.count("*").alias("times"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.zeros(0, np.int64), *[np.zeros(0)] * 3
+        for frame in frames:
+            model, out = _model(shared), []
+            for text, n, *columns in zip(*[frame[c] for c in ("text", "times", "ks", "xs", "ys", "zs")], strict=True):
+                known = none
+                if columns[0] is not None:
+                    order = np.argsort(columns[0])
+                    known = tuple(np.asarray(x)[order] for x in columns)
+                out.append(text_bits(model, text, known, numbers, int(n)))
+            yield pd.DataFrame({"key": frame["key"], "bits": [x[0] for x in out], "symbols": [x[1] for x in out]})
+
+    joined = texts.join(found, "key", "left").join(times, "key", "left").select("key", "text", F.coalesce("times", F.lit(0)).alias("times"), "ks", "xs", "ys", "zs")
+    scored = joined.mapInPandas(run, "key long, bits double, symbols long")
+    return scored.groupBy("key").agg(F.first("bits").alias("bits"), F.first("symbols").alias("symbols"))
 
 
 def judge(
@@ -218,11 +327,13 @@ def judge(
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted")).distinct()
     trusted = docs.select(id_col, text_col).join(ids.hint("merge"), F.col(id_col) == F.col("__trusted"))
     held = lambda key: F.pmod(F.xxhash64(F.lit("held"), key), F.lit(HELD_OUT)) == 0
-    levels = train(trusted.filter(~held(F.col(id_col))).select(text_col), text_col)
-    shared = share(docs.sparkSession, levels)
-    score = sum_bits(shared)
+    counted = trusted.filter(~held(F.col(id_col))).select(text_col)
+    shared = share(docs.sparkSession, train(counted, text_col))
+    words, numbers = train_words(counted, text_col)
     whole = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), score(whole).alias("s"))
+    scores = cut(score_texts(docs.select(F.xxhash64(whole).alias("key"), whole.alias("text")), counted.select(F.xxhash64(whole).alias("key")), shared, words, numbers))
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(whole).alias("key"))
+    slim = slim.join(scores, "key").select("id", "lang", F.struct("bits", "symbols").alias("s"))
     # An inner join stays above the scores; a semi-join would be pushed below them and shuffle the texts again.
     known = slim.join(ids, F.col("id") == F.col("__trusted")).select("lang", "s.bits", "s.symbols", held(F.col("id")).alias("held"))
     known = cut(known)
@@ -242,7 +353,8 @@ def judge(
     every = cut(every.select(F.col("q").alias("__q_all"), F.col("m").alias("__m_all")))  # one row
     per = cut(per.select(F.col("lang").alias("__lang"), F.col("q").alias("__q"), F.col("m").alias("__m")))
     per = F.broadcast(per) if few else per
-    scored = docs.withColumn("__s", score(whole)).withColumn("__of", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
+    marked = scores.select(F.col("key").alias("__key"), F.struct("bits", "symbols").alias("__s"))
+    scored = docs.withColumn("__text", F.xxhash64(whole)).join(marked, F.col("__text") == F.col("__key")).withColumn("__of", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
     joined = scored.join(per, F.col("__of") == F.col("__lang"), "left").crossJoin(F.broadcast(every))
     m, q = F.coalesce("__m", "__m_all"), F.coalesce("__q", "__q_all")
     bits = F.when(F.col("__s.symbols") <= 1, m).otherwise((F.col("__s.bits") + PRIOR * m) / (F.col("__s.symbols") + PRIOR))

@@ -165,6 +165,36 @@ def test_perplexity_is_a_distribution(spark):
         assert p[row].sum() == pytest.approx(1, abs=0.01)
 
 
+def test_perplexity_knows_words_and_their_order(spark):
+    # The same words in another order and beyond the reach of symbol 4-grams: only pairs of words tell them apart.
+    rng = random.Random(8)
+    names = [a + b for a in WORDS[:12] for b in WORDS[12:24]]
+    rng.shuffle(names)
+    follow = dict(zip(names, names[1:] + names[:1], strict=True))
+
+    def chain(n):
+        out = [rng.choice(names)]
+        while len(out) < n:
+            out.append(follow[out[-1]])
+        return out
+
+    rows = [(i, " ".join(chain(80)), "en") for i in range(200)] + [(1000 + i, " ".join(rng.sample(chain(80), 80)), "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = perplexity.judge(docs, spark.createDataFrame([(i,) for i in range(0, 200, 2)], "doc_id long"))
+    got = {r["doc_id"]: r["__kept"] for r in judged.collect()}
+    assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(20))
+
+
+def test_word_model_is_a_distribution(spark):
+    texts = spark.createDataFrame([("a b a c",), ("b a b b",), (None,)], "text string")
+    rows, numbers = perplexity.train_words(texts)
+    found = sorted(tuple(r) for r in rows.collect())
+    known = np.array([r[0] for r in found], np.int64), *(np.array([r[i] for r in found], float) for i in (1, 2, 3))
+    for v in "abx":
+        of = [[x[1] for x in perplexity.word_chances(*perplexity._pairs(f"{v} {w}"), known, numbers)] for w in "abc"]
+        assert sum(x[0] for x in of) + of[0][1] == pytest.approx(1)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
