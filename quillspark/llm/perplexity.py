@@ -1,364 +1,397 @@
-"""Quality filter: an interpolated modified Kneser-Ney model of words and pairs of words trained on trusted text.
+"""Quality filter: an interpolated modified Kneser-Ney model of character n-grams trained on trusted text.
 
-Method. All trusted documents are counted: pairs of successive words, by 64-bit hashes, in shards, and words by the distinct
-words before them. Every document's words and pairs are joined with these shards, so what scoring gathers grows with the input. What
-pairs and words leave goes to the spelling of a word: a model of ORDER-grams of symbols, to 64 of which characters map
-(letters, digits, kinds of space and punctuation, capitals, sixteen groups of other letters). Only that one, of at most 64**ORDER
-entries (16.7 million), is broadcast. Each document's perplexity (bits a symbol, drawn to the trusted mean by PRIOR symbols so that a
-short text isn't judged on a few rare letters) is held against quantiles of the trusted documents of its language.
+Method. Every ORDER characters in a row of all trusted texts are counted (real code points, case kept, a boundary before and after a
+text); lower orders count distinct characters before. Tables of all orders stay distributed and grow with the input.
+Trusted text is halved by a hash of its content and a model made of each half; every document, trusted or not, is judged by the
+model of the half that its text isn't in, so bounds and documents are compared on equal terms.
+
+Scoring is a sharded count join. Documents are dealt into blocks of about BLOCK_CHARS; a block asks each shard of the
+model, a range of n-gram hashes, once for every distinct n-gram it holds, in packed form, and the answers come back to the block. So
+texts are shuffled once, compressed, and n-grams that documents share are sent once a block. The bits a symbol of a
+document, drawn to the trusted mean of its language by PRIOR symbols so that a short text isn't judged on a few rare letters, are held
+against the quantile HIGH of the trusted documents of its language (or SPREAD deviations, see there).
+
+Bounds. A block asks by 32 bits of hash within a shard of at most about SHARD_KEYS asked keys: an unseen n-gram is taken for a seen one about once
+in ten thousand. Bits are rounded to 1/1024. A filter of FILTER_BITS bits on trusted ids, broadcast, keeps most other texts
+out of the join that finds the trusted ones; that join is exact.
 
 Cases. Null and empty texts score the trusted mean and are kept. Null language is a language of its own; languages
-without trusted text use the quantiles of all. With no trusted text at all every document is kept. Repeated rows score
+without trusted text use the quantile of all. With no trusted text at all every document is kept. Repeated rows and equal texts score
 alike. Extra columns pass through. Texts are scored whole.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, ship
-from quillspark.llm.shingles import batches, mix, word_hashes
+from quillspark.llm.common import cut, release, ship
+from quillspark.llm.shingles import batches, mix
 
-ORDER = 4
-BITS = 6
+ORDER = 5
+#: Bits of a symbol: 0 is the boundary, others are code points plus one.
+WIDE = 21
 PRIOR = 200
-#: Kept between these quantiles of the trusted documents' perplexity.
-LOW, HIGH = 0.0005, 0.998
-#: The bounds lie beyond the quantiles by this share of the quantiles' distance from the median.
-MARGIN = 0.5
-#: One trusted document in so many isn't counted; by how much the others score better, having been, is added to them.
-HELD_OUT = 10
-#: Languages whose bounds are broadcast.
+#: Kept up to this quantile of the trusted documents' bits a symbol, or, as few documents don't show it, so many standard deviations
+#: above their mean if that is more.
+HIGH = 0.998
+SPREAD = 4.0
+#: Languages whose bounds are broadcast; beyond, they are joined.
 LANGUAGES = 10_000
-#: Symbols counted at once by a task; bounds its memory.
-CHUNK = 4_000_000
-
-#: The word before the first of a text, and the weight of the word before in the hash of a pair.
-_START = mix(np.array([77], np.uint64))
-_ODD = mix(np.array([78], np.uint64)) | np.uint64(1)
-
-# The ASCII marks with a symbol of their own, and the groups of others.
-_OWN_MARKS = ".,!?;:-'\"()%&*"
-_GROUPED = "#$@+=~^"
-
-
-def _symbols() -> np.ndarray:
-    """Symbol of each code point below 65536; 0 is the boundary."""
-    table = np.full(65536, 47, np.uint8)
-    for c in range(65536):
-        ch = chr(c)
-        if ch.isspace():
-            table[c] = 2
-        elif c > 127 and ch.isalpha():
-            table[c] = 30 if ch.isupper() else 31 + c % 16
-    for c in range(33, 127):
-        table[c] = 63
-    table[10] = table[13] = 1
-    table[ord("0") : ord("9") + 1] = 3
-    table[ord("a") : ord("z") + 1] = np.arange(4, 30)
-    table[ord("A") : ord("Z") + 1] = 30
-    for i, ch in enumerate(_OWN_MARKS):
-        table[ord(ch)] = 48 + i
-    for ch in _GROUPED:
-        table[ord(ch)] = 62
-    return table
-
-
-@lru_cache(1)
-def _table() -> np.ndarray:
-    return _symbols()
-
-
-def keys_of(text: str) -> np.ndarray:
-    """The n-gram key at each symbol of a text and at its end, over a boundary before it."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    symbols = np.zeros(len(points) + ORDER, np.int32)
-    symbols[ORDER - 1 : -1] = _table()[np.minimum(points, 65535)]
-    keys = np.zeros(len(points) + 1, np.int32)
-    for i in range(ORDER):
-        keys = keys << BITS | symbols[i : len(points) + 1 + i]
-    return keys
+#: Characters of a block of documents, and keys asked of a shard.
+BLOCK_CHARS = 8_000_000
+SHARD_KEYS = 1_500_000
+#: Distinct n-grams that a counting task holds.
+HELD = 3_000_000
+FILTER_BITS = 1 << 25
 
+_ONE = (1 << WIDE) - 1
+_ABSENT = 65535
+_STEP = 1024
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the n-grams of a task's texts, one row for each n-gram."""
-    total = np.zeros((2, 0), np.int64)
-    held: list[np.ndarray] = []
-    size = 0
 
-    def fold() -> np.ndarray:
-        found, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        every, at = np.unique(np.concatenate([total[0], found]), return_inverse=True)
-        return np.stack([every, np.bincount(at, np.concatenate([total[1], n]), len(every)).astype(np.int64)])
+def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the texts with boundaries between, places of the symbols to predict, and where each text's begin among these."""
+    pad, sizes = ORDER - 1, np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    nth = np.arange(1, len(texts) + 1)
+    out = np.zeros(len(points) + pad * (len(texts) + 1), np.int64)
+    at = np.arange(len(points)) + np.repeat(pad * nth, sizes)
+    out[at] = points.astype(np.int64) + 1
+    firsts = np.cumsum(sizes) - sizes + pad * nth
+    asked = np.arange(len(points) + len(texts)) + np.repeat((pad - 1) * nth + 1, sizes + 1)
+    return out, asked, firsts - (pad - 1) * nth - 1
 
-    for frame in frames:
-        for text in frame["text"]:
-            held.append(keys_of(text))
-            size += len(held[-1])
-            if size >= CHUNK:
-                total, held, size = fold(), [], 0
-    total = fold()
-    yield pd.DataFrame({"k": total[0], "c": total[1]})
 
+def grams_of(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ORDER-gram that ends at each place, exactly: its first symbols and its last three."""
+    high = np.zeros(len(at), np.int64)
+    for k in range(ORDER - 1, 2, -1):
+        high = high << WIDE | symbols[at - k]
+    return high, (symbols[at - 2] << 2 * WIDE) | (symbols[at - 1] << WIDE) | symbols[at]
 
-def _discounted(counts: DataFrame) -> DataFrame:
-    """Counts (c) with what modified Kneser-Ney takes off each (d)."""
-    of = counts.agg(*[F.coalesce(F.sum((F.col("c") == i).cast("long")), F.lit(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-    d = [F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)))) for i in (1, 2, 3)]
-    of = of.select(*[x.alias(f"d{i}") for i, x in enumerate(d, 1)])  # one row
-    return counts.crossJoin(F.broadcast(of)).withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
 
+def suffix(high, low, n: int):
+    """The last n symbols of an n-gram."""
+    if n > 3:
+        return high & ((1 << WIDE * (n - 3)) - 1), low
+    return high & 0, low & ((1 << WIDE * n) - 1)
 
-def _level(counts: DataFrame, below: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Interpolated probabilities (k, p) of counted n-grams (k, c) and weights (ctx, g) left for the order below."""
-    rows = _discounted(counts)
-    rows = rows.withColumn("ctx", F.shiftright("k", BITS))
-    contexts = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("freed")).select("ctx", "total", (F.col("freed") / F.col("total")).alias("g"))
-    rows = rows.join(contexts, "ctx").withColumn("own", (F.col("c") - F.col("d")) / F.col("total"))
-    if below is None:
-        return rows.select("k", (F.col("own") + F.col("g") / F.lit(float(1 << BITS))).alias("p")), contexts.select("ctx", "g")
-    return rows, contexts.select("ctx", "g")
 
+def context(high, low):
+    """All but the last symbol."""
+    return high >> WIDE, ((high & _ONE) << 2 * WIDE) | (low >> WIDE)
 
-def train(trusted: DataFrame, text_col: str = "text") -> list[tuple[DataFrame, DataFrame]]:
-    """Tables of each order from 1: (k, p) and (ctx, g)."""
-    texts = trusted.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("text != ''")
-    top = cut(texts.mapInPandas(_count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")))
-    counts = [top]
-    for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("k").bitwiseAND(F.lit((1 << BITS * order) - 1))
-        counts.insert(0, counts[0].groupBy(suffix.alias("k")).agg(F.count("*").alias("c")))
-    out: list[tuple[DataFrame, DataFrame]] = []
-    for order, rows in enumerate(counts, 1):
-        if order == 1:
-            p, g = _level(rows, None)
-        else:
-            below = out[-1][0].select(F.col("k").alias("low"), F.col("p").alias("q"))
-            found, g = _level(rows, below)
-            low = F.col("k").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
-            p = found.withColumn("low", low).join(below, "low").select("k", (F.col("own") + F.col("g") * F.col("q")).alias("p"))
-        out.append((cut(p), cut(g)))
-    return out
-
-
-class Model:
-    """Bits of every possible n-gram, from the tables of the orders."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        probability = np.full(1, 1.0 / (1 << BITS), np.float32)
-        for order, (keys, p, contexts, g) in enumerate(tables, 1):
-            weight = np.ones(1 << BITS * (order - 1), np.float32)
-            weight[contexts] = g
-            lower = probability if order > 1 else np.repeat(probability, 1 << BITS)
-            probability = (np.tile(lower, 1 << BITS) if order > 1 else lower) * np.repeat(weight, 1 << BITS)
-            probability[keys] = p
-        self.bits = -np.log2(np.maximum(probability, np.float32(1e-9)))
 
-    def score(self, text: str) -> tuple[float, int]:
-        keys = keys_of(text)
-        return float(self.bits[keys].sum(dtype=np.float64)), len(keys)
+def hashed(high: np.ndarray, low: np.ndarray, n: int, half: int) -> np.ndarray:
+    return mix(low.astype(np.uint64) ^ mix(high.astype(np.uint64) + np.uint64((2 * n + half) << 48)))
 
 
-_MODELS: dict[int, Model] = {}
+def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the grams each is, and the distinct ones."""
+    codes, _ = pd.factorize(hashed(high, low, ORDER, 0).view(np.int64))
+    first = np.zeros(codes.max() + 1 if len(codes) else 0, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, high[first], low[first]
 
 
-def _model(shared) -> Model:
-    """The dense model of a broadcast, made once by each worker."""
-    if shared.id not in _MODELS:
-        _MODELS.clear()
-        _MODELS[shared.id] = Model(shared.value)
-    return _MODELS[shared.id]
-
-
-class _Shared:
-    """A broadcast with an id that workers can remember it by."""
-
-    def __init__(self, spark, tables):
-        self.inner = spark.sparkContext.broadcast(tables)
-        self.id = id(self.inner) ^ hash(str(self.inner._jbroadcast.id()) if self.inner._jbroadcast else 0)
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the ORDER-grams of a task's texts, by half."""
+    held: dict[int, list] = {0: [], 1: []}
+    size = 0
 
-    @property
-    def value(self):
-        return self.inner.value
+    def merge() -> None:
+        for half, parts in held.items():
+            if len(parts) > 1:
+                high, low, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                codes, high, low = distinct(high, low)
+                held[half] = [(high, low, np.bincount(codes, n).astype(np.int64))]
 
-    def __getstate__(self):
-        return {"inner": self.inner, "id": self.id}
+    def give() -> Iterator[pd.DataFrame]:
+        merge()
+        for half, parts in held.items():
+            for high, low, n in parts:
+                yield pd.DataFrame({"half": np.full(len(n), half, np.int32), "high": high, "low": low, "c": n})
+            held[half] = []
 
+    for frame in frames:
+        for half in (0, 1):
+            texts = frame["text"][frame["half"] == half].tolist()
+            for a, b in batches(texts):
+                codes, high, low = distinct(*grams_of(*symbols_of(texts[a:b])[:2]))
+                held[half].append((high, low, np.bincount(codes).astype(np.int64)))
+                size += len(high)
+        if size > HELD:
+            merge()
+            size = sum(len(p[0]) for parts in held.values() for p in parts)
+            if size > HELD:
+                yield from give()
+                size = 0
+    yield from give()
+
+
+def half_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), text), F.lit(2)).cast("int")
+
+
+def trusted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """text and half of the documents whose id is among ids (__trusted)."""
+    bit = F.pmod(F.xxhash64("__trusted"), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__trusted), {FILTER_BITS}) & 63 as int))").alias("m"))
+    words = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(place: pd.Series) -> pd.Series:
+        at = place.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter("id IS NOT NULL AND text != ''")
+    slim = slim.filter(maybe(F.pmod(F.xxhash64(F.col("id").cast(ids.schema["__trusted"].dataType)), F.lit(FILTER_BITS))))
+    return slim.join(ids.hint("merge"), F.col("id") == F.col("__trusted")).select("text", half_of(F.col("text")).alias("half"))
 
-def share(spark, levels: list[tuple[DataFrame, DataFrame]]) -> _Shared:
-    """Send the model, of bounded size, to the executors."""
-    tables = []
-    for p, g in levels:
-        ps, gs = p.toPandas(), g.toPandas()
-        tables.append((ps["k"].to_numpy(np.int32), ps["p"].to_numpy(np.float32), gs["ctx"].to_numpy(np.int32), gs["g"].to_numpy(np.float32)))
-    return _Shared(spark, tables)
 
+def _discounted(counts: DataFrame) -> DataFrame:
+    """Counts (c) with what modified Kneser-Ney takes off each (d), by half."""
+    of = counts.groupBy("half").agg(*[F.sum((F.col("c") == i).cast("long")).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
+    d = [F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)))) for i in (1, 2, 3)]
+    of = of.select("half", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])  # two rows
+    return counts.join(F.broadcast(of), "half").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
 
-def _pairs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of a text, of the word before each, and of the two together."""
-    words = word_hashes([text], fold_case=False)[0]
-    left = np.concatenate([_START, words[:-1]]) if len(words) else words
-    return words.view(np.int64), left.view(np.int64), mix(left * _ODD + words).view(np.int64)
 
+def _shift(high: str, low: str) -> list[Column]:
+    """The context of a gram, as columns."""
+    return [F.shiftright(high, WIDE).alias("x"), F.shiftleft(F.col(high).bitwiseAND(_ONE), 2 * WIDE).bitwiseOR(F.shiftright(low, WIDE)).alias("y")]
 
-def _count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        words, left, pairs = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*map(_pairs, frame["text"]), strict=True)) if len(frame) else [np.zeros(0, np.int64)] * 3
-        found, first, n = np.unique(pairs, return_index=True, return_counts=True)
-        yield pd.DataFrame({"k": found, "v": left[first], "w": words[first], "c": n})
 
+def _drop_first(n: int) -> list[Column]:
+    """The last n symbols of a gram, as columns."""
+    if n > 3:
+        return [F.col("high").bitwiseAND((1 << WIDE * (n - 3)) - 1).alias("high"), F.col("low")]
+    return [F.lit(0).cast("long").alias("high"), F.col("low").bitwiseAND((1 << WIDE * n) - 1).alias("low")]
 
-def train_words(trusted: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict]:
-    """The word model in shards, and its few numbers: discounts by count of pairs (d2) and words (d1), pairs in all, and
-    the weight that words leave to their spelling (g0).
 
-    Rows (k, x, y, z): of a pair of words, its count; of a word, the distinct words before it, its count as a context and what is taken
-    off the pairs it begins.
+def train(texts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """The model of texts (text, half): rows (half, n, high, low, kind, value), where kind 0 gives the bits of an n-gram after its
+    context and kind 1 the bits of falling back from a context of n symbols; and the bits of an unknown symbol by half.
     """
-    texts = trusted.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("text != ''")
-    pairs = cut(texts.mapInPandas(_count_pairs, "k long, v long, w long, c long").groupBy("k", "v", "w").agg(F.sum("c").alias("c")))
-    rows = _discounted(pairs)
-    contexts = rows.groupBy("v").agg(F.sum("c").alias("y"), F.sum("d").alias("z"))
-    words = _discounted(pairs.groupBy("w").agg(F.count("*").alias("c")))
-    discounts = [F.max(F.when(F.least(F.col("c"), F.lit(3)) == i, F.col("d"))).alias(f"d{i}") for i in (1, 2, 3)]
-    two, one = rows.agg(*discounts).first(), words.agg(*discounts, F.sum("c").alias("all"), (F.sum("d") / F.sum("c")).alias("g0")).first()
-    of = lambda row: np.array([0.0] + [row[f"d{i}"] or 0.0 for i in (1, 2, 3)])
-    numbers = {"d2": of(two), "d1": of(one), "all": one["all"] or 0, "g0": 1.0 if one["g0"] is None else one["g0"]}
-    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-    single = words.select("w", F.col("c").alias("x")).join(contexts, F.col("w") == F.col("v"), "full").select(F.coalesce("w", "v").alias("k"), zero("x"), zero("y"), zero("z"))
-    return single.union(pairs.select("k", F.col("c").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))), numbers
-
-
-def _asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words and pairs of each text, once each."""
+    top = cut(texts.mapInPandas(_count, "half int, high long, low long, c long").groupBy("half", "high", "low").agg(F.sum("c").alias("c")))
+    counts = [top]
+    for n in range(ORDER - 1, 0, -1):
+        counts.insert(0, counts[0].select("half", *_drop_first(n)).groupBy("half", "high", "low").agg(F.count("*").alias("c")))
+    bits = lambda x: (-F.log2(x)).alias("value")
+    rows, below, unknown = None, None, {0: 0.0, 1: 0.0}
+    for n, counted in enumerate(counts, 1):
+        found = _discounted(counted).select("half", "high", "low", "c", "d", *_shift("high", "low"))
+        if n == 1:
+            found = found.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+        freed = found.groupBy("half", "x", "y").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g"), F.count("*").alias("kinds"))
+        found = found.join(freed, ["half", "x", "y"])
+        own = (F.col("c") - F.col("d")) / F.col("total")
+        if n == 1:
+            for row in freed.select("half", -F.log2(F.col("g") / (F.col("kinds") + 1))).collect():  # one row a half
+                unknown[row[0]] = row[1]
+            below = cut(found.select("half", "high", "low", (own + F.col("g") / (F.col("kinds") + 1)).alias("p")))
+        else:
+            shorter = below.select("half", F.col("high").alias("u"), F.col("low").alias("v"), F.col("p").alias("q"))
+            u, v = _drop_first(n - 1)
+            found = found.select("half", "high", "low", "g", own.alias("own"), u.alias("u"), v.alias("v")).join(shorter, ["half", "u", "v"])
+            below = cut(found.select("half", "high", "low", (F.col("own") + F.col("g") * F.col("q")).alias("p")))
+            back = freed.select("half", F.lit(n - 1).alias("n"), F.col("x").alias("high"), F.col("y").alias("low"), F.lit(1).alias("kind"), bits(F.col("g")))
+            rows = rows.union(back)
+        own_rows = below.select("half", F.lit(n).alias("n"), "high", "low", F.lit(0).alias("kind"), bits(F.col("p")))
+        rows = own_rows if rows is None else rows.union(own_rows)
+    return cut(rows), unknown
+
+
+def _place(h: np.ndarray, parts: int) -> np.ndarray:
+    """Shard and 32 bits of a hash, as one number that sorts by shard."""
+    return ((h & np.uint64(parts - 1)) << np.uint64(32)) | ((h >> np.uint64(parts.bit_length() - 1)) & np.uint64(0xFFFFFFFF))
+
+
+def asked_keys(high: np.ndarray, low: np.ndarray, half: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a block needs to know of its distinct grams: sorted places of n-grams below ORDER and contexts, and of the grams."""
+    lower = []
+    grams = [suffix(high, low, n) for n in range(1, ORDER)]
+    for n, (x, y) in enumerate(grams, 1):
+        lower.append(_place(hashed(x, y, n, half), parts))
+    for n, (x, y) in enumerate([*grams[1:], (high, low)], 1):
+        lower.append(_place(hashed(*context(x, y), n, half), parts))
+    return np.unique(np.concatenate([np.unique(x) for x in lower])), np.unique(_place(hashed(high, low, ORDER, half), parts))
+
+
+def gram_bits(high: np.ndarray, low: np.ndarray, half: int, parts: int, keys: tuple, answers: tuple, unknown: float) -> np.ndarray:
+    """Bits of each gram's last symbol after the others, from the answers on a block's keys."""
+    (lower, top), (p_lower, g_lower, p_top) = keys, answers
+    bits = np.full(len(low), unknown)
+    for n in range(1, ORDER + 1):
+        x, y = suffix(high, low, n) if n < ORDER else (high, low)
+        at = _place(hashed(x, y, n, half), parts)
+        p = p_top[np.searchsorted(top, at)] if n == ORDER else p_lower[np.searchsorted(lower, at)]
+        g = g_lower[np.searchsorted(lower, _place(hashed(*context(x, y), n - 1, half), parts))] if n > 1 else np.full(len(low), _ABSENT, np.uint16)
+        back = np.where(g == _ABSENT, 0, g / _STEP)
+        bits = np.where(p == _ABSENT, bits + back, p / _STEP)
+    return bits
+
+
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for a, b in batches(frame["text"].tolist()):
-            keys = [np.unique(np.concatenate(_pairs(text)[::2])) for text in frame["text"].iloc[a:b]]
-            yield pd.DataFrame({"key": np.repeat(frame["key"].to_numpy()[a:b], [len(x) for x in keys]), "k": np.concatenate(keys)})
+        yield pd.DataFrame({"block": frame["block"], "key": frame["key"], "z": [zlib.compress(t.encode("utf-8", "replace"), 1) for t in frame["text"]]})
 
 
-def word_chances(words: np.ndarray, left: np.ndarray, pairs: np.ndarray, known: tuple[np.ndarray, ...], numbers: dict, times: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word of a text its own probability after the word before and the weight left to its spelling.
+def _unpack(blobs) -> list[str]:
+    return [zlib.decompress(z).decode() for z in blobs]
 
-    ``known`` has the rows of the word model for the text's words and pairs, sorted by k. A text that was counted itself,
-    ``times`` times, is judged by the counts of all others.
-    """
 
-    def of(k: np.ndarray, column: np.ndarray) -> np.ndarray:
-        if not len(known[0]):
-            return np.zeros(len(k))
-        at = np.minimum(np.searchsorted(known[0], k), len(known[0]) - 1)
-        return np.where(known[0][at] == k, column[at], 0.0)
-
-    _, first, back, n = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
-    d1, d2 = numbers["d1"], numbers["d2"]
-    level = lambda c: np.minimum(c, 3).astype(np.int64)
-    before = of(pairs[first], known[1])
-    count = np.maximum(before - times * n, 0)
-    gone = ((before > 0) & (count == 0)).astype(float)
-    _, v = np.unique(left[first], return_inverse=True)
-    _, w = np.unique(words[first], return_inverse=True)
-    total = np.maximum(of(left[first], known[2]) - times * np.bincount(v, n)[v], 0)
-    freed = of(left[first], known[3]) - np.bincount(v, d2[level(before)] - d2[level(count)])[v]
-    kinds = np.maximum(of(words[first], known[1]) - np.bincount(w, gone)[w], 0)
-    every = max(numbers["all"] - gone.sum(), 1.0)
-    weight = np.where(total > 0, np.clip(freed / np.maximum(total, 1), 1e-9, 1), 1.0)
-    own = np.where(total > 0, np.maximum(count - d2[level(count)], 0) / np.maximum(total, 1), 0)
-    own = own + weight * np.maximum(kinds - d1[level(kinds)], 0) / every
-    return own[back], (weight * numbers["g0"])[back]
-
-
-def text_bits(model: Model, text: str, known: tuple[np.ndarray, ...], numbers: dict, times: int = 0) -> tuple[float, int]:
-    """Bits and symbols of a text."""
-    keys = keys_of(text)
-    spelled = model.bits[keys].astype(np.float64)
-    words, left, pairs = _pairs(text)
-    if not len(words):
-        return float(spelled.sum()), len(keys)
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    gap = (points == 32) | ((points >= 9) & (points <= 13))
-    begins = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-    spelled = np.add.reduceat(spelled, np.concatenate([[0], begins[1:]]))
-    own, rest = word_chances(words, left, pairs, known, numbers, times)
-    with np.errstate(divide="ignore"):
-        bits = np.where(own > 0, -np.log2(own + rest * np.exp2(-spelled)), spelled - np.log2(rest))
-    return float(bits.sum()), len(keys)
-
-
-def score_texts(texts: DataFrame, counted: DataFrame, shared: _Shared, words: DataFrame, numbers: dict) -> DataFrame:
-    """key, bits and symbols of each distinct text (key, text): its words and pairs are joined with the model's shards."""
-    asked = texts.mapInPandas(_asked, "key long, k long")
-    found = asked.join(words, "k").groupBy("key", "k").agg(*[F.first(c).alias(c) for c in "xyz"])
-    found = found.groupBy("key").agg(*[F.collect_list(c).alias(c + "s") for c in "kxyz"])
-    times = counted.groupBy("key").agg(F.count("*").alias("times"))
+def _runs(blobs) -> Iterator[tuple[int, int, list[str]]]:
+    """Texts of a block, a bounded number of characters at a time."""
+    step = 128
+    for start in range(0, len(blobs), step):
+        texts = _unpack(blobs[start : start + step])
+        for a, b in batches(texts):
+            yield start + a, start + b, texts[a:b]
 
+
+def _block_keys(blobs, half: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for _, _, texts in _runs(blobs):
+        found.append(distinct(*grams_of(*symbols_of(texts)[:2]))[1:])
+        size += len(found[-1][0])
+        if size > HELD:
+            found = [distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))[1:]]
+            size = len(found[0][0])
+    return asked_keys(*distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))[1:], half, parts)
+
+
+def _ask(parts: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """One row for each shard: the keys asked of it."""
+        block = int(frame["block"].iloc[0])
+        lower, top = _block_keys(frame["z"], block & 1, parts)
+        edges = np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)
+        a, b = np.searchsorted(lower, edges), np.searchsorted(top, edges)
+        short = lambda x: x.astype(np.uint32).tobytes()
+        rows = [(block, p, short(lower[a[p] : a[p + 1]]), short(top[b[p] : b[p + 1]])) for p in range(parts)]
+        return pd.DataFrame([r for r in rows if r[2] or r[3]], columns=["block", "part", "x", "y"])
+
+    return run
+
+
+def _model_rows(parts: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.zeros(0, np.int64), *[np.zeros(0)] * 3
+        """Shard, key and rounded value of the model's rows; kind 2 is an n-gram of the highest order."""
         for frame in frames:
-            model, out = _model(shared), []
-            for text, n, *columns in zip(*[frame[c] for c in ("text", "times", "ks", "xs", "ys", "zs")], strict=True):
-                known = none
-                if columns[0] is not None:
-                    order = np.argsort(columns[0])
-                    known = tuple(np.asarray(x)[order] for x in columns)
-                out.append(text_bits(model, text, known, numbers, int(n)))
-            yield pd.DataFrame({"key": frame["key"], "bits": [x[0] for x in out], "symbols": [x[1] for x in out]})
-
-    joined = texts.join(found, "key", "left").join(times, "key", "left").select("key", "text", F.coalesce("times", F.lit(0)).alias("times"), "ks", "xs", "ys", "zs")
-    scored = joined.mapInPandas(run, "key long, bits double, symbols long")
+            half, n = frame["half"].to_numpy(np.uint64), frame["n"].to_numpy(np.uint64)
+            h = mix(frame["low"].to_numpy(np.uint64) ^ mix(frame["high"].to_numpy(np.uint64) + ((np.uint64(2) * n + half) << np.uint64(48))))
+            at = _place(h, parts)
+            value = np.clip(np.round(frame["value"].to_numpy(float) * _STEP), 0, _ABSENT - 1)
+            kind = np.where(n == ORDER, 2, frame["kind"].to_numpy(int))
+            yield pd.DataFrame({"part": (at >> np.uint64(32)).astype(np.int32), "key": (at & np.uint64(0xFFFFFFFF)).astype(np.int64), "kind": kind.astype(np.int32), "value": value.astype(np.int32)})
+
+    return run
+
+
+def _answer(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """For each block that asked this shard: bits of its lower n-grams, of falling back from them, and of its grams."""
+    tables = []
+    for kind in (0, 1, 2):
+        own = model[model["kind"] == kind].sort_values("key")
+        tables.append((own["key"].to_numpy(np.int64), own["value"].to_numpy(np.uint16)))
+
+    def look(asked: np.ndarray, kind: int) -> np.ndarray:
+        keys, values = tables[kind]
+        if not len(keys):
+            return np.full(len(asked), _ABSENT, np.uint16)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[at] == asked, values[at], _ABSENT).astype(np.uint16)
+
+    out = []
+    for block, part, x, y in zip(asks["block"], asks["part"], asks["x"], asks["y"], strict=True):
+        lower, top = np.frombuffer(x, np.uint32).astype(np.int64), np.frombuffer(y, np.uint32).astype(np.int64)
+        out.append((block, part, look(lower, 0).tobytes(), look(lower, 1).tobytes(), look(top, 2).tobytes()))
+    return pd.DataFrame(out, columns=["block", "part", "p", "g", "t"])
+
+
+def _score(parts: int, unknown: dict[int, float]):
+    def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts):
+            return pd.DataFrame({"key": [], "bits": [], "symbols": []})
+        half = int(texts["block"].iloc[0]) & 1
+        keys = _block_keys(texts["z"], half, parts)
+        answers = answers.sort_values("part")
+        known = tuple(np.frombuffer(b"".join(answers[c]), np.uint16) for c in "pgt")
+        if len(known[0]) != len(keys[0]) or len(known[2]) != len(keys[1]):
+            raise ValueError("answers don't fit the block's keys")
+        bits, symbols = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for a, b, some in _runs(texts["z"]):
+            line, at, firsts = symbols_of(some)
+            codes, high, low = distinct(*grams_of(line, at))
+            each = gram_bits(high, low, half, parts, keys, known, unknown[half])[codes]
+            bits[a:b] = np.add.reduceat(each, firsts)
+            symbols[a:b] = np.diff(np.append(firsts, len(each)))
+        return pd.DataFrame({"key": texts["key"], "bits": bits, "symbols": symbols})
+
+    return run
+
+
+def score_texts(texts: DataFrame, model: DataFrame, unknown: dict[int, float]) -> DataFrame:
+    """key, bits and symbols of texts (id, key, text), once for each key. Texts of one half are judged by the model of the other."""
+    chars = texts.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    blocks = max(1, -(-chars // (2 * BLOCK_CHARS)))
+    parts = 1
+    while parts * SHARD_KEYS * 20 < chars:  # a block asks some key for every twenty characters
+        parts *= 2
+    block = 2 * F.pmod(F.xxhash64("id", "key"), F.lit(blocks)) + 1 - half_of(F.col("text"))
+    packed = texts.select(block.alias("block"), "key", "text").mapInPandas(_pack, "block long, key long, z binary")
+    asks = packed.groupBy("block").applyInPandas(_ask(parts), "block long, part int, x binary, y binary")
+    rows = model.mapInPandas(_model_rows(parts), "part int, key long, kind int, value int")
+    answers = asks.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(_answer, "block long, part int, p binary, g binary, t binary")
+    scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(parts, unknown), "key long, bits double, symbols long")
     return scored.groupBy("key").agg(F.first("bits").alias("bits"), F.first("symbols").alias("symbols"))
 
 
-def judge(
-    docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", low: float = LOW, high: float = HIGH
-) -> DataFrame:
-    """The documents with __bits (drawn perplexity, bits a symbol), __low, __high (bounds of its language), __kept.
+def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high: float = HIGH) -> DataFrame:
+    """The documents with __bits (drawn perplexity, bits a symbol), __high (bound of its language), __kept.
 
     ``trusted_ids`` has one column: ids of trusted documents.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted")).distinct()
-    trusted = docs.select(id_col, text_col).join(ids.hint("merge"), F.col(id_col) == F.col("__trusted"))
-    held = lambda key: F.pmod(F.xxhash64(F.lit("held"), key), F.lit(HELD_OUT)) == 0
-    counted = trusted.filter(~held(F.col(id_col))).select(text_col)
-    shared = share(docs.sparkSession, train(counted, text_col))
-    words, numbers = train_words(counted, text_col)
+    model, unknown = train(trusted_texts(docs, ids, id_col, text_col))
+    release(spark)
     whole = F.coalesce(F.col(text_col), F.lit(""))
-    scores = cut(score_texts(docs.select(F.xxhash64(whole).alias("key"), whole.alias("text")), counted.select(F.xxhash64(whole).alias("key")), shared, words, numbers))
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(whole).alias("key"))
-    slim = slim.join(scores, "key").select("id", "lang", F.struct("bits", "symbols").alias("s"))
-    # An inner join stays above the scores; a semi-join would be pushed below them and shuffle the texts again.
-    known = slim.join(ids, F.col("id") == F.col("__trusted")).select("lang", "s.bits", "s.symbols", held(F.col("id")).alias("held"))
-    known = cut(known)
-    of = lambda which: F.sum(F.when(which, F.col("bits"))) / F.sum(F.when(which, F.col("symbols")))
-    m_in, m_out = of(~F.col("held")), of(F.col("held"))
-    overall = known.agg(F.coalesce(m_in, m_out, F.lit(0.0)).alias("__m_all"), F.greatest(F.coalesce(m_out - m_in, F.lit(0.0)), F.lit(0.0)).alias("__gap_all"))
-    known = known.crossJoin(F.broadcast(overall))  # one row
-    means = known.groupBy("lang").agg(F.coalesce(m_in, m_out).alias("m"), F.greatest(F.coalesce(m_out - m_in, F.first("__gap_all")), F.lit(0.0)).alias("gap"))
-    means = cut(means)
-    few = means.count() <= LANGUAGES  # then a row a language is sent to all, else joined by language
-    means = F.broadcast(means) if few else means
+    scores = cut(score_texts(docs.select(F.col(id_col).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("text")), model, unknown))
+    release(spark)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(whole).alias("key"))
+    # An inner join stays above the scores; a semi-join would be pushed below them.
+    known = cut(slim.join(scores, "key").join(ids, F.col("id") == F.col("__trusted")).select("lang", "bits", "symbols"))
+    mean = lambda: F.sum("bits") / F.sum("symbols")
     drawn = lambda m: (F.col("bits") + PRIOR * m) / (F.col("symbols") + PRIOR)
-    fair = lambda m, gap: drawn(m) + F.when(F.col("held"), F.lit(0.0)).otherwise(gap)
-    quantiles = F.percentile_approx("d", [low, 0.5, high], 20_000).alias("q")
-    per = known.join(means, "lang").withColumn("d", fair(F.col("m"), F.col("gap"))).groupBy("lang").agg(quantiles, F.first(F.col("m") + F.col("gap")).alias("m"))
-    every = known.withColumn("d", fair(F.col("__m_all"), F.col("__gap_all"))).agg(quantiles, F.first(F.col("__m_all") + F.col("__gap_all")).alias("m"))
-    every = cut(every.select(F.col("q").alias("__q_all"), F.col("m").alias("__m_all")))  # one row
-    per = cut(per.select(F.col("lang").alias("__lang"), F.col("q").alias("__q"), F.col("m").alias("__m")))
-    per = F.broadcast(per) if few else per
+    quantile = F.greatest(F.percentile_approx("d", high, 20_000), F.avg("d") + SPREAD * F.stddev_pop("d"))
+    means = known.groupBy("lang").agg(mean().alias("m"))
+    means = cut(means.select(F.col("lang").alias("__lang"), F.col("m").alias("__m")))
+    few = (lambda df: F.broadcast(df)) if means.count() <= LANGUAGES else (lambda df: df)
+    per = known.join(few(means), F.col("lang").eqNullSafe(F.col("__lang"))).withColumn("d", drawn(F.col("__m"))).groupBy("__lang").agg(F.first("__m").alias("__m"), quantile.alias("__q"))
+    per = cut(per.select("__lang", "__m", "__q", F.lit(True).alias("__has")))
+    overall = known.agg(mean().alias("m")).first()["m"] or 0.0
+    bound = known.withColumn("d", drawn(F.lit(overall))).agg(quantile.alias("q")).first()["q"]
     marked = scores.select(F.col("key").alias("__key"), F.struct("bits", "symbols").alias("__s"))
-    scored = docs.withColumn("__text", F.xxhash64(whole)).join(marked, F.col("__text") == F.col("__key")).withColumn("__of", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
-    joined = scored.join(per, F.col("__of") == F.col("__lang"), "left").crossJoin(F.broadcast(every))
-    m, q = F.coalesce("__m", "__m_all"), F.coalesce("__q", "__q_all")
+    scored = docs.withColumn("__text", F.xxhash64(whole)).join(marked, F.col("__text") == F.col("__key"))
+    joined = scored.join(few(per), F.col(f"`{lang_col}`").cast("string").eqNullSafe(F.col("__lang")), "left")
+    own = F.coalesce("__has", F.lit(False))
+    m = F.when(own, F.col("__m")).otherwise(F.lit(overall))
+    q = F.when(own, F.col("__q")).otherwise(F.lit(bound).cast("double"))
     bits = F.when(F.col("__s.symbols") <= 1, m).otherwise((F.col("__s.bits") + PRIOR * m) / (F.col("__s.symbols") + PRIOR))
-    beyond = lambda edge: edge + MARGIN * (edge - q[1])
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], bits.alias("__bits"), beyond(q[0]).alias("__low"), beyond(q[2]).alias("__high"))
-    empty = F.length(whole) == 0
-    return out.withColumn("__kept", empty | F.coalesce(F.col("__bits").between(F.col("__low"), F.col("__high")), F.lit(True)))
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], bits.alias("__bits"), q.alias("__high"))
+    return out.withColumn("__kept", (F.length(whole) == 0) | F.coalesce(F.col("__bits") <= F.col("__high"), F.lit(True)))

@@ -49,7 +49,7 @@ def op6_pii(spark: SparkSession, root: str) -> DataFrame:
 def op8_quality(spark: SparkSession, root: str) -> DataFrame:
     trusted = _read(spark, root, "labels").filter("quality = 1").select("doc_id")
     judged = perplexity.judge(_read(spark, root, "documents").select("doc_id", "text", "lang"), trusted)
-    return judged.select("doc_id", "lang", F.col("__bits").alias("bits"), F.col("__low").alias("low"), F.col("__high").alias("high"), F.col("__kept").alias("kept"))
+    return judged.select("doc_id", "lang", F.col("__bits").alias("bits"), F.col("__high").alias("high"), F.col("__kept").alias("kept"))
 
 
 def op7_sharding(spark: SparkSession, root: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import perplexity, pieces, pii, toxicity
 from tests.llm.fixtures import SCHEMA, WORDS, documents, prose
@@ -154,15 +155,63 @@ def test_perplexity_keeps_clean_and_rejects_junk(spark):
     assert empty.filter("__kept").count() == len(rows)
 
 
-def test_perplexity_is_a_distribution(spark):
-    texts = spark.createDataFrame([(" ".join(WORDS),), ("aa bb aa cc",), (None,)], "text string")
-    levels = perplexity.train(texts)
-    shared = perplexity.share(spark, levels)
-    model = perplexity.Model(shared.value)
-    p = np.exp2(-model.bits.astype(float)).reshape(-1, 1 << perplexity.BITS)
-    context = int(perplexity.keys_of("aa b")[-1]) & ((1 << 18) - 1)
-    for row in (0, context, 12345):
-        assert p[row].sum() == pytest.approx(1, abs=0.01)
+def _kneser_ney(texts):
+    """Bits of the last symbol of an n-gram by modified Kneser-Ney, counted in dictionaries."""
+    top, n = Counter(), perplexity.ORDER
+    for t in texts:
+        padded = "\ue000" * (n - 1) + t + "\ue000"
+        top.update(padded[i : i + n] for i in range(len(t) + 1))
+    levels = {n: top}
+    for k in range(n - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def discounts(counts):
+        of = Counter(min(c, 5) for c in counts.values())
+        y = of[1] / max(of[1] + 2 * of[2], 1)
+        return [max(0.1, min(i - 0.1, i - (i + 1) * y * of[i + 1] / max(of[i], 1))) for i in (1, 2, 3)]
+
+    cuts = {k: discounts(c) for k, c in levels.items()}
+
+    def chance(gram):
+        if not gram:
+            return 1 / (len(levels[1]) + 1)
+        counts, d = levels[len(gram)], cuts[len(gram)]
+        here = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        if not here:
+            return chance(gram[1:])
+        total, freed = sum(here.values()), sum(d[min(c, 3) - 1] for c in here.values())
+        own = max(here[gram] - d[min(here[gram], 3) - 1], 0) if gram in here else 0
+        return own / total + freed / total * chance(gram[1:])
+
+    def bits(text):
+        padded = "\ue000" * (n - 1) + text + "\ue000"
+        return sum(-np.log2(chance(padded[i : i + n])) for i in range(len(text) + 1)), len(text) + 1
+
+    return bits
+
+
+def test_perplexity_equals_brute_force(spark):
+    # Each text is judged by the model of the half that it isn't in; é and 日本 are symbols of their own.
+    rng = random.Random(5)
+    texts = [prose(rng, 6) for _ in range(24)] + ["é 日本 é", "aa bb aa cc", "", "a", "Zz\0x", "aaaaaaaaaaaaaa"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("half", perplexity.half_of(F.col("text")))
+    half = {r["text"]: r["half"] for r in frame.collect()}
+    trusted = texts[:12] + texts[24:26]
+    model, unknown = perplexity.train(frame.filter(F.col("text").isin(trusted)).select("text", "half"))
+    got = perplexity.score_texts(frame.select("id", F.col("id").alias("key"), "text"), model, unknown).collect()
+    own = {h: _kneser_ney([t for t in trusted if half[t] == h]) for h in (0, 1)}
+    assert len(got) == len(texts) and {half[t] for t in trusted} == {0, 1}
+    for r in got:
+        want = own[1 - half[texts[r["key"]]]](texts[r["key"]])
+        assert r["symbols"] == want[1] and r["bits"] == pytest.approx(want[0], abs=0.001 * want[1])
+
+
+def test_perplexity_awkward_cases(spark, docs):
+    ids = spark.createDataFrame([(i * 3,) for i in range(0, 30, 2)] + [(3,), (None,)], "doc_id long")
+    judged = perplexity.judge(docs, ids).collect()
+    assert Counter(r["doc_id"] for r in judged) == Counter(r[0] for r in documents())
+    assert all(r["__kept"] for r in judged if not r["text"])
+    assert len({(r["__bits"]) for r in judged if r["text"] == "one" and r["lang"] == "en"}) == 1
 
 
 def test_perplexity_knows_words_and_their_order(spark):
@@ -185,16 +234,6 @@ def test_perplexity_knows_words_and_their_order(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(20))
 
 
-def test_word_model_is_a_distribution(spark):
-    texts = spark.createDataFrame([("a b a c",), ("b a b b",), (None,)], "text string")
-    rows, numbers = perplexity.train_words(texts)
-    found = sorted(tuple(r) for r in rows.collect())
-    known = np.array([r[0] for r in found], np.int64), *(np.array([r[i] for r in found], float) for i in (1, 2, 3))
-    for v in "abx":
-        of = [[x[1] for x in perplexity.word_chances(*perplexity._pairs(f"{v} {w}"), known, numbers)] for w in "abc"]
-        assert sum(x[0] for x in of) + of[0][1] == pytest.approx(1)
-
-
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
