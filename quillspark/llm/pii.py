@@ -10,6 +10,9 @@ Words without digit or @ whose neighbours have none either are always labelled O
 transition outweighs their emission, so a line decomposes into the stretches around other words, and only those are
 decoded, exactly as the whole line would be. If the check fails, whole lines are decoded.
 
+Bounds. Emissions are made and decoded for at most CELLS words at once: short stretches together, a longer one in pieces that carry the
+best score of each label on, keeping a byte a label and word for the way back. The shape of a word is that of its first 24 runs.
+
 Cases. Null text counts as empty: no spans. Offsets are code points of the whole text; lines and texts of any length are
 read whole. Added spans never overlap base ones. Repeated rows give the same spans; extra columns are ignored.
 """
@@ -19,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ship
+from quillspark.llm.shingles import batches
+
+#: Words whose emissions are held at once.
+CELLS = 50_000
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -86,6 +95,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+@lru_cache(10_000)
 def _shape(word: str) -> str:
     """Character classes with runs collapsed; runs of digits keep their length up to five."""
     out, i = [], 0
@@ -109,10 +119,26 @@ def _digits(word: str) -> str:
 
 
 def _cue(word: str) -> str:
-    return CUES.get(word.strip(":,.;()[]").lower(), "") if len(word) < 16 else ""
+    return CUES.get(word.strip(":,.;()[]").lower(), "")
+
+
+class _Words(Sequence):
+    """The words of a line by their places, cut out when asked for."""
+
+    def __init__(self, line: str):
+        places = array("q")
+        for m in _TOKEN.finditer(line):
+            places.extend(m.span())
+        self.line, self.places = line, places
+
+    def __len__(self) -> int:
+        return len(self.places) // 2
 
+    def __getitem__(self, i: int) -> str:
+        return self.line[self.places[2 * i] : self.places[2 * i + 1]]
 
-def word_features(words: list[str], i: int) -> list[str]:
+
+def word_features(words: Sequence[str], i: int) -> list[str]:
     """Features of one word, from its own shape and that of its neighbours."""
     w = words[i]
     shape = _shape(w)
@@ -173,6 +199,15 @@ def example_table(rows: int = 300, seed: int = 5) -> list[tuple[str, list[tuple[
     return out
 
 
+def _way_back(back: np.ndarray, last: int) -> np.ndarray:
+    """The best labels from what came before each, and the last one."""
+    path = np.zeros(len(back), int)
+    path[-1] = last
+    for t in range(len(back) - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return path
+
+
 class Field:
     """A linear-chain conditional random field: emission weights by feature, transitions, start weights."""
 
@@ -185,7 +220,7 @@ class Field:
     def _ids(self, features: list[str]) -> list[int]:
         return [i for f in features if (i := self.index.get(f)) is not None]
 
-    def scores(self, words: list[str], at: range | None = None) -> np.ndarray:
+    def scores(self, words: Sequence[str], at: range | None = None) -> np.ndarray:
         return np.array([self.emit[self._ids(word_features(words, i))].sum(0) for i in (at or range(len(words)))]).reshape(-1, len(LABELS))
 
     def train(self, table: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 80, ridge: float = 0.02) -> Field:
@@ -275,39 +310,68 @@ class Field:
             best[:live] = options.max(1) + every[:live, t]
         out: list[np.ndarray] = [np.zeros(0, int)] * len(order)
         for row, i in enumerate(order):
-            path = np.zeros(lengths[row], int)
-            path[-1] = best[row].argmax()
-            for t in range(lengths[row] - 1, 0, -1):
-                path[t - 1] = back[row, t, path[t]]
-            out[i] = path
+            out[i] = _way_back(back[row, : lengths[row]], int(best[row].argmax()))
+        return out
+
+    def _decode_long(self, words: Sequence[str], at: range) -> np.ndarray:
+        """Best labels of one stretch of any length, its emissions made piece by piece."""
+        back = np.zeros((len(at), len(LABELS)), np.int8)
+        best = None
+        for start in range(0, len(at), CELLS):
+            for t, e in enumerate(self.scores(words, at[start : start + CELLS]), start):
+                if best is None:
+                    best = e
+                else:
+                    options = best[:, None] + self.move
+                    back[t] = options.argmax(0)
+                    best = options.max(0) + e
+        return _way_back(back, int(best.argmax()))
+
+    def decode(self, jobs: list[tuple[Sequence[str], range]]) -> list[np.ndarray]:
+        """Best labels of stretches of lines, padded together by length while they fit in CELLS words."""
+        out: list[np.ndarray] = [np.zeros(0, int)] * len(jobs)
+        order = sorted(range(len(jobs)), key=lambda i: len(jobs[i][1]))
+        start = 0
+        while start < len(order):
+            end = start + 1
+            while end < len(order) and (end + 1 - start) * len(jobs[order[end]][1]) <= CELLS:
+                end += 1
+            some = order[start:end]
+            if len(jobs[some[-1]][1]) > CELLS:
+                paths = [self._decode_long(*jobs[i]) for i in some]
+            else:
+                paths = self.viterbi([self.scores(*jobs[i]) for i in some])
+            for i, path in zip(some, paths, strict=True):
+                out[i] = path
+            start = end
         return out
 
     def find(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """Spans that the field labels in each text, with marks around them trimmed."""
-        jobs, emissions = [], []
+        jobs, places = [], []
         for nth, text in enumerate(texts):
             if not _HOT.search(text):
                 continue
             start = 0
             for line in text.split("\n"):
                 if _HOT.search(line):
-                    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(line)]
-                    words = [line[a:b] for a, b in tokens]
-                    hot = np.array([bool(_HOT.search(w)) for w in words])
-                    cue = np.array([bool(_cue(w)) for w in words])
+                    words = _Words(line)
+                    hot = np.fromiter((bool(_HOT.search(w)) for w in words), bool, len(words))
+                    cue = np.fromiter((bool(_cue(w)) for w in words), bool, len(words))
                     near = hot.copy() if self.decomposes else np.ones(len(words), bool)
                     for k in (1, 2):
                         near[k:] |= hot[:-k]
                         near[:-k] |= hot[k:]
                         near[k:] |= cue[:-k]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], near.astype(np.int8), [0]])))
-                    for a, b in zip(edge[::2], edge[1::2], strict=True):
+                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                         if hot[a:b].any():
-                            jobs.append((nth, start, tokens, a, text))
-                            emissions.append(self.scores(words, range(a, b)))
+                            jobs.append((words, range(a, b)))
+                            places.append((nth, start, a, text))
                 start += len(line) + 1
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        for (nth, start, tokens, first, text), path in zip(jobs, self.viterbi(emissions), strict=True):
+        for (nth, start, first, text), (words, _), path in zip(places, jobs, self.decode(jobs), strict=True):
+            tokens = words.places
             i = 0
             while i < len(path):
                 if path[i] == 0:
@@ -316,7 +380,7 @@ class Field:
                 kind, j = LABELS[path[i]][2:], i + 1
                 while j < len(path) and LABELS[path[j]] == f"I-{kind}":
                     j += 1
-                a, b = start + tokens[first + i][0], start + tokens[first + j - 1][1]
+                a, b = start + tokens[2 * (first + i)], start + tokens[2 * (first + j - 1) + 1]
                 while b > a and not text[b - 1].isalnum():
                     b -= 1
                 while a < b and not (text[a].isalnum() or text[a] in "(+"):
@@ -331,12 +395,12 @@ def plausible(kind: str, value: str) -> bool:
     """What an added span must hold, whatever its spelling."""
     digits = len(_ASCII_DIGITS.findall(value))
     if kind == "email":
-        return bool(re.search(r"@|[(\[{]at[)\]}]", value, re.I)) and "." in value and len(value) <= 254
+        return bool(re.search(r"@|[(\[{]at[)\]}]", value, re.I)) and "." in value
     if kind == "ip":
         return 4 <= digits <= 16 and len(re.findall("[0-9]+", value)) >= 4
     if kind == "card":
         return 16 <= digits <= 19 and luhn("".join(_ASCII_DIGITS.findall(value)))
-    return 8 <= digits <= 15 and len(value) <= 30 and not re.search("[A-Za-z]", value)
+    return 8 <= digits <= 15 and not re.search("[A-Za-z]", value)
 
 
 def merge(base: list[tuple[str, int, int]], added: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -356,20 +420,20 @@ def _show(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, counts of base spans by kind, digest of the base spans, all spans as text (kind:start:end) and the number added."""
+    """id, counts of base spans by kind, digest of the base spans, all spans as text (kind:start:end), the number added and of all."""
     ship(docs.sparkSession)
     field = field or Field().train(example_table())
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), 200):
-                part = frame.iloc[start : start + 200]
+            for start, end in batches(frame["text"].tolist()):
+                part = frame.iloc[start:end]
                 texts = part["text"].tolist()
                 base = [base_spans(t) for t in texts]
                 every = [merge(b, a) for b, a in zip(base, field.find(texts), strict=True)]
                 counts = {f"n_{k}": [sum(s[0] == k for s in b) for b in base] for k in KINDS}
                 sha = [hashlib.sha256(_show(sorted(b, key=lambda s: (KINDS.index(s[0]), s[1]))).encode()).hexdigest() for b in base]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), **counts, "base_sha256": sha, "spans": [_show(e) for e in every], "n_added": [len(e) - len(b) for e, b in zip(every, base, strict=True)]})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), **counts, "base_sha256": sha, "spans": [_show(e) for e in every], "n_added": [len(e) - len(b) for e, b in zip(every, base, strict=True)], "n_spans": [len(e) for e in every]})
 
-    return slim.mapInPandas(run, f"id {slim.schema['id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return slim.mapInPandas(run, f"id {slim.schema['id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
