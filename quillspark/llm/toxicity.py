@@ -2,8 +2,8 @@
 
 Method. Terms are learned from labelled documents: word beginnings that are far more frequent in toxic ones, each either
 a whole word or a stem that words of many endings share. The trie of all terms is intersected with the Levenshtein
-automaton of distance one (insertion, deletion, substitution, neighbouring letters swapped) and made deterministic, so one table
-says for every word whether it is a term, starts with a stem, or misspells either. Whole batches of words walk the table
+automaton of distance one (insertion, deletion, substitution, neighbouring letters swapped) and made deterministic as texts
+take its transitions, so one table says for every word whether it is a term, starts with a stem, or misspells either. Whole batches of words walk the table
 together in numpy; words of no interest leave it after a letter or two. Digits count as letters, and so do
 marks between letters (id1ot, mo*on).
 
@@ -11,10 +11,10 @@ A context window around every match counts quotation marks on both sides; matche
 are counted apart from the others. A logistic regression over the counts and their density gives the score. As labels
 hold few misspellings, the fit also sees each toxic sample with its exact matches turned into misspelled ones.
 
-Bounds. The fit uses at most about SAMPLE labelled documents, picked by a seeded hash, and at most MAX_TERMS terms; the table
-has at most a few thousand states. Scoring reads every whole text.
+Bounds. The fit uses at most about SAMPLE labelled documents, picked by a seeded hash, of which copies and near copies (equal smallest
+shingle) count once; all terms significant in them are used. The table is begun anew beyond STATES states. Scoring reads every whole text.
 
-Cases. Null and empty texts score as a text without matches. Without labels of both kinds every score is the share of
+Cases. A document labelled both ways counts as toxic. Null and empty texts score as a text without matches. Without labels of both kinds every score is the share of
 toxic labels, or 0.5 without labels. Repeated rows score alike; extra columns are ignored.
 """
 
@@ -29,16 +29,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ship
+from quillspark.llm.common import cut, ship
+from quillspark.llm.shingles import batches, shingle_sets
 
 SAMPLE = 20_000
-MAX_TERMS = 64
+#: States kept between batches of texts.
+STATES = 100_000
+#: Training documents that must hold a term, and the length from which a term can be misspelled.
+LEAST_DOCS = 3
+SHORTEST_MISSPELLED = 4
 #: Lengths of word beginnings that can become terms.
 SHORTEST, LONGEST = 3, 10
 #: Characters to each side of a match in which quotation marks are counted.
 WINDOW = 200
-#: Texts walked together.
-BATCH = 200
 
 # Quotation marks, and marks that may stand for a letter inside a word.
 _QUOTES = "\"“”„«»"
@@ -49,76 +52,108 @@ _WORD = re.compile(r"[^\W\d_]+")
 EXACT, STEM, FUZZY, FUZZY_SHORT, FUZZY_STEM = range(1, 6)
 KINDS = 5
 LONG_TERM = 7
-#: Half the log-likelihood ratio that a term needs; chance alone reaches it once in some 100,000 word beginnings.
-LEAST_G = 10.0
+#: Half the log-likelihood ratio that a term needs is this more than the logarithm of how many are asked about: chance alone
+#: reaches that in few of a hundred trainings.
+SURE = 3.0
 
 
 class Automaton:
-    """The deterministic product of a trie of terms and the Levenshtein automaton of distance one."""
+    """The deterministic product of a trie of terms and the Levenshtein automaton of distance one, made where texts go.
+
+    Whole terms and stems have a trie each. A state is a set of (node, errors, letter still to come after a swap); state 0 is
+    empty, state 1 the start. Transitions are found when a word first takes them.
+    """
 
     def __init__(self, terms: list[tuple[str, bool]]):
         """``terms``: (text, whole); a term that isn't whole is a stem."""
         letters = sorted({c for text, _ in terms for c in text})
+        self.letters = ["", *letters]
         self.symbol = {c: i + 1 for i, c in enumerate(letters)}
         self.other = len(letters) + 1
         self.width = self.other + 1
-        self._terms = terms
-        start = frozenset((t, 0, 0, 0) for t in range(len(terms)))
-        numbers, rows, accepts, todo = {frozenset(): 0, start: 1}, [[0] * self.width], [0], [start]
-        while todo:
-            state = todo.pop(0)
-            row = [0] * self.width
-            for s in range(1, self.width):
-                nxt = self._next(state, letters[s - 1] if s <= len(letters) else "")
-                if nxt not in numbers:
-                    numbers[nxt] = len(numbers)
-                    todo.append(nxt)
-                row[s] = numbers[nxt]
-            rows.append(row)
-            accepts.append(self._kind(state))
-        self.table = np.array(rows, np.int32).ravel()
-        self.accepts = np.array(accepts, np.int8)
-        self._terms = []
-
-    def _next(self, state: frozenset, c: str) -> frozenset:
-        """States (term, letters matched, errors, swap pending) after one more letter."""
-        out: set[tuple[int, int, int, int]] = set()
-        for t, at, errors, swap in state:
-            text, whole = self._terms[t]
-            if at == len(text) and not whole:
-                out.add((t, at, errors, 0))  # past a stem anything may follow
-                continue
+        #: Of each node: its children by symbol, its depth, whether a term ends there, whether it belongs to whole terms.
+        self.children: list[dict[int, int]] = [{}, {}]
+        self.depth, self.ends, self.whole = [0, 0], [False, False], [True, False]
+        for text, whole in terms:
+            node = 0 if whole else 1
+            for c in text:
+                step = self.children[node]
+                if self.symbol[c] not in step:
+                    step[self.symbol[c]] = len(self.children)
+                    self.children.append({})
+                    self.depth.append(self.depth[node] + 1)
+                    self.ends.append(False)
+                    self.whole.append(whole)
+                node = step[self.symbol[c]]
+            self.ends[node] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all states but the first two."""
+        start = frozenset({(0, 0, 0), (1, 0, 0)})
+        self.sets: list[frozenset] = [frozenset(), start]
+        self.numbers = {s: i for i, s in enumerate(self.sets)}
+        self.table = np.full(64 * self.width, -1, np.int32)
+        self.table[: self.width] = 0
+        self.accepts = np.zeros(64, np.int8)
+
+    def _next(self, state: frozenset, s: int) -> frozenset:
+        """The state after one more letter."""
+        out: set[tuple[int, int, int]] = set()
+        for node, errors, swap in state:
             if swap:
-                if at + 1 < len(text) and text[at] == c:
-                    out.add((t, at + 2, 1, 0))
+                if swap == s:
+                    out.add((node, 1, 0))
                 continue
-            if at < len(text) and text[at] == c:
-                out.add((t, at + 1, errors, 0))
-            if errors == 0 and len(text) >= 4:
-                if at > 0 or whole:
-                    out.add((t, at, 1, 0))  # inserted
-                if at < len(text):
-                    out.add((t, at + 1, 1, 0))  # substituted
-                if at + 1 < len(text) and text[at + 1] == c:
-                    out.add((t, at + 2, 1, 0))  # one deleted before
-                    out.add((t, at, 0, 1))  # or swapped with the next
+            if self.ends[node] and not self.whole[node]:
+                out.add((node, errors, 0))  # past a stem anything may follow
+            step = self.children[node]
+            if s in step:
+                out.add((step[s], errors, 0))
+            if errors:
+                continue
+            if node != 1:
+                out.add((node, 1, 0))  # inserted
+            for letter, child in step.items():
+                out.add((child, 1, 0))  # substituted
+                after = self.children[child].get(s)
+                if after is not None:
+                    out.add((after, 1, 0))  # one deleted before
+                    out.add((after, 0, letter))  # or swapped with the next
         # Fewer errors at the same place make the others needless.
-        return frozenset(x for x in out if not (x[2] == 1 and not x[3] and (x[0], x[1], 0, 0) in out))
+        return frozenset(x for x in out if not (x[1] == 1 and (x[0], 0, 0) in out))
 
     def _kind(self, state: frozenset) -> int:
         kinds = []
-        for t, at, errors, swap in state:
-            text, whole = self._terms[t]
+        for node, errors, swap in state:
             if swap:
                 continue
-            if at == len(text) and not errors:
-                kinds.append(EXACT if whole else STEM)
-            elif at == len(text):
-                kinds.append((FUZZY if len(text) >= LONG_TERM else FUZZY_SHORT) if whole else FUZZY_STEM)
-            elif at == len(text) - 1 and not errors and whole and len(text) >= 4:  # the last letter is missing
-                kinds.append(FUZZY if len(text) >= LONG_TERM else FUZZY_SHORT)
+            if self.ends[node] and not errors:
+                kinds.append(EXACT if self.whole[node] else STEM)
+            elif self.ends[node] and self.depth[node] >= SHORTEST_MISSPELLED:
+                kinds.append((FUZZY if self.depth[node] >= LONG_TERM else FUZZY_SHORT) if self.whole[node] else FUZZY_STEM)
+            if not errors and self.whole[node] and self.depth[node] + 1 >= SHORTEST_MISSPELLED and any(self.ends[c] for c in self.children[node].values()):
+                kinds.append(FUZZY if self.depth[node] + 1 >= LONG_TERM else FUZZY_SHORT)  # the last letter is missing
         return min(kinds, default=0)
 
+    def _step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states after one letter each; those not taken before are worked out."""
+        at = states * self.width + symbols
+        out = self.table[at]
+        if (out < 0).any():
+            for place in np.unique(at[out < 0]).tolist():
+                found = self._next(self.sets[place // self.width], place % self.width)
+                if found not in self.numbers:
+                    n = self.numbers[found] = len(self.sets)
+                    self.sets.append(found)
+                    if n == len(self.accepts):
+                        self.accepts = np.concatenate([self.accepts, np.zeros(n, np.int8)])
+                        self.table = np.concatenate([self.table, np.full(n * self.width, -1, np.int32)])
+                    self.accepts[n] = self._kind(found)
+                self.table[place] = self.numbers[found]
+            out = self.table[at]
+        return out
+
     def prepare(self) -> None:
         """The table from code points to symbols; made on the worker, not sent."""
         table = np.zeros(65536, np.int32)
@@ -138,6 +173,8 @@ class Automaton:
         """Per text: counts of each kind outside quotations, then inside, then the number of words."""
         if not hasattr(self, "points"):
             self.prepare()
+        if len(self.sets) > STATES:
+            self.forget()
         joined = "\n".join(texts).lower()
         sizes = np.array([len(x.lower()) + 1 for x in texts])
         firsts = np.cumsum(sizes) - sizes
@@ -149,12 +186,12 @@ class Automaton:
         symbols[inner + 1] = self.other
         begins = np.flatnonzero((symbols[1:] > 0) & (symbols[:-1] == 0))  # in points
         ends = np.flatnonzero((symbols[1:] == 0) & (symbols[:-1] > 0))
-        states = np.ones(len(begins), np.int32)
+        states = np.ones(len(begins), np.int64)
         live = np.arange(len(begins))
         step = 0
         final = np.zeros(len(begins), np.int32)
         while len(live):
-            states = self.table[states * self.width + symbols[begins[live] + 1 + step]]
+            states = self._step(states, symbols[begins[live] + 1 + step])
             step += 1
             alive = states > 0
             live, states = live[alive], states[alive]
@@ -211,7 +248,6 @@ def learn_terms(sample: DataFrame, text_col: str, toxic_col: str) -> list[tuple[
     n1, n0 = totals["n1"], totals["n"] - totals["n1"]
     if not n1 or not n0:
         return []
-    least = max(3, 0.02 * n1)
 
     def heads(only: frozenset | None, toxic: int):
         """Document counts of word beginnings in a task's texts, as whole words and as parts."""
@@ -231,7 +267,7 @@ def learn_terms(sample: DataFrame, text_col: str, toxic_col: str) -> list[tuple[
         return own.groupBy("w").agg(F.sum("whole").alias("whole"), F.sum("part").alias("part"))
 
     # Only toxic documents propose; the others, far more, are asked about what was proposed.
-    toxic = heads(None, 1).select("w", F.greatest("whole", "part").alias("a"), "whole", "part").filter(F.col("a") >= least)
+    toxic = heads(None, 1).select("w", F.greatest("whole", "part").alias("a"), "whole", "part").filter(F.col("a") >= LEAST_DOCS)
     proposed = toxic.toPandas()
     toxic = sample.sparkSession.createDataFrame(proposed, toxic.schema)
     clean = heads(frozenset(proposed["w"]), 0).select("w", F.greatest("whole", "part").alias("b"))
@@ -240,11 +276,16 @@ def learn_terms(sample: DataFrame, text_col: str, toxic_col: str) -> list[tuple[
     share = (a + b) / (n1 + n0)
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g = term(a, share * n1) + term(b, share * n0) + term(n1 - a, (1 - share) * n1) + term(n0 - b, (1 - share) * n0)
-    best = found.withColumn("g", g).filter(F.col("g") >= LEAST_G).orderBy(F.round("g", 6).desc(), F.length("w").desc(), "w").limit(40 * MAX_TERMS).toPandas()
+    sure = float(np.log(max(1, len(proposed))) + SURE)
+    best = found.withColumn("g", g).filter(F.col("g") >= sure).orderBy(F.round("g", 6).desc(), F.length("w").desc(), "w").toPandas()
     out: list[tuple[str, bool]] = []
+    heads_taken: set[str] = set()
+    taken: set[str] = set()
     for w, whole, part in zip(best["w"], best["whole"], best["part"], strict=True):
-        if len(out) < MAX_TERMS and not any(w.startswith(x) or x.startswith(w) for x, _ in out):
+        if w not in heads_taken and not any(w[:k] in taken for k in range(SHORTEST, len(w) + 1)):
             out.append((w, bool(whole >= part)))
+            taken.add(w)
+            heads_taken.update(w[:k] for k in range(SHORTEST, len(w) + 1))
     return out
 
 
@@ -257,17 +298,27 @@ class Scorer:
         self.beta = np.zeros(1)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.automaton.matches(texts[i : i + BATCH]) for i in range(0, len(texts), BATCH)]
+        parts = [self.automaton.matches(texts[a:b]) for a, b in batches(texts)]
         counts = np.vstack(parts) if parts else np.zeros((0, 2 * KINDS + 1))
         return 1 / (1 + np.exp(-np.clip(features(counts) @ self.beta, -30, 30))), counts
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
     """Fit on labelled documents; ``labels`` (id_col, toxic_col) must hold the training rows only."""
-    known = labels.filter(F.col(toxic_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(toxic_col).alias("__t")).dropDuplicates(["__id"])
+    known = labels.filter(F.col(toxic_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(toxic_col).cast("int").alias("__t"))
     share = min(1.0, sample / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(known), F.col(id_col) == F.col("__id"))
+
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["__text"].tolist()
+            for a, b in batches(texts):
+                signs = [int(x[0].astype(np.int64)) if len(x) else 0 for x in shingle_sets(texts[a:b])]
+                yield pd.DataFrame({"__t": frame["__t"].iloc[a:b], "sign": signs, "__text": texts[a:b]})
+
+    signed = rows.select("__t", "__text").mapInPandas(sign, "__t int, sign long, __text string")
+    rows = cut(signed.groupBy("__t", "sign").agg(F.min("__text").alias("__text")))
     scorer = Scorer(learn_terms(rows, "__text", "__t"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
