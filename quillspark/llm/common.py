@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -37,6 +38,7 @@ def release(spark: SparkSession) -> None:
 
     Its cleaner waits for the driver's garbage collector, which may not run for long while disks fill.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -53,6 +53,7 @@ FILTER_BITS = 1 << 25
 _ONE = (1 << WIDE) - 1
 _ABSENT = 65535
 _STEP = 1024
+_LOW, _HIGH = mix(np.array([41, 42], np.uint64)) | np.uint64(1)
 
 
 def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def hashed(high: np.ndarray, low: np.ndarray, n: int, half: int) -> np.ndarray:
 
 def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which of the grams each is, and the distinct ones."""
-    codes, _ = pd.factorize(hashed(high, low, ORDER, 0).view(np.int64))
+    codes, _ = pd.factorize((low.astype(np.uint64) * _LOW + high.astype(np.uint64) * _HIGH).view(np.int64))
     first = np.zeros(codes.max() + 1 if len(codes) else 0, np.int64)
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     return codes, high[first], low[first]
@@ -110,7 +111,8 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(parts) > 1:
                 high, low, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 codes, high, low = distinct(high, low)
-                held[half] = [(high, low, np.bincount(codes, n).astype(np.int64))]
+                order = np.lexsort((low, high))  # neighbours alike, for the shuffle's compression
+                held[half] = [(high[order], low[order], np.bincount(codes, n).astype(np.int64)[order])]
 
     def give() -> Iterator[pd.DataFrame]:
         merge()
@@ -261,23 +263,35 @@ def _runs(blobs) -> Iterator[tuple[int, int, list[str]]]:
             yield start + a, start + b, texts[a:b]
 
 
-def _block_keys(blobs, half: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def _block_grams(blobs, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a block. ``keep`` gets, for each run of texts, its first and last, where each text's symbols begin,
+    which of the run's own grams every symbol ends, and which of the block's these are.
+    """
+    high, low = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for _, _, texts in _runs(blobs):
-        found.append(distinct(*grams_of(*symbols_of(texts)[:2]))[1:])
-        size += len(found[-1][0])
+    for a, b, texts in _runs(blobs):
+        symbols, at, firsts = symbols_of(texts)
+        codes, *own = distinct(*grams_of(symbols, at))
+        if keep is not None:
+            keep.append([a, b, firsts, codes.astype(np.int32), own])
+        held.append(tuple(own))
+        size += len(own[0])
         if size > HELD:
-            found = [distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))[1:]]
-            size = len(found[0][0])
-    return asked_keys(*distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))[1:], half, parts)
+            _, high, low = distinct(*(np.concatenate(x) for x in zip((high, low), *held, strict=True)))
+            held, size = [], 0
+    _, high, low = distinct(*(np.concatenate(x) for x in zip((high, low), *held, strict=True)))
+    for run in keep or []:
+        codes, _, _ = distinct(np.concatenate([high, run[4][0]]), np.concatenate([low, run[4][1]]))
+        run[4] = codes[len(high) :]
+    return high, low
 
 
 def _ask(parts: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """One row for each shard: the keys asked of it."""
         block = int(frame["block"].iloc[0])
-        lower, top = _block_keys(frame["z"], block & 1, parts)
+        lower, top = asked_keys(*_block_grams(frame["z"]), block & 1, parts)
         edges = np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)
         a, b = np.searchsorted(lower, edges), np.searchsorted(top, edges)
         short = lambda x: x.astype(np.uint32).tobytes()
@@ -327,18 +341,18 @@ def _score(parts: int, unknown: dict[int, float]):
         if not len(texts):
             return pd.DataFrame({"key": [], "bits": [], "symbols": []})
         half = int(texts["block"].iloc[0]) & 1
-        keys = _block_keys(texts["z"], half, parts)
+        runs: list = []
+        high, low = _block_grams(texts["z"], runs)
+        keys = asked_keys(high, low, half, parts)
         answers = answers.sort_values("part")
         known = tuple(np.frombuffer(b"".join(answers[c]), np.uint16) for c in "pgt")
         if len(known[0]) != len(keys[0]) or len(known[2]) != len(keys[1]):
             raise ValueError("answers don't fit the block's keys")
+        each = gram_bits(high, low, half, parts, keys, known, unknown[half])
         bits, symbols = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for a, b, some in _runs(texts["z"]):
-            line, at, firsts = symbols_of(some)
-            codes, high, low = distinct(*grams_of(line, at))
-            each = gram_bits(high, low, half, parts, keys, known, unknown[half])[codes]
-            bits[a:b] = np.add.reduceat(each, firsts)
-            symbols[a:b] = np.diff(np.append(firsts, len(each)))
+        for a, b, firsts, codes, own in runs:
+            bits[a:b] = np.add.reduceat(each[own][codes], firsts)
+            symbols[a:b] = np.diff(np.append(firsts, len(codes)))
         return pd.DataFrame({"key": texts["key"], "bits": bits, "symbols": symbols})
 
     return run
