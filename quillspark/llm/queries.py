@@ -72,11 +72,10 @@ def queries() -> dict:
 
 
 _OP9 = r"""
-WITH rows AS (
+WITH RECURSIVE rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     (((coalesce(doc_id, 0) % 2147483647 + 2147483647) % 2147483647) * 48271 + 29) % 2147483647 AS f FROM documents),
 hashed AS (SELECT *, (xor(f >> 7, f) * 69621) % 2147483647 AS h FROM rows),
-dealt AS (SELECT *, h % (SELECT greatest(1, (count(*) + 511) // 512) FROM rows) AS bucket FROM hashed),
 sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY ALL),
 weighed AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS w,
   source_size * 2 AS cap, (SELECT sum(size) FROM rows) * 1.5::DOUBLE AS budget FROM sized),
@@ -84,13 +83,34 @@ levels AS (SELECT l.lvl FROM (
   SELECT (a.budget - coalesce((SELECT sum(b.cap) FROM weighed b WHERE b.cap::DOUBLE / b.w < a.cap::DOUBLE / a.w), 0))
     / (SELECT sum(b.w) FROM weighed b WHERE b.cap::DOUBLE / b.w >= a.cap::DOUBLE / a.w) AS lvl, a.cap::DOUBLE / a.w AS ratio
   FROM weighed a) l WHERE l.lvl <= l.ratio ORDER BY l.ratio LIMIT 1),
-fair AS (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT lvl FROM levels)) AS target FROM weighed),
-stepped AS (SELECT *, least(floor(coalesce(target / nullif(source_size, 0), 0) * 16777216)::BIGINT, 33554432) AS step FROM fair),
-along AS (SELECT d.*, s.source_size, s.target, s.step, row_number() OVER (PARTITION BY d.source ORDER BY bucket,
+fair AS (SELECT *, coalesce(target / nullif(source_size, 0), 0) AS rate
+  FROM (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT lvl FROM levels)) AS target FROM weighed)),
+largest AS (SELECT g.*, f.rate, (g.size * g.alike)::DOUBLE AS words
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, h, doc_id NULLS FIRST) AS nth
+    FROM (SELECT source, doc_id, size, h, count(*) AS alike FROM hashed WHERE size > 0 GROUP BY ALL)) g
+  JOIN fair f ON g.source IS NOT DISTINCT FROM f.source WHERE nth <= 256),
+walk AS (
+  SELECT source, doc_id, size, alike, nth, copies, rate * words - copies * words AS owed
+  FROM (SELECT *, least(greatest(floor(rate * words / words + 0.5), 0), 2)::BIGINT AS copies FROM largest WHERE nth = 1)
+  UNION ALL
+  SELECT source, doc_id, size, alike, nth, copies, due - copies * words
+  FROM (SELECT *, least(greatest(floor(due / words + 0.5), 0), 2)::BIGINT AS copies
+    FROM (SELECT l.source, l.doc_id, l.size, l.alike, l.nth, l.words, w.owed + l.rate * l.words AS due
+      FROM walk w JOIN largest l ON w.source IS NOT DISTINCT FROM l.source AND l.nth = w.nth + 1))),
+marked AS (SELECT d.*, w.copies FROM hashed d LEFT JOIN walk w
+  ON d.source IS NOT DISTINCT FROM w.source AND d.doc_id IS NOT DISTINCT FROM w.doc_id AND d.size = w.size),
+rest AS (SELECT *, h % (SELECT greatest(1, (count(*) + 511) // 512) FROM marked WHERE copies IS NULL) AS bucket FROM marked WHERE copies IS NULL),
+stepped AS (SELECT l.source, least(greatest(floor(coalesce((f.target - coalesce(g.given, 0)) / nullif(l.words, 0), 0) * 16777216)::BIGINT, 0), 33554432) AS step
+  FROM (SELECT source, sum(size) AS words FROM rest GROUP BY ALL) l JOIN fair f ON l.source IS NOT DISTINCT FROM f.source
+  LEFT JOIN (SELECT source, sum(alike * size * copies) AS given FROM walk GROUP BY ALL) g ON l.source IS NOT DISTINCT FROM g.source),
+along AS (SELECT d.*, s.step, row_number() OVER (PARTITION BY d.source ORDER BY bucket,
     CASE WHEN bucket % 2 = 0 THEN size ELSE -size END, h, doc_id) AS nth
-  FROM dealt d JOIN stepped s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, source_size, target, size * (((nth * step + o) >> 24) - (((nth - 1) * step + o) >> 24)) AS taken
-FROM (SELECT *, ('0x' || left(md5('29:' || coalesce(source, '')), 6))::BIGINT AS o FROM along)
+  FROM rest d JOIN stepped s ON d.source IS NOT DISTINCT FROM s.source),
+every AS (
+  SELECT doc_id, source, size, ((nth * step + o) >> 24) - (((nth - 1) * step + o) >> 24) AS copies
+  FROM (SELECT *, ('0x' || left(md5('29:' || coalesce(source, '')), 6))::BIGINT AS o FROM along)
+  UNION ALL SELECT doc_id, source, size, copies FROM marked WHERE copies IS NOT NULL)
+SELECT doc_id, size, source_size, target, size * copies AS taken FROM every e JOIN fair f ON e.source IS NOT DISTINCT FROM f.source
 """
 
 _OP10 = r"""

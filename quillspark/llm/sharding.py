@@ -8,8 +8,8 @@ buckets before it. Reruns and retried tasks give the same order, whatever the nu
 
 Law: `key`. Only ids, sizes and checksums are shuffled; ``write_shards`` alone moves texts.
 
-Cases. Null text has size 1 and checksum 0. Null ids are a key like others; their buckets also depend on size and
-checksum. Repeated rows are each placed. An empty table gives an empty result.
+Cases. Null text has size 1 and checksum 0. Null ids are a key like others; buckets also depend on size and
+checksum, and of rows alike in all these on which of them it is, so no bucket is hot. Repeated rows are each placed. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def fisher_yates(n: Column, *draw: Column) -> Column:
 
 
 def plan_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per record: id, size, text_crc32, shard, bucket, slot (gapless from 0 in its shard), grown_shard."""
+    """One row per record: id, size, text_crc32, nth (of rows alike in these), shard, bucket, slot (gapless from 0 in its shard), grown_shard."""
     text = text_or_empty(text_col)
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -50,13 +50,16 @@ def plan_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str =
         owner(F.col(id_col), shards, seed).alias("shard"),
         owner(F.col(id_col), shards + 1, seed).alias("grown_shard"),
     )
-    rows = cut(rows)
-    buckets = max(1, -(-rows.count() // (shards * bucket_rows)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "id", "size", "text_crc32"), F.lit(buckets)))
+    # Rows alike are interchangeable: they are counted and told apart by a number.
+    rows = cut(rows.groupBy("id", "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("alike")))
+    total = rows.agg(F.coalesce(F.sum("alike"), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // (shards * bucket_rows)))
+    rows = rows.withColumn("nth", F.explode(F.expr("sequence(1L, alike)"))).drop("alike")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "id", "size", "text_crc32", "nth"), F.lit(buckets)))
     sizes = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    record = F.struct("id", "size", "text_crc32", "grown_shard")
+    record = F.struct("id", "size", "text_crc32", "nth", "grown_shard")
     whole = rows.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(record)).alias("records"))
     order = fisher_yates(F.size("records"), F.lit(seed), F.col("shard"), F.col("bucket"))
     dealt = whole.join(starts, ["shard", "bucket"]).select("shard", "bucket", "start", "records", F.posexplode(order).alias("at", "pick"))
@@ -64,6 +67,7 @@ def plan_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str =
         F.expr("records[pick].id").alias("id"),
         F.expr("records[pick].size").alias("size"),
         F.expr("records[pick].text_crc32").alias("text_crc32"),
+        F.expr("records[pick].nth").alias("nth"),
         "shard",
         "bucket",
         (F.col("start") + F.col("at")).alias("slot"),
@@ -72,7 +76,13 @@ def plan_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str =
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write all columns of the documents to ``path``, one folder a shard, files in slot order (unique ids expected)."""
-    plan = plan_shards(docs, shards, seed, id_col, text_col).select(F.col("id").alias("__id"), F.col("shard").alias("__shard"), F.col("bucket").alias("__bucket"), F.col("slot").alias("__slot"))
-    placed = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).drop("__id")
-    placed.repartition("__shard", "__bucket").sortWithinPartitions("__shard", "__slot").drop("__bucket").write.partitionBy("__shard").parquet(path)
+    """Write all columns of the documents to ``path``, one folder a shard, every file a stretch of its slots in order."""
+    names = ("id", "size", "text_crc32", "nth", "shard", "slot")
+    plan = plan_shards(docs, shards, seed, id_col, text_col).select(*[F.col(c).alias(f"__{c}") for c in names])
+    text = text_or_empty(text_col)
+    keyed = docs.withColumns({"__a": (F.octet_length(text) + 1).cast("long"), "__b": F.crc32(text.cast("binary")).cast("long")})
+    alike = Window.partitionBy(id_col, "__a", "__b").orderBy(F.lit(0))
+    keyed = keyed.withColumn("__c", F.row_number().over(alike).cast("long"))
+    same = keyed[id_col].eqNullSafe(plan["__id"]) & (keyed["__a"] == plan["__size"]) & (keyed["__b"] == plan["__text_crc32"]) & (keyed["__c"] == plan["__nth"])
+    placed = keyed.join(plan, same).select(*[keyed[c] for c in docs.columns], "__shard", "__slot")
+    placed.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(path)

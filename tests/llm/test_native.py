@@ -65,6 +65,64 @@ def test_sharding_shuffles_uniformly(spark):
     assert abs(in_order / 20_000 - 0.5) < 0.02
 
 
+def _shards(rows, shards, seed, bucket_rows):
+    """Owners, buckets and Fisher-Yates by a twin in Python: (id, size, crc) to its shard, slot and grown shard, in rows' order."""
+    import struct
+
+    xxhash = pytest.importorskip("xxhash")
+    wrap = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chain(*parts):
+        h = 42
+        for kind, v in parts:
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<i" if kind == "i" else "<q", v), seed=h)
+        return wrap(h)
+
+    def owner(key, n):
+        hashes = [chain(("i", seed), ("i", s), ("l", key)) for s in range(n)]
+        return hashes.index(max(hashes))
+
+    seen, buckets = Counter(), max(1, -(-len(rows) // (shards * bucket_rows)))
+    held = defaultdict(list)
+    for row in rows:
+        seen[row] += 1
+        at = chain(("i", seed), ("s", "bucket"), ("l", row[0]), ("l", row[1]), ("l", row[2]), ("l", seen[row])) % buckets
+        held[owner(row[0], shards), at].append((*row, seen[row]))
+    out, start = [], Counter()
+    for shard, bucket in sorted(held):
+        records = sorted(held[shard, bucket])
+        order = []
+        for i in range(len(records)):
+            j = chain(("i", seed), ("i", shard), ("l", bucket), ("i", i)) % (i + 1)
+            order.append(i)
+            order[i], order[j] = order[j], order[i]
+        for pick in order:
+            r = records[pick]
+            out.append((*r[:3], shard, start[shard], owner(r[0], shards + 1)))
+            start[shard] += 1
+    return out
+
+
+def test_sharding_equals_its_twin(docs):
+    rows = [(d[0], len((d[1] or "").encode()) + 1, zlib.crc32((d[1] or "").encode())) for d in documents()]
+    got = sharding.plan_shards(docs, shards=16, bucket_rows=2).select("id", "size", "text_crc32", "shard", "slot", "grown_shard").collect()
+    assert Counter(map(tuple, got)) == Counter(_shards(rows, 16, 17, 2))
+    got = sharding.plan_shards(docs, shards=3, seed=5).select("id", "size", "text_crc32", "shard", "slot", "grown_shard").collect()
+    assert Counter(map(tuple, got)) == Counter(_shards(rows, 3, 5, sharding.BUCKET_ROWS))
+
+
+def test_sharding_many_alike(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "x")] * 40 + [(7, "y")] * 30 + [(i, None) for i in range(10)], "doc_id long, text string")
+    got = sharding.plan_shards(rows, shards=2, bucket_rows=4).collect()
+    assert len(got) == 80 and max(Counter((r["shard"], r["bucket"]) for r in got).values()) < 25
+    sharding.write_shards(rows, str(tmp_path / "out"), shards=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((r["doc_id"], r["text"]) for r in rows.collect())
+    for shard in (0, 1):
+        assert sorted(r["__slot"] for r in back.filter(f"__shard = {shard}").collect()) == list(range(back.filter(f"__shard = {shard}").count()))
+
+
 def test_write_shards(docs, tmp_path, spark):
     unique = docs.dropDuplicates(["doc_id"])
     sharding.write_shards(unique, str(tmp_path / "out"), shards=4)
@@ -109,6 +167,19 @@ def test_mixing_is_near_its_targets(spark):
     assert drawn.columns == rows.columns and drawn.count() == mixing.mix(rows, [5, 2, 1]).selectExpr("sum(copies)").first()[0]
 
 
+def test_mixing_few_documents_of_very_different_sizes(spark):
+    # Fifty documents a source, a few of them very long: still within two hundredths of the target.
+    rows = spark.range(1000).selectExpr("id AS doc_id", "repeat('w ', cast(if(id % 25 = 3, 15000, 20 + (id * 7919) % 1500) as int)) AS text", "concat('s', id % 20) AS source")
+    got = mixing.mix(rows, [5, 2, 1]).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert len(got) == 20 and all(abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.02 for r in got)
+
+
+def test_mixing_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, "a b c", "s")] * 9 + [(None, "d e", "s")] * 5 + [(2, "f " * 40, "t")], "doc_id long, text string, source string")
+    copies = mixing.mix(rows, [1, 1]).selectExpr("sum(copies)").first()[0]
+    assert mixing.draw(rows, [1, 1]).count() == copies
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.decide(empty).count() == exact_dedup.drop_copies(empty).count() == 0
