@@ -182,7 +182,14 @@ def _drop_first(n: int) -> list[Column]:
     return [F.lit(0).cast("long").alias("high"), F.col("low").bitwiseAND((1 << WIDE * n) - 1).alias("low")]
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+def train(texts: DataFrame, parts: int = 1) -> tuple[DataFrame, dict[int, float]]:
+    """The packed model of texts (text, half), a row a shard, and the bits of an unknown symbol by half."""
+    rows, unknown = levels(texts)
+    packed = rows.mapInPandas(_model_rows(parts), "part int, key long, kind int, value int").groupBy("part").applyInPandas(_pack_model, _MODEL)
+    return cut(packed), unknown
+
+
+def levels(texts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     """The model of texts (text, half): rows (half, n, high, low, kind, value), where kind 0 gives the bits of an n-gram after its
     context and kind 1 the bits of falling back from a context of n symbols; and the bits of an unknown symbol by half.
     """
@@ -212,7 +219,19 @@ def train(texts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
             rows = rows.union(back)
         own_rows = below.select("half", F.lit(n).alias("n"), "high", "low", F.lit(0).alias("kind"), bits(F.col("p")))
         rows = own_rows if rows is None else rows.union(own_rows)
-    return cut(rows), unknown
+    return rows, unknown
+
+
+_MODEL = "part int, " + ", ".join(f"k{i} binary, v{i} binary" for i in range(3))
+
+
+def _pack_model(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sorted keys and values of one shard of the model, by kind."""
+    row: dict = {"part": frame["part"].iloc[:1]}
+    for kind in range(3):
+        own = frame[frame["kind"] == kind].sort_values("key")
+        row[f"k{kind}"], row[f"v{kind}"] = [own["key"].to_numpy(np.uint32).tobytes()], [own["value"].to_numpy(np.uint16).tobytes()]
+    return pd.DataFrame(row)
 
 
 def _place(h: np.ndarray, parts: int) -> np.ndarray:
@@ -317,10 +336,10 @@ def _model_rows(parts: int):
 
 def _answer(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     """For each block that asked this shard: bits of its lower n-grams, of falling back from them, and of its grams."""
-    tables = []
-    for kind in (0, 1, 2):
-        own = model[model["kind"] == kind].sort_values("key")
-        tables.append((own["key"].to_numpy(np.int64), own["value"].to_numpy(np.uint16)))
+    tables = [(np.zeros(0, np.int64), np.zeros(0, np.uint16))] * 3
+    if len(model):
+        row = model.iloc[0]
+        tables = [(np.frombuffer(row[f"k{i}"], np.uint32).astype(np.int64), np.frombuffer(row[f"v{i}"], np.uint16)) for i in range(3)]
 
     def look(asked: np.ndarray, kind: int) -> np.ndarray:
         keys, values = tables[kind]
@@ -358,18 +377,21 @@ def _score(parts: int, unknown: dict[int, float]):
     return run
 
 
-def score_texts(texts: DataFrame, model: DataFrame, unknown: dict[int, float]) -> DataFrame:
-    """key, bits and symbols of texts (id, key, text), once for each key. Texts of one half are judged by the model of the other."""
-    chars = texts.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // (2 * BLOCK_CHARS)))
+def layout(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """Blocks of each half of the documents, and shards of the model."""
+    chars = docs.agg(F.coalesce(F.sum(F.length(text_col).cast("long")), F.lit(0))).first()[0]
     parts = 1
     while parts * SHARD_KEYS * 20 < chars:  # a block asks some key for every twenty characters
         parts *= 2
+    return max(1, -(-chars // (2 * BLOCK_CHARS))), parts
+
+
+def score_texts(texts: DataFrame, model: DataFrame, unknown: dict[int, float], blocks: int = 1, parts: int = 1) -> DataFrame:
+    """key, bits and symbols of texts (id, key, text), once for each key. Texts of one half are judged by the model of the other."""
     block = 2 * F.pmod(F.xxhash64("id", "key"), F.lit(blocks)) + 1 - half_of(F.col("text"))
     packed = texts.select(block.alias("block"), "key", "text").mapInPandas(_pack, "block long, key long, z binary")
     asks = packed.groupBy("block").applyInPandas(_ask(parts), "block long, part int, x binary, y binary")
-    rows = model.mapInPandas(_model_rows(parts), "part int, key long, kind int, value int")
-    answers = asks.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(_answer, "block long, part int, p binary, g binary, t binary")
+    answers = asks.groupBy("part").cogroup(model.groupBy("part")).applyInPandas(_answer, "block long, part int, p binary, g binary, t binary")
     scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(parts, unknown), "key long, bits double, symbols long")
     return scored.groupBy("key").agg(F.first("bits").alias("bits"), F.first("symbols").alias("symbols"))
 
@@ -382,10 +404,12 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     ship(spark)
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted")).distinct()
-    model, unknown = train(trusted_texts(docs, ids, id_col, text_col))
+    blocks, parts = layout(docs, text_col)
+    model, unknown = train(trusted_texts(docs, ids, id_col, text_col), parts)
     release(spark)
     whole = F.coalesce(F.col(text_col), F.lit(""))
-    scores = cut(score_texts(docs.select(F.col(id_col).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("text")), model, unknown))
+    scores = cut(score_texts(docs.select(F.col(id_col).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("text")), model, unknown, blocks, parts))
+    del model
     release(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(whole).alias("key"))
     # An inner join stays above the scores; a semi-join would be pushed below them.
