@@ -18,11 +18,13 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: the one the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary one is chosen.
+    Only where it is unset and Spark runs in one process, as in tests, a temporary one is chosen.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 

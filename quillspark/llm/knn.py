@@ -3,17 +3,18 @@
 Method. Vectors are scaled to length one, so that cosine and Euclidean order agree, and projected on DIMS random
 directions of normal (2-stable) entries: for a point at distance r the squared projected distance over r squared is
 chi-square with DIMS degrees of freedom. A kd-tree of the projections is fitted on a bounded sample and cuts the space
-into cells; every vector is indexed in its cell. A query first searches its own cell, which bounds the distance d of its
-k-th neighbour. It then goes to the cells, and inside each to the leaves of a kd-tree of that cell, in order of projected distance, verifies the
-points in them on the original vectors, and stops when the next ones lie beyond d times the root of the chi-square
-quantile RECALL: with at least that probability a nearer neighbour would have been met.
+into cells; every vector is indexed in its cell. Queries go to the cells, and inside each to the leaves of a kd-tree of that cell, in
+order of projected distance, and verify the points in them on the original vectors. Cells are visited in rounds, one first, then GROW times
+more in each, and between rounds a query's k-th distance d so far is known: it stops when what comes next lies beyond d
+times the root of the chi-square quantile RECALL, as with at least that probability a nearer neighbour would have been met.
 
-Scale. Cells with more than CELL_ROWS vectors, such as one with a vector repeated a million times, are split by a seeded hash of the id, and every part is searched.
+Scale. Cells with more than CELL_ROWS vectors, such as one with a vector repeated a million times, are split by a seeded hash of the id, and every part is searched;
+queries that meet in a cell are split in the same way, QUERY_ROWS at a time, so that a task holds a block of queries against a block of rows.
 The boxes of the cells are at most CELLS_MAX rows, whatever the input, and are the only thing broadcast.
 
-Cases. Vectors that are null, zero, hold null or non-finite components, or differ in length from the rest are neither queries nor candidates. Rows with a null id take no part. Ties go
+Cases. Vectors that are null, zero, hold null or non-finite components, or differ in length from most (of equally frequent lengths the smallest holds) are neither queries nor candidates. Rows with a null id take no part. Ties go
 to the smaller id; equal vectors get equal scores. With fewer candidates than k all are returned; an empty table gives an
-empty result. Repeated ids other than the query's own are candidates each. Extra columns are ignored.
+empty result. Repeated ids other than the query's own are candidates each; a repeated query id is one query, with the smallest of its vectors. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ RECALL = 0.97
 SAMPLE = 20_000
 CELL_ROWS = 4096
 CELLS_MAX = 4096
+QUERY_ROWS = 4096
+GROW = 4
 LEAF_ROWS = 64
 
 
@@ -168,12 +171,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     """query_id, rank, vec_id, score: the k nearest found of every row that is a query, among all other rows."""
     ship(rows.sparkSession)
     good = rows.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    first = good.select(F.size("v")).first()
+    width = good.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if first is None:
+    if width is None:
         return rows.sparkSession.createDataFrame([], schema)
-    good = good.filter(F.size("v") == first[0])
-    plane = directions(first[0], seed)
+    good = good.filter(F.size("v") == width[0])
+    plane = directions(width[0], seed)
     total = good.count()
     share = min(1.0, SAMPLE / total)
     some = good.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).select("v").limit(2 * SAMPLE).toPandas()
@@ -191,11 +194,23 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     edge = [f(F.col("p")[j]).alias(f"{n}{j}") for j in range(DIMS) for n, f in (("l", F.min), ("h", F.max))]
     boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *edge).toPandas()  # at most CELLS_MAX rows
     low, high = (boxes[[f"{n}{j}" for j in range(DIMS)]].to_numpy() for n in "lh")
-    parts = {int(c): -(-int(n) // (2 * CELL_ROWS)) for c, n in zip(boxes["cell"], boxes["n"], strict=True)}
-    split = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("cell"))
-    tables = placed.select("cell", F.pmod(F.xxhash64(F.lit("part"), "id"), split).cast("int").alias("part"), "id", "v", "p", F.lit(None).cast("double").alias("bound"))
-    factor = chi_square_quantile(recall, DIMS)
     cells_of = boxes["cell"].to_numpy()
+    factor = chi_square_quantile(recall, DIMS)
+
+    def visit(first: int, last: int):
+        """Each query once for every cell, from the first-th nearest to before the last-th, that its bound reaches."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for start in range(0, len(frame), 256):
+                    part = frame.iloc[start : start + 256]
+                    reach = _boxes_distance(np.stack(part["p"]), low, high)
+                    near = np.argsort(reach, axis=1, kind="stable")[:, first:last]
+                    bound = part["bound"].to_numpy(float)
+                    at, nth = np.nonzero(np.take_along_axis(reach, near, 1) <= bound[:, None] * factor + 1e-9)
+                    yield pd.DataFrame({"cell": cells_of[near[at, nth]], "id": part["id"].to_numpy()[at], "v": part["v"].to_numpy()[at], "p": part["p"].to_numpy()[at], "bound": bound[at]})
+
+        return run
 
     def look(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["bound"].notna().to_numpy()
@@ -206,36 +221,31 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
             out = search(unit[~asks], ids[~asks], spot[~asks], unit[asks], ids[asks], spot[asks], frame["bound"].to_numpy(float)[asks], k, factor)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    def visit(home: bool):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame):
-                    continue
-                spot = np.stack(frame["p"])
-                reach = _boxes_distance(spot, low, high)
-                bound = frame["bound"].to_numpy(float)
-                if home:
-                    which = cells_of[None] == frame["cell"].to_numpy()[:, None]
-                else:
-                    which = (reach <= bound[:, None] * factor + 1e-9) & (cells_of[None] != frame["cell"].to_numpy()[:, None])
-                at, cell = np.nonzero(which)
-                yield pd.DataFrame({"cell": cells_of[cell], "id": frame["id"].to_numpy()[at], "v": frame["v"].to_numpy()[at], "p": frame["p"].to_numpy()[at], "bound": bound[at]})
-
-        return run
-
-    form = "cell long, id long, v array<double>, p array<double>, bound double"
-
-    def rounds(asking: DataFrame, home: bool) -> DataFrame:
-        sent = asking.mapInPandas(visit(home), form)
-        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))).select("cell", "part", "id", "v", "p", "bound")
-        return tables.union(sent.select(*tables.columns)).groupBy("cell", "part").applyInPandas(look, "query_id long, vec_id long, score double")
-
-    asking = placed.filter("asks").dropDuplicates(["id"])
+    def met(sent: DataFrame) -> DataFrame:
+        """The best k that each query finds in each part of the cells it was sent to."""
+        asked = sent.groupBy("cell").count().toPandas()  # at most CELLS_MAX rows
+        both = boxes[["cell", "n"]].merge(asked, on="cell")
+        parts = pd.DataFrame({"cell": both["cell"], "parts": -(-both["n"] // (2 * CELL_ROWS)), "blocks": -(-both["count"] // QUERY_ROWS)})
+        parts = F.broadcast(rows.sparkSession.createDataFrame(parts, "cell long, parts long, blocks long"))
+        dealt = lambda what, n: F.pmod(F.xxhash64(F.lit(what), "id"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        held = placed.join(parts, "cell").withColumn("part", dealt("part", "parts")).withColumn("block", every("blocks"))
+        come = sent.join(parts, "cell").withColumn("block", dealt("block", "blocks")).withColumn("part", every("parts"))
+        names = ["cell", "part", "block", "id", "v", "p"]
+        rest = held.select(*names, F.lit(None).cast("double").alias("bound")).union(come.select(*names, "bound"))
+        return rest.groupBy("cell", "part", "block").applyInPandas(look, "query_id long, vec_id long, score double")
+
+    asking = cut(placed.filter("asks").groupBy("id").agg(F.min(F.struct("v", "p")).alias("x")).select("id", "x.v", "x.p"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    own = cut(top(rounds(asking.withColumn("bound", F.lit(4.0)), True)))
-    kth = own.filter(F.col("rank") == k).select("query_id", F.greatest(F.lit(0.0), 2 - 2 * F.col("score")).alias("bound"))
-    further = asking.join(kth, asking["id"] == kth["query_id"], "left").select("id", "v", "asks", "cell", "p", F.coalesce("bound", F.lit(4.0)).alias("bound"))
-    more = rounds(further, False)
-    every = top(own.select("query_id", "vec_id", "score").union(more))
-    return every.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    first, last = 0, 1
+    while first < len(cells_of):
+        kth = found.filter(F.col("rank") == k).select("query_id", F.greatest(F.lit(0.0), 2 - 2 * F.col("score")).alias("d"))
+        bounded = asking.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", "p", F.coalesce("d", F.lit(4.0)).alias("bound"))
+        sent = cut(bounded.mapInPandas(visit(first, last), "cell long, id long, v array<double>, p array<double>, bound double"))
+        if sent.isEmpty():
+            break
+        found = cut(top(found.select("query_id", "vec_id", "score").union(met(sent))))
+        first, last = last, last * (1 + GROW)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -208,6 +208,30 @@ def test_nearest_neighbours(spark, monkeypatch, shape):
         assert alike and all(got[q] == want[q] for q in alike)
 
 
+def test_neighbours_in_small_blocks(spark, monkeypatch):
+    # Cells and the queries that meet in them are split; columns clash, the first row is of another length, a query id repeats.
+    for name, value in (("CELL_ROWS", 40), ("QUERY_ROWS", 3), ("CELLS_MAX", 8)):
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((1500, 12))
+    rows = [(-50, [1.0], "x", 0, 0.0)] + [(i, [float(x) for x in row], "x", i % 3, 0.5) for i, row in enumerate(v)] + [(100, [float(x) for x in v[100]], "y", 0, 0.1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, cell int, bound double").coalesce(1)
+    got = defaultdict(list)
+    for r in sorted(knn.nearest(frame, F.col("vec_id") % 50 == 0).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append(r["vec_id"])
+    want = brute([r[:2] for r in rows[1:-1]], 5)
+    assert got.keys() == want.keys() and all(len(x) == 5 for x in got.values())
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    from quillspark.llm.components import components
+
+    links = [(i, i + 1) for i in range(60)] + [(1000 + i, 500) for i in range(300)] + [(7, 7)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 500 for i in [500, *range(1000, 1300)]}
+
+
 def test_few_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert knn.nearest(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
