@@ -425,11 +425,12 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
     overall = known.agg(mean().alias("m")).first()["m"] or 0.0
     bound = known.withColumn("d", drawn(F.lit(overall))).agg(quantile.alias("q")).first()["q"]
     marked = scores.select(F.col("key").alias("__key"), F.struct("bits", "symbols").alias("__s"))
-    scored = docs.withColumn("__text", F.xxhash64(whole)).join(marked, F.col("__text") == F.col("__key"))
+    # What is asked of the text is asked before the join, which then moves it only if the caller keeps it.
+    scored = docs.withColumns({"__text": F.xxhash64(whole), "__empty": F.length(whole) == 0}).join(marked, F.col("__text") == F.col("__key"))
     joined = scored.join(few(per), F.col(f"`{lang_col}`").cast("string").eqNullSafe(F.col("__lang")), "left")
     own = F.coalesce("__has", F.lit(False))
     m = F.when(own, F.col("__m")).otherwise(F.lit(overall))
     q = F.when(own, F.col("__q")).otherwise(F.lit(bound).cast("double"))
     bits = F.when(F.col("__s.symbols") <= 1, m).otherwise((F.col("__s.bits") + PRIOR * m) / (F.col("__s.symbols") + PRIOR))
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], bits.alias("__bits"), q.alias("__high"))
-    return out.withColumn("__kept", (F.length(whole) == 0) | F.coalesce(F.col("__bits") <= F.col("__high"), F.lit(True)))
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], bits.alias("__bits"), q.alias("__high"), (F.col("__empty") | F.coalesce(bits <= q, F.lit(True))).alias("__kept"))
+    return out
