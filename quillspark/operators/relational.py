@@ -71,12 +71,70 @@ def islands(rows: DataFrame, keys: list[str], order: list[Column], value: str, n
     return rows.withColumn(name, F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of half-open ranges (start, stop) of a and (begin, finish) of b that overlap, with the length they share."""
-    joined = a.join(b, keys)
+def global_rank(rows: DataFrame, lead: Column, rest: list[Column], name: str, falling: bool = False) -> DataFrame:
+    """Number all rows from 1 along ``lead`` (from the largest if ``falling``) and then ``rest``.
+
+    Rows are numbered inside each value of ``lead``, after the counts of the values before; only the distinct values meet in one task.
+    """
+    led = rows.withColumn("__lead", lead)
+    first = F.desc_nulls_last("__lead") if falling else F.asc_nulls_first("__lead")
+    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    counts = led.groupBy("__lead").agg(F.count("*").alias("__n"))
+    starts = counts.select(F.col("__lead").alias("__value"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = led.withColumn("__nth", F.row_number().over(Window.partitionBy("__lead").orderBy(*rest)))
+    joined = inside.join(starts, F.col("__lead").eqNullSafe(F.col("__value")))
+    return joined.withColumn(name, F.col("__start") + F.col("__nth")).drop("__lead", "__value", "__start", "__nth")
+
+
+def scope_join(items: DataFrame, rules: DataFrame, path: str, scope: str) -> DataFrame:
+    """Items with each rule whose scope is 'all', their dotted path or a prefix of it, as an equi-join on the prefixes."""
+    parts = F.split(F.col(path), r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    return items.withColumn(scope, F.explode(F.concat(F.array(F.lit("all")), prefixes))).join(rules, scope)
+
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    """Pairs of half-open ranges (start, stop) of a and (begin, finish) of b that overlap, with the length they share.
+
+    With ``width`` ranges meet only in the stretches of that length that both touch, so a key of many ranges isn't
+    compared pair by pair; each pair counts in the stretch where the later of the two starts.
+    """
+    if width is not None:
+        bins = lambda x, y: F.explode(F.sequence(F.floor(F.col(x) / width), F.floor((F.greatest(F.col(y), F.col(x) + 1) - 1) / width)))
+        a, b = a.withColumn("__bin", bins("start", "stop")), b.withColumn("__bin", bins("begin", "finish"))
+        joined = a.join(b, [*keys, "__bin"]).filter(F.col("__bin") == F.floor(F.greatest("start", "begin") / width)).drop("__bin")
+    else:
+        joined = a.join(b, keys)
     return joined.filter("start < finish AND begin < stop").withColumn("shared", F.least("stop", "finish") - F.greatest("start", "begin"))
 
 
+def box_join(outer: DataFrame, inner: DataFrame, keys: list[str], wide: float, high: float) -> DataFrame:
+    """Boxes (x0, x1, y0, y1) with the boxes (u0, u1, v0, v1) inside them, met in the grid cell of the inner corner."""
+    cells = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+    spread = outer.withColumn("__x", cells("x0", "x1", wide)).withColumn("__y", cells("y0", "y1", high))
+    placed = inner.withColumns({"__x": F.floor(F.col("u0") / wide), "__y": F.floor(F.col("v0") / high)})
+    return spread.join(placed, [*keys, "__x", "__y"]).filter("x0 <= u0 AND x1 >= u1 AND y0 <= v0 AND y1 >= v1").drop("__x", "__y")
+
+
+def containment_join(a: DataFrame, b: DataFrame, left: str, right: str, opening: int = 4) -> DataFrame:
+    """Distinct pairs (left, right) of non-empty texts of which one holds the other.
+
+    A text held starts somewhere in its holder, so its opening letters, at most ``opening``, are among the holder's
+    substrings of that length: pairs meet by these and are then verified.
+    """
+
+    def held(inner: DataFrame, i: str, holder: DataFrame, h: str) -> DataFrame:
+        opens = inner.filter(F.length(i) > 0).withColumn("__gram", F.substring(i, 1, opening))
+        sizes = F.sequence(F.lit(1), F.least(F.length(h), F.lit(opening)))
+        text = F.col(h)
+        grams = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(text, at, n))))
+        # Shorter openings than the rule are whole texts; they are looked for at their own length.
+        spread = holder.filter(F.length(h) > 0).withColumn("__gram", F.explode(F.array_distinct(grams)))
+        return spread.join(opens, "__gram").filter(F.col(h).contains(F.col(i))).select(left, right)
+
+    return held(a, left, b, right).union(held(b, right, a, left)).distinct()
+
+
 def greedy_budget(items: Column, most_items: int, most_chars: int) -> Column:
     """Pick structs (id, size, sig) in order: skip a signature seen among the picked and what no longer fits, stop at most_items."""
     start = F.struct(F.expr("cast(array() as array<bigint>)").alias("ids"), F.expr("cast(array() as array<string>)").alias("sigs"), F.lit(0).cast("long").alias("used"))

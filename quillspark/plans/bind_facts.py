@@ -101,12 +101,12 @@ def str_credit_code(spark: SparkSession, root: str) -> DataFrame:
 
 @register("join_spatial", "SELECT a.p_partkey AS outer_id, b.p_partkey AS inner_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_size - 5 <= b.p_size - 2 AND a.p_size + 5 >= b.p_size + 2 AND a.p_retailprice - 50 <= b.p_retailprice - 10 AND a.p_retailprice + 50 >= b.p_retailprice + 10")
 def join_spatial(spark: SparkSession, root: str) -> DataFrame:
-    """Boxes of one page that hold another box; pages are joined by key, inequalities decide the rest."""
+    """Boxes of one page that hold another box, met by the grid cell of the inner one's corner."""
     box = lambda dx, dy, *names: [(F.col("p_size") - dx).alias(names[0]), (F.col("p_size") + dx).alias(names[1]), (F.col("p_retailprice") - dy).alias(names[2]), (F.col("p_retailprice") + dy).alias(names[3])]
     rows = table(spark, root, "part")
     a = rows.select("p_brand", F.col("p_partkey").alias("outer_id"), *box(5, 50, "x0", "x1", "y0", "y1"))
     b = rows.select("p_brand", F.col("p_partkey").alias("inner_id"), *box(2, 10, "u0", "u1", "v0", "v1"))
-    return a.join(b, "p_brand").filter("outer_id != inner_id AND x0 <= u0 AND x1 >= u1 AND y0 <= v0 AND y1 >= v1").select("outer_id", "inner_id")
+    return R.box_join(a, b, ["p_brand"], 10.0, 100.0).filter("outer_id != inner_id").select("outer_id", "inner_id")
 
 
 @register("cls_nearest_section", "WITH s AS (SELECT p_partkey, (p_size // 10) || '.' || (p_size % 10) || '.' || (p_partkey % 3) AS id FROM part), legal AS (SELECT unnest(['1', '2.3', '4', '3.1.2', '0.5']) AS id) SELECT p_partkey, max_by(legal.id, length(legal.id)) AS section FROM s JOIN legal ON s.id = legal.id OR starts_with(s.id, legal.id || '.') GROUP BY p_partkey")

@@ -44,17 +44,18 @@ _TOKEN = r"regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/?$', 1)"
 
 @register("join_containment", f"WITH r AS (SELECT page_id, lower({_TOKEN}) AS t FROM pages), l AS (SELECT DISTINCT p_partkey, lower(p_name) AS n FROM part) SELECT page_id, min(p_partkey) AS first_match FROM r JOIN l ON contains(n, t) OR contains(t, n) WHERE t <> '' GROUP BY page_id")
 def join_containment(spark: SparkSession, root: str) -> DataFrame:
-    """The first local title that holds, or is held by, each remote one; titles are compared pair by pair as containment has no key."""
+    """The first local title that holds, or is held by, each remote one; they meet by the opening letters of the one held."""
     remote = table(spark, root, "pages").select("page_id", F.lower(pages.last_token(F.col("url"))).alias("t")).filter("t != ''")
     local = table(spark, root, "part").select("p_partkey", F.lower("p_name").alias("n"))
-    hit = F.col("n").contains(F.col("t")) | F.col("t").contains(F.col("n"))
-    return local.join(remote, hit).groupBy("page_id").agg(F.min("p_partkey").alias("first_match"))
+    pairs = R.containment_join(remote.select("t").distinct(), local.select("n").distinct(), "t", "n")
+    firsts = pairs.join(local, "n").groupBy("t").agg(F.min("p_partkey").alias("first_match"))
+    return remote.join(firsts, "t").select("page_id", "first_match")
 
 
-@register("sync_three_way", f"WITH r AS (SELECT {_TOKEN} AS t, max(page_id) AS d FROM pages GROUP BY 1), l AS (SELECT vec_id::VARCHAR AS t, max(label) AS d FROM embeddings WHERE vec_id < 120 GROUP BY 1) SELECT r.t, CASE WHEN l.t IS NULL THEN 'new' WHEN r.d > l.d THEN 'updated' ELSE 'existing' END AS status FROM r LEFT JOIN l ON r.t = l.t")
+@register("sync_three_way", f"WITH r AS (SELECT {_TOKEN} AS t, max(page_id) AS d FROM pages GROUP BY 1), l AS (SELECT vec_id::VARCHAR AS t, max(label) AS d FROM embeddings GROUP BY 1) SELECT r.t, CASE WHEN l.t IS NULL THEN 'new' WHEN r.d > l.d THEN 'updated' ELSE 'existing' END AS status FROM r LEFT JOIN l ON r.t = l.t")
 def sync_three_way(spark: SparkSession, root: str) -> DataFrame:
     remote = table(spark, root, "pages").groupBy(pages.last_token(F.col("url")).alias("t")).agg(F.max("page_id").alias("d"))
-    local = table(spark, root, "embeddings").filter("vec_id < 120").groupBy(F.col("vec_id").cast("string").alias("t")).agg(F.max("label").alias("d2"))
+    local = table(spark, root, "embeddings").groupBy(F.col("vec_id").cast("string").alias("t")).agg(F.max("label").alias("d2"))
     status = F.when(F.col("d2").isNull(), "new").when(F.col("d") > F.col("d2"), "updated").otherwise("existing")
     return remote.join(local, "t", "left").select("t", status.alias("status"))
 
@@ -82,10 +83,12 @@ def json_key_chain(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "events").select("event_id", F.coalesce(pick("$.name"), pick("$.k"), F.lit("none")).alias("v"))
 
 
-@register("prj_trim_top", "SELECT conv_id, array_to_string(list_slice(list(left(text, 40) ORDER BY turn), 1, 3), '|') AS top FROM conversations GROUP BY conv_id")
+@register("prj_trim_top", "SELECT conv_id, string_agg(text, '|' ORDER BY turn) AS top FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 3 GROUP BY conv_id")
 def prj_trim_top(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("xs"))
-    return rows.select("conv_id", F.array_join(F.transform(F.slice("xs", 1, 3), lambda x: F.substring(x["text"], 1, 40)), "|").alias("top"))
+    """The first three items of each, cut before they are gathered."""
+    top = R.nth_per(table(spark, root, "conversations").select("conv_id", "turn", "text"), ["conv_id"], [F.col("turn"), F.col("text")], 3)
+    rows = top.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("xs"))
+    return rows.select("conv_id", F.array_join(F.transform("xs", lambda x: x["text"]), "|").alias("top"))
 
 
 @register("prj_metadata_only", "SELECT doc_id, source, left(text, 320) AS preview, n_chars FROM documents")

@@ -85,7 +85,7 @@ def join_hybrid_max(spark: SparkSession, root: str) -> DataFrame:
 
 @register("join_hit_row", "SELECT rank, vec_id, doc_id, lang FROM (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) AS rank FROM embeddings) JOIN documents ON vec_id = doc_id")
 def join_hit_row(spark: SparkSession, root: str) -> DataFrame:
-    hits = table(spark, root, "embeddings").select("vec_id", F.row_number().over(Window.orderBy(F.desc("label"), "vec_id")).cast("long").alias("rank"))
+    hits = R.global_rank(table(spark, root, "embeddings").select("vec_id", "label"), F.col("label"), [F.col("vec_id")], "rank", falling=True)
     return hits.join(table(spark, root, "documents").select("doc_id", "lang"), F.col("vec_id") == F.col("doc_id")).select("rank", "vec_id", "doc_id", "lang")
 
 
@@ -95,11 +95,11 @@ def join_prefetch_stats(spark: SparkSession, root: str) -> DataFrame:
     return shown.join(table(spark, root, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("files"), F.max("o_orderkey").alias("latest_form"))
 
 
-@register("join_catalog_left", "SELECT coalesce(p_brand, brand) AS section, coalesce(n, 0)::BIGINT AS units, p_brand IS NULL AS appended FROM (SELECT DISTINCT p_brand FROM part WHERE p_size > 10) FULL JOIN (SELECT p_brand AS brand, count(*) AS n FROM part WHERE p_size < 40 GROUP BY 1) ON p_brand = brand")
+@register("join_catalog_left", "SELECT coalesce(label, section) AS section, coalesce(n, 0)::BIGINT AS units, label IS NULL AS appended FROM (SELECT DISTINCT label::BIGINT AS label FROM embeddings) FULL JOIN (SELECT n_chars::BIGINT % 15 AS section, count(*) AS n FROM documents GROUP BY 1) ON label = section")
 def join_catalog_left(spark: SparkSession, root: str) -> DataFrame:
-    part = table(spark, root, "part")
-    catalog = part.filter("p_size > 10").select(F.col("p_brand").alias("section"), F.lit(True).alias("listed")).distinct()
-    content = part.filter("p_size < 40").groupBy(F.col("p_brand").alias("section")).agg(F.count("*").alias("n"))
+    """Every section of the catalogue with its units, and sections that have units only."""
+    catalog = table(spark, root, "embeddings").select(F.col("label").cast("long").alias("section"), F.lit(True).alias("listed")).distinct()
+    content = table(spark, root, "documents").groupBy((F.col("n_chars").cast("long") % 15).alias("section")).agg(F.count("*").alias("n"))
     return catalog.join(content, "section", "full_outer").select("section", F.coalesce("n", F.lit(0)).cast("long").alias("units"), F.col("listed").isNull().alias("appended"))
 
 
@@ -122,7 +122,7 @@ def join_overlap_range(spark: SparkSession, root: str) -> DataFrame:
     day = F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))
     rows = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), day.alias("start"), (day + 864000).alias("stop"))
     other = rows.select("k", F.col("i").alias("j"), F.col("start").alias("begin"), F.col("stop").alias("finish"))
-    return R.overlap_join(rows, other, ["k"]).filter("i < j").select("k", "i", "j", "shared")
+    return R.overlap_join(rows, other, ["k"], 864000).filter("i < j").select("k", "i", "j", "shared")
 
 
 @register("join_interval_window", "SELECT a.conv_id, a.turn AS anchor, b.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND abs(a.turn - b.turn) <= 2 WHERE a.role = 'user'")
@@ -244,9 +244,13 @@ def win_cursor(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("next_cursor", F.max("seq").over(Window.partitionBy("user_id")) + 1)
 
 
-@register("win_greedy_budget")
+@register("win_greedy_budget", """WITH RECURSIVE items AS (SELECT source, doc_id, n_chars AS size, left(text, 120) AS sig, row_number() OVER (PARTITION BY source ORDER BY -doc_id % 7, n_chars, doc_id) AS nth FROM documents WHERE n_chars <= 2400),
+walk AS (SELECT DISTINCT source, 0::BIGINT AS nth, 0::BIGINT AS used, []::VARCHAR[] AS sigs, []::VARCHAR[] AS ids FROM items UNION ALL
+SELECT source, nth, CASE WHEN fits THEN used + size ELSE used END, CASE WHEN fits THEN list_append(sigs, sig) ELSE sigs END, CASE WHEN fits THEN list_append(ids, doc_id::VARCHAR) ELSE ids END
+FROM (SELECT w.source, i.nth, w.used, w.sigs, w.ids, i.size, i.sig, i.doc_id, len(w.ids) < 10 AND w.used + i.size <= 2400 AND NOT list_contains(w.sigs, i.sig) AS fits FROM walk w JOIN items i ON i.source = w.source AND i.nth = w.nth + 1))
+SELECT source, array_to_string(max_by(ids, nth), ',') AS picked FROM walk GROUP BY source""")
 def win_greedy_budget(spark: SparkSession, root: str) -> DataFrame:
-    """Per source: documents by length descending, shorter first among equals, within 10 items and 2400 characters."""
+    """Per source: documents by score descending, shorter first among equals, within 10 items and 2400 characters."""
     rows = table(spark, root, "documents").select("source", F.struct((-F.col("doc_id") % 7).alias("o"), "n_chars", F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), F.substring("text", 1, 120).alias("sig")).alias("x"))
     grouped = rows.filter("x.size <= 2400").groupBy("source").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     return grouped.select("source", F.array_join(R.greedy_budget(F.col("xs"), 10, 2400).cast("array<string>"), ",").alias("picked"))
@@ -273,10 +277,10 @@ def srt_doc_chunks(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "conversations").select("conv_id", "turn", pos.cast("long").alias("pos"))
 
 
-@register("set_union_ids", "SELECT id, min(o) AS arrival FROM (SELECT vec_id AS id, vec_id AS o FROM embeddings WHERE label < 5 UNION ALL SELECT doc_id, 1000000000 + doc_id FROM labels WHERE quality = 1) GROUP BY id")
+@register("set_union_ids", "SELECT id, min(o) AS arrival FROM (SELECT vec_id AS id, vec_id AS o FROM embeddings UNION ALL SELECT doc_id, 1000000000 + doc_id FROM labels) GROUP BY id")
 def set_union_ids(spark: SparkSession, root: str) -> DataFrame:
-    a = table(spark, root, "embeddings").filter("label < 5").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("o"))
-    b = table(spark, root, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"), (F.lit(1_000_000_000) + F.col("doc_id")).alias("o"))
+    a = table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("o"))
+    b = table(spark, root, "labels").select(F.col("doc_id").alias("id"), (F.lit(1_000_000_000) + F.col("doc_id")).alias("o"))
     return a.union(b).groupBy("id").agg(F.min("o").alias("arrival"))
 
 
@@ -298,9 +302,12 @@ def set_sync_rules(spark: SparkSession, root: str) -> DataFrame:
     return have.join(want, "id", "full_outer").select("id", action.alias("action"))
 
 
-@register("set_symdiff_keys", "SELECT a.doc_id, array_to_string(list_sort(list_filter(b.k, lambda x: NOT list_contains(a.k, x))), ',') AS added, array_to_string(list_sort(list_filter(a.k, lambda x: NOT list_contains(b.k, x))), ',') AS removed FROM (SELECT doc_id, list_distinct(string_split(left(text, 60), ' ')) AS k FROM documents) a JOIN (SELECT doc_id - 1 AS doc_id, list_distinct(string_split(left(text, 60), ' ')) AS k FROM documents) b USING (doc_id)")
+_KEYS = "SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS k FROM documents"
+
+
+@register("set_symdiff_keys", f"WITH w AS ({_KEYS}), p AS (SELECT a.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), added AS (SELECT doc_id - 1 AS doc_id, string_agg(k, ',' ORDER BY k) AS added FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.doc_id = x.doc_id - 1 AND y.k = x.k) GROUP BY ALL), removed AS (SELECT doc_id, string_agg(k, ',' ORDER BY k) AS removed FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.doc_id = x.doc_id + 1 AND y.k = x.k) GROUP BY ALL) SELECT doc_id, coalesce(added, '') AS added, coalesce(removed, '') AS removed FROM p LEFT JOIN added USING (doc_id) LEFT JOIN removed USING (doc_id)")
 def set_symdiff_keys(spark: SparkSession, root: str) -> DataFrame:
-    keys = table(spark, root, "documents").select("doc_id", F.array_distinct(F.split(F.substring("text", 1, 60), " ")).alias("a"))
+    keys = table(spark, root, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("a"))
     nxt = keys.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     diff = lambda x, y: F.array_join(F.sort_array(F.array_except(x, y)), ",")
     return keys.join(nxt, "doc_id").select("doc_id", diff("b", "a").alias("added"), diff("a", "b").alias("removed"))

@@ -19,15 +19,15 @@ def srt_page_memory(spark: SparkSession, root: str) -> DataFrame:
     return R.page(table(spark, root, "part").filter("p_size > 25"), [F.desc("p_retailprice"), F.col("p_partkey")], 2, 10).select("p_partkey")
 
 
-@register("srt_rule_priority", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS pos FROM part WHERE p_size < 20 ORDER BY p_size, p_partkey LIMIT 100")
+@register("srt_rule_priority", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS pos FROM part")
 def srt_rule_priority(spark: SparkSession, root: str) -> DataFrame:
-    top = table(spark, root, "part").filter("p_size < 20").select("p_partkey", "p_size").orderBy("p_size", "p_partkey").limit(100)
-    return top.select("p_partkey", F.row_number().over(Window.orderBy("p_size", "p_partkey")).cast("long").alias("pos"))
+    return R.global_rank(table(spark, root, "part"), F.col("p_size"), [F.col("p_partkey")], "pos").select("p_partkey", "pos")
 
 
-@register("srt_versions", "SELECT o_orderkey FROM orders ORDER BY o_orderdate::DATE::VARCHAR DESC, o_orderkey LIMIT 25")
+@register("srt_versions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate::DATE::VARCHAR DESC, o_orderkey) AS pos FROM orders")
 def srt_versions(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "orders").orderBy(F.col("o_orderdate").cast("date").cast("string").desc(), "o_orderkey").limit(25).select("o_orderkey")
+    day = F.col("o_orderdate").cast("date").cast("string")
+    return R.global_rank(table(spark, root, "orders"), day, [F.col("o_orderkey")], "pos", falling=True).select("o_orderkey", "pos")
 
 
 @register("lim_first_n_group", "SELECT c_nationkey, array_to_string(list_slice(list(c_custkey ORDER BY c_custkey), 1, 6), ',') AS firsts FROM customer GROUP BY 1")
@@ -109,32 +109,33 @@ def topk_pre_cap(spark: SparkSession, root: str) -> DataFrame:
     return newest.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey")
 
 
-@register("set_union_versions", "SELECT vec_id AS case_id FROM embeddings WHERE label < 3 UNION SELECT doc_id FROM labels")
+@register("set_union_versions", "SELECT vec_id AS case_id FROM embeddings UNION SELECT doc_id FROM labels")
 def set_union_versions(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "embeddings").filter("label < 3").select(F.col("vec_id").alias("case_id")).union(table(spark, root, "labels").select("doc_id")).distinct()
+    return table(spark, root, "embeddings").select(F.col("vec_id").alias("case_id")).union(table(spark, root, "labels").select("doc_id")).distinct()
 
 
-@register("set_overlay", "SELECT lang, array_to_string(list(source ORDER BY o), ',') AS merged FROM (SELECT lang, source, min(CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 1000000 + doc_id END) AS o FROM documents WHERE doc_id < 100 GROUP BY ALL) GROUP BY lang")
+@register("set_overlay", "SELECT lang, array_to_string(list(source ORDER BY o), ',') AS merged FROM (SELECT lang, source, min((doc_id % 2) * 1000000000000000 + doc_id) AS o FROM documents GROUP BY ALL) GROUP BY lang")
 def set_overlay(spark: SparkSession, root: str) -> DataFrame:
-    """Approved entries before candidates, first occurrences kept."""
-    o = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(1_000_000 + F.col("doc_id"))
-    rows = table(spark, root, "documents").filter("doc_id < 100").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct(o.alias("o"), "source"))).alias("xs"))
-    return rows.select("lang", F.array_join(F.array_distinct(F.transform("xs", lambda x: x["source"])), ",").alias("merged"))
+    """Approved entries (even ids) before candidates, first occurrences kept; repeats go before the list is made."""
+    o = (F.col("doc_id") % 2) * F.lit(10**15) + F.col("doc_id")
+    firsts = table(spark, root, "documents").groupBy("lang", "source").agg(F.min(o).alias("o"))
+    rows = firsts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("o", "source"))).alias("xs"))
+    return rows.select("lang", F.array_join(F.transform("xs", lambda x: x["source"]), ",").alias("merged"))
 
 
-@register("set_equal", "SELECT a.doc_id, list_sort(list_distinct(string_split(left(a.text, 20), ' '))) = list_sort(list_distinct(string_split(left(b.text, 20), ' '))) AS same FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
+@register("set_equal", "SELECT a.doc_id, list_sort(list_distinct(string_split(a.text, ' '))) = list_sort(list_distinct(string_split(b.text, ' '))) AS same FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
 def set_equal(spark: SparkSession, root: str) -> DataFrame:
-    own = table(spark, root, "documents").select("doc_id", F.sort_array(F.array_distinct(F.split(F.substring("text", 1, 20), " "))).alias("a"))
+    own = table(spark, root, "documents").select("doc_id", F.sort_array(F.array_distinct(F.split("text", " "))).alias("a"))
     return own.join(own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id").select("doc_id", (F.col("a") == F.col("b")).alias("same"))
 
 
-_FIRSTS = "(SELECT string_agg(p, ' ' ORDER BY o) FROM (SELECT p, min(o) AS o FROM (SELECT unnest(string_split(left(text, 200), ' ')) AS p, generate_subscripts(string_split(left(text, 200), ' '), 1) AS o) GROUP BY p))"
+_FIRSTS = "SELECT doc_id, string_agg(p, ' ' ORDER BY o) AS words FROM (SELECT doc_id, p, min(o) AS o FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS p, generate_subscripts(string_split(text, ' '), 1) AS o FROM documents) GROUP BY ALL) GROUP BY doc_id"
 
 
-@register("set_dict_unique", f"SELECT doc_id, {_FIRSTS} AS words FROM documents")
-@register("arr_ordered_distinct", f"SELECT doc_id, {_FIRSTS} AS words FROM documents")
+@register("set_dict_unique", _FIRSTS)
+@register("arr_ordered_distinct", _FIRSTS)
 def ordered_distinct(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select("doc_id", F.array_join(F.array_distinct(F.split(F.substring("text", 1, 200), " ")), " ").alias("words"))
+    return table(spark, root, "documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
 @register("str_keywords", r"SELECT doc_id, len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]{2,}|[A-Za-z][A-Za-z0-9_/-]{2,}')) AS n, array_to_string(list_slice(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]{2,}|[A-Za-z][A-Za-z0-9_/-]{2,}'), 1, 5), ' ') AS firsts FROM documents")
@@ -182,18 +183,21 @@ def math_clamp(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "events").select("event_id", N.clamp01(F.col("value") - 50).alias("clamped"))
 
 
-@register("vec_hash_embed")
+@register("vec_hash_embed", r"SELECT doc_id, ('0x' || left(md5(t), 8))::BIGINT % 128 AS bucket, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS t FROM documents) GROUP BY ALL")
 def vec_hash_embed(spark: SparkSession, root: str) -> DataFrame:
     """Token counts in 128 buckets of a stable hash, non-empty buckets only."""
     tokens = table(spark, root, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("t"))
-    return tokens.groupBy("doc_id", F.pmod(F.xxhash64("t"), F.lit(128)).alias("bucket")).agg(F.count("*").alias("n"))
+    bucket = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("long") % 128
+    return tokens.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@register("arr_pad", "SELECT doc_id, len(string_split(left(text, 60), ' ')) AS width, array_to_string(list_resize(list_slice(string_split(left(text, 60), ' '), 1, 8), 8, ''), '|') AS padded FROM documents")
+@register("arr_pad", "WITH t AS (SELECT doc_id, list_transform(string_split(text, chr(10)), l -> string_split(l, '|')) AS r FROM documents), w AS (SELECT *, list_max(list_transform(r, c -> len(c))) AS width FROM t) SELECT doc_id, width, array_to_string(list_transform(r, c -> array_to_string(list_resize(c, width, ''), '|')), chr(10)) AS padded FROM w")
 def arr_pad(spark: SparkSession, root: str) -> DataFrame:
-    cells = F.split(F.substring("text", 1, 60), " ")
-    padded = F.slice(F.concat(F.slice(cells, 1, 8), F.array_repeat(F.lit(""), 8)), 1, 8)
-    return table(spark, root, "documents").select("doc_id", F.size(cells).cast("long").alias("width"), F.array_join(padded, "|").alias("padded"))
+    """Lines are rows of cells; all are as wide as the widest of their document."""
+    rows = F.transform(F.split("text", "\n"), lambda line: F.split(line, r"\|"))
+    wide = table(spark, root, "documents").select("doc_id", rows.alias("r")).withColumn("n", F.array_max(F.transform("r", F.size)))
+    padded = F.transform("r", lambda c: F.array_join(F.concat(c, F.array_repeat(F.lit(""), F.col("n") - F.size(c))), "|"))
+    return wide.select("doc_id", F.col("n").cast("long").alias("width"), F.array_join(padded, "\n").alias("padded"))
 
 
 @register("arr_tree_flatten", "SELECT n.n_nationkey, r.r_name || ' > ' || n.n_name AS path, 2 AS level, NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) AS leaf FROM nation n JOIN region r ON n_regionkey = r_regionkey")
@@ -287,9 +291,9 @@ def agg_es_buckets(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").groupBy(F.col("lang").alias("bucket")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bucket").limit(10)
 
 
-@register("agg_status_code", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(left(text, 30), ' ')) AS word FROM conversations) GROUP BY 1")
+@register("agg_status_code", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM conversations) GROUP BY 1")
 def agg_status_code(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "conversations").select(F.explode(F.split(F.substring("text", 1, 30), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return table(spark, root, "conversations").select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @register("agg_source_breakdown", "SELECT source, count_if(quality = 1) AS approved, count_if(quality = 0) AS rejected FROM documents JOIN labels USING (doc_id) GROUP BY source")
@@ -305,14 +309,13 @@ def join_analysis_run(spark: SparkSession, root: str) -> DataFrame:
     return first.orderBy("event_id").limit(20)
 
 
-@register("flt_scope_rule", "WITH r AS (SELECT p_partkey AS rule_id, CASE WHEN p_size % 3 = 0 THEN 'all' WHEN p_size % 3 = 1 THEN 'src1' ELSE '' END AS scope FROM part WHERE p_partkey <= 50), s AS (SELECT DISTINCT source || '.' || lang AS section FROM documents) SELECT rule_id, section FROM r, s WHERE scope IN ('', 'all') OR section = scope OR starts_with(section, scope || '.')")
+@register("flt_scope_rule", "WITH r AS (SELECT n_nationkey AS rule_id, ['all', 'src1', '', 'src2.en', 'src'][n_nationkey % 5 + 1] AS scope FROM nation), s AS (SELECT DISTINCT source || '.' || lang AS section FROM documents) SELECT rule_id, section FROM r, s WHERE scope IN ('', 'all') OR section = scope OR starts_with(section, scope || '.')")
 def flt_scope_rule(spark: SparkSession, root: str) -> DataFrame:
-    """Rules in scope of each section; fifty rules are sent to all."""
-    k = F.col("p_size") % 3
-    rules = table(spark, root, "part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("rule_id"), F.when(k == 0, "all").when(k == 1, "src1").otherwise("").alias("scope"))
+    """Rules in scope of each section: an equi-join on the dotted prefixes of the section, with a blank scope as 'all'."""
+    scope = F.element_at(F.array(*map(F.lit, ("all", "src1", "", "src2.en", "src"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    rules = table(spark, root, "nation").select(F.col("n_nationkey").alias("rule_id"), F.when(scope == "", "all").otherwise(scope).alias("scope"))
     sections = table(spark, root, "documents").select(F.concat_ws(".", "source", "lang").alias("section")).distinct()
-    inside = F.col("scope").isin("", "all") | (F.col("section") == F.col("scope")) | F.col("section").startswith(F.concat("scope", F.lit(".")))
-    return sections.join(F.broadcast(rules), inside).select("rule_id", "section")
+    return R.scope_join(sections, rules, "section", "scope").select("rule_id", "section")
 
 
 @register("prj_normalize_finding", "SELECT event_id, event_type AS title, CASE WHEN value > 150 THEN 'high' WHEN value > 100 THEN 'medium' ELSE 'low' END AS severity FROM events WHERE trim(event_type) <> ''")
@@ -335,11 +338,11 @@ def snk_es_delete(spark: SparkSession, root: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select("doc_id")
 
 
-@register("fb_diff", "SELECT a.conv_id, a.turn, a.text <> b.text AS changed, left(a.text, 40) AS was, left(b.text, 40) AS now FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+@register("fb_diff", "SELECT a.conv_id, a.turn, a.text <> b.text AS changed, a.text AS was, b.text AS now FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def fb_diff(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "conversations").select("conv_id", "turn", "text")
-    nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("t2"))
-    return rows.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", (F.col("text") != F.col("t2")).alias("changed"), F.substring("text", 1, 40).alias("was"), F.substring("t2", 1, 40).alias("now"))
+    nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("now"))
+    return rows.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", (F.col("text") != F.col("now")).alias("changed"), F.col("text").alias("was"), "now")
 
 
 @register("fb_replay_verdict", "SELECT user_id, CASE WHEN bool_or(event_type = 'error' AND value > 100) THEN 'regression' WHEN bool_or(event_type = 'purchase') THEN 'improved' ELSE 'needs_review' END AS verdict FROM events GROUP BY 1")

@@ -33,12 +33,12 @@ def agg_reward(spark: SparkSession, root: str) -> DataFrame:
     return metrics.confusion(rows, ["source"], "kind").select("source", F.round("reward_score", 6).alias("reward_score"))
 
 
-_WORDS_A, _WORDS_B = "list_distinct(string_split(left(a.text, 80), ' '))", "list_distinct(string_split(left(b.text, 80), ' '))"
+_WORDS_A, _WORDS_B = "list_distinct(string_split(a.text, ' '))", "list_distinct(string_split(b.text, ' '))"
 
 
 def _case_sets(spark: SparkSession, root: str) -> DataFrame:
-    """Each document's first words against those of the next one, as expected and actual findings."""
-    own = table(spark, root, "documents").select("doc_id", "lang", F.array_distinct(F.split(F.substring("text", 1, 80), " ")).alias("a"))
+    """Each document's words against those of the next one, as expected and actual findings."""
+    own = table(spark, root, "documents").select("doc_id", "lang", F.array_distinct(F.split("text", " ")).alias("a"))
     nxt = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("lang2"), F.col("a").alias("b"))
     return own.join(nxt, "doc_id")
 
