@@ -95,3 +95,16 @@ def markdown_sections(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     whole = F.array_join(F.filter(F.transform("line_up", lambda x: x["own"]), lambda x: x != ""), "\n\n")
     out = sections.filter("leaf").select(key, "section", "level", F.transform("line_up", lambda x: x["title"]).alias("path"), F.when(F.col("section") == 0, F.col("own")).otherwise(whole).alias("body"))
     return out.filter("body != ''")
+
+
+def pack(pieces: Column, limit: int) -> Column:
+    """How many packs pieces make when each joins the one before, by a space, while that fits; and the longest."""
+    state = lambda held, packs, longest: F.struct(held.cast("long").alias("held"), packs.cast("long").alias("packs"), longest.cast("long").alias("longest"))
+
+    def step(acc: Column, s: Column) -> Column:
+        joined = acc["held"] + F.length(s) + 1
+        fits = (acc["packs"] > 0) & (joined <= limit)
+        held = F.when(fits, joined).otherwise(F.length(s))
+        return state(held, F.when(fits, acc["packs"]).otherwise(acc["packs"] + 1), F.greatest(acc["longest"], held))
+
+    return F.aggregate(pieces, state(F.lit(0), F.lit(0), F.lit(0)), step)

@@ -145,3 +145,56 @@ def greedy_budget(items: Column, most_items: int, most_chars: int) -> Column:
         return F.when(fits, taken).otherwise(acc)
 
     return F.aggregate(items, start, step)["ids"]
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, width: int) -> DataFrame:
+    """Each row of ``left`` with the ``value`` of the last row of ``right`` at or before it, by key; null without one.
+
+    ``at`` is a number in both. Time is cut into stretches of ``width``: rows meet inside theirs, and the last value of the
+    stretches before is carried in, so a key with much history is many tasks.
+    """
+    side = lambda df, is_right: df.withColumns({"__right": F.lit(is_right), "__bin": F.floor(F.col(at) / width)})
+    known = side(right.select(*keys, at, F.col(value).alias("__value")), True)
+    asked = side(left, False)
+    order = Window.partitionBy(*keys, "__bin").orderBy(at, F.desc("__right"), "__value")
+    both = asked.withColumn("__value", F.lit(None).cast(known.schema["__value"].dataType)).unionByName(known, allowMissingColumns=True)
+    inside = F.last("__value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    inside = both.withColumn("__inside", inside).filter(~F.col("__right")).drop("__right", "__value")
+    tops = known.groupBy(*keys, "__bin").agg(F.max_by("__value", F.struct(at, "__value")).alias("__top"))
+    marks = tops.unionByName(asked.select(*keys, "__bin").distinct(), allowMissingColumns=True).groupBy(*keys, "__bin").agg(F.first("__top", ignorenulls=True).alias("__top"))
+    carried = F.last("__top", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+    marks = marks.withColumn("__carried", carried).drop("__top")
+    return inside.join(marks, [*keys, "__bin"], "left").withColumn(value, F.coalesce("__inside", "__carried")).drop("__inside", "__carried", "__bin")
+
+
+def feature_flags(overrides: Column, defaults: dict[str, bool]) -> Column:
+    """A map of all known flags; an override counts only for a known key and if it says true or false."""
+    base = F.create_map(*[F.lit(x) for pair in defaults.items() for x in pair])
+    known = F.map_filter(overrides, lambda k, v: k.isin(*defaults) & v.isin("true", "false"))
+    said = F.transform_values(known, lambda _, v: v == "true")
+    return F.map_zip_with(base, said, lambda _, a, b: F.coalesce(b, a))
+
+
+def deep_merge(a: Column, b: Column) -> Column:
+    """Maps of maps: keys of both, the second one's values over the first one's."""
+    inner = lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.map_zip_with(x, y, lambda _, p, q: F.coalesce(q, p)))
+    return F.map_zip_with(a, b, lambda _, x, y: inner(x, y))
+
+
+def replace_documents(current: DataFrame, fresh: DataFrame, key: str, force: bool) -> DataFrame:
+    """An index after documents came in: forced ones replace their old entries, others only come in if they are new."""
+    if force:
+        return current.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+    return current.unionByName(fresh.join(current.select(key).distinct(), key, "left_anti"))
+
+
+def late_rows(rows: DataFrame, batch: Column, at: str, allowed: int) -> DataFrame:
+    """Mark rows that come after the watermark of the batches before them: the largest time seen less what is allowed.
+
+    Batches, not rows, go through one task for the running maximum.
+    """
+    numbered = rows.withColumn("__batch", batch)
+    tops = numbered.groupBy("__batch").agg(F.max(at).alias("__top"))
+    before = Window.orderBy("__batch").rowsBetween(Window.unboundedPreceding, -1)
+    marks = tops.withColumn("__mark", F.max("__top").over(before) - allowed).drop("__top")
+    return numbered.join(marks, "__batch").withColumn("late", F.coalesce(F.col(at) < F.col("__mark"), F.lit(False))).drop("__batch", "__mark")

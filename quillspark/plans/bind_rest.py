@@ -191,7 +191,7 @@ def vec_hash_embed(spark: SparkSession, root: str) -> DataFrame:
     return tokens.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@register("arr_pad", "WITH t AS (SELECT doc_id, list_transform(string_split(text, chr(10)), l -> string_split(l, '|')) AS r FROM documents), w AS (SELECT *, list_max(list_transform(r, c -> len(c))) AS width FROM t) SELECT doc_id, width, array_to_string(list_transform(r, c -> array_to_string(list_resize(c, width, ''), '|')), chr(10)) AS padded FROM w")
+@register("arr_pad", "WITH t AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: string_split(l, '|')) AS r FROM documents), w AS (SELECT *, list_max(list_transform(r, lambda c: len(c))) AS width FROM t) SELECT doc_id, width, array_to_string(list_transform(r, lambda c: array_to_string(list_resize(c, width, ''), '|')), chr(10)) AS padded FROM w")
 def arr_pad(spark: SparkSession, root: str) -> DataFrame:
     """Lines are rows of cells; all are as wide as the widest of their document."""
     rows = F.transform(F.split("text", "\n"), lambda line: F.split(line, r"\|"))

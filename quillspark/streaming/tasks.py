@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -40,3 +40,9 @@ def lifecycle(events: DataFrame, claim: str, finish: str) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(
         fold, "user_id long, state string, effective_events long", "state string, effective_events long", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def copy_once(spark: SparkSession, source: str, schema, sink: str, log: str) -> None:
+    """Move what is new in a folder to another, a file a batch; the log remembers what was taken."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(source)
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", log).format("parquet").start(sink).awaitTermination()
