@@ -44,7 +44,7 @@ SPREAD = 4.0
 #: Languages whose bounds are broadcast; beyond, they are joined.
 LANGUAGES = 10_000
 #: Characters of a block of documents, and keys asked of a shard.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
 SHARD_KEYS = 1_500_000
 #: Distinct n-grams that a counting task holds.
 HELD = 3_000_000
@@ -101,40 +101,69 @@ def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return codes, high[first], low[first]
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the ORDER-grams of a task's texts, by half."""
-    held: dict[int, list] = {0: [], 1: []}
-    size = 0
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers compressed byte by byte: all first bytes, all second ones and so on."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-    def merge() -> None:
-        for half, parts in held.items():
-            if len(parts) > 1:
-                high, low, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                codes, high, low = distinct(high, low)
-                order = np.lexsort((low, high))  # neighbours alike, for the shuffle's compression
-                held[half] = [(high[order], low[order], np.bincount(codes, n).astype(np.int64)[order])]
-
-    def give() -> Iterator[pd.DataFrame]:
-        merge()
-        for half, parts in held.items():
-            for high, low, n in parts:
-                yield pd.DataFrame({"half": np.full(len(n), half, np.int32), "high": high, "low": low, "c": n})
-            held[half] = []
 
-    for frame in frames:
-        for half in (0, 1):
-            texts = frame["text"][frame["half"] == half].tolist()
-            for a, b in batches(texts):
-                codes, high, low = distinct(*grams_of(*symbols_of(texts[a:b])[:2]))
-                held[half].append((high, low, np.bincount(codes).astype(np.int64)))
-                size += len(high)
-        if size > HELD:
+def _numbers(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+
+
+_COUNTS = "part int, half int, high binary, low binary, c binary"
+
+
+def _count(parts: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts of the ORDER-grams of a task's texts, by half and range of hashes, sorted and compressed."""
+        held: dict[int, list] = {0: [], 1: []}
+        size = 0
+
+        def merge() -> None:
+            for half, lists in held.items():
+                if len(lists) > 1:
+                    high, low, n = (np.concatenate(x) for x in zip(*lists, strict=True))
+                    codes, high, low = distinct(high, low)
+                    held[half] = [(high, low, np.bincount(codes, n).astype(np.int64))]
+
+        def give() -> Iterator[pd.DataFrame]:
             merge()
-            size = sum(len(p[0]) for parts in held.values() for p in parts)
+            for half, lists in held.items():
+                for high, low, n in lists:
+                    part = (hashed(high, low, ORDER, half) % np.uint64(parts)).astype(np.int32)
+                    order = np.lexsort((low, high, part))
+                    edges = np.searchsorted(part[order], np.arange(parts + 1))
+                    rows = [(p, half, *[_planes(x[order[a:b]]) for x in (high, low, n)]) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                    yield pd.DataFrame(rows, columns=["part", "half", "high", "low", "c"])
+                held[half] = []
+
+        for frame in frames:
+            for half in (0, 1):
+                texts = frame["text"][frame["half"] == half].tolist()
+                for a, b in batches(texts):
+                    codes, high, low = distinct(*grams_of(*symbols_of(texts[a:b])[:2]))
+                    held[half].append((high, low, np.bincount(codes).astype(np.int64)))
+                    size += len(high)
             if size > HELD:
-                yield from give()
-                size = 0
-    yield from give()
+                merge()
+                size = sum(len(p[0]) for lists in held.values() for p in lists)
+                if size > HELD:
+                    yield from give()
+                    size = 0
+        yield from give()
+
+    return run
+
+
+def _sum_counts(frame: pd.DataFrame) -> pd.DataFrame:
+    """The counts of one range of hashes, summed over tasks."""
+    out = []
+    for half, own in frame.groupby("half"):
+        high, low, n = (np.concatenate([_numbers(x) for x in own[c]]) for c in ("high", "low", "c"))
+        codes, high, low = distinct(high, low)
+        out.append(pd.DataFrame({"half": np.full(len(high), half, np.int32), "high": high, "low": low, "c": np.bincount(codes, n).astype(np.int64)}))
+    return pd.concat(out)
 
 
 def half_of(text: Column) -> Column:
@@ -184,16 +213,16 @@ def _drop_first(n: int) -> list[Column]:
 
 def train(texts: DataFrame, parts: int = 1) -> tuple[DataFrame, dict[int, float]]:
     """The packed model of texts (text, half), a row a shard, and the bits of an unknown symbol by half."""
-    rows, unknown = levels(texts)
+    rows, unknown = levels(texts, parts)
     packed = rows.mapInPandas(_model_rows(parts), "part int, key long, kind int, value int").groupBy("part").applyInPandas(_pack_model, _MODEL)
     return cut(packed), unknown
 
 
-def levels(texts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+def levels(texts: DataFrame, parts: int = 1) -> tuple[DataFrame, dict[int, float]]:
     """The model of texts (text, half): rows (half, n, high, low, kind, value), where kind 0 gives the bits of an n-gram after its
     context and kind 1 the bits of falling back from a context of n symbols; and the bits of an unknown symbol by half.
     """
-    top = cut(texts.mapInPandas(_count, "half int, high long, low long, c long").groupBy("half", "high", "low").agg(F.sum("c").alias("c")))
+    top = cut(texts.mapInPandas(_count(parts), _COUNTS).groupBy("part").applyInPandas(_sum_counts, "half int, high long, low long, c long"))
     counts = [top]
     for n in range(ORDER - 1, 0, -1):
         counts.insert(0, counts[0].select("half", *_drop_first(n)).groupBy("half", "high", "low").agg(F.count("*").alias("c")))
@@ -266,7 +295,7 @@ def gram_bits(high: np.ndarray, low: np.ndarray, half: int, parts: int, keys: tu
 
 def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield pd.DataFrame({"block": frame["block"], "key": frame["key"], "z": [zlib.compress(t.encode("utf-8", "replace"), 1) for t in frame["text"]]})
+        yield pd.DataFrame({"block": frame["block"], "key": frame["key"], "z": [zlib.compress(t.encode("utf-8", "replace"), 3) for t in frame["text"]]})
 
 
 def _unpack(blobs) -> list[str]:
