@@ -108,3 +108,16 @@ def pack(pieces: Column, limit: int) -> Column:
         return state(held, F.when(fits, acc["packs"]).otherwise(acc["packs"] + 1), F.greatest(acc["longest"], held))
 
     return F.aggregate(pieces, state(F.lit(0), F.lit(0), F.lit(0)), step)
+
+
+def overlapping(c: Column, size: int, overlap: int) -> Column:
+    """Pieces of a size that overlap; the last one ends with the text."""
+    n = F.length(c)
+    starts = F.sequence(F.lit(1), F.greatest(n - overlap, F.lit(1)), F.lit(size - overlap))
+    return F.transform(starts, lambda i: F.substring(c, i, F.lit(size)))
+
+
+def valid_segments(c: Column, segments: Column) -> Column:
+    """Whether segments are together between 0.45 and 1.8 times as long as the text they were cut from."""
+    total = F.aggregate(F.transform(segments, F.length), F.lit(0), lambda a, x: a + x)
+    return F.coalesce((total / F.nullif(F.length(c), F.lit(0))).between(0.45, 1.8), F.lit(False))

@@ -155,3 +155,13 @@ def triggered(check: str, fields: list[str], found: Column, least: int = 1) -> C
     if check == "single_uv_without_support":
         return (has("uv_method_present") | has("characteristic_max_wavelengths")) & ~(has("complementary_identification_method") | has("specificity_support"))
     return F.lit(False)
+
+
+def bridge(versions: str, refuted: str, pending: str, editorial: str, method: str, bridged: str) -> Column:
+    """Whether results under several versions of a standard compare: refuted, pending, one version, editorial changes, a bridged method, or open."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    several = F.coalesce(F.col(versions), F.lit(0)) > 1
+    return (
+        F.when(yes(refuted), PROBLEM).when(yes(pending), LACKING).when(F.col(versions) == 1, PASSED)
+        .when(several & yes(editorial), PASSED).when(several & yes(method) & yes(bridged), PASSED).otherwise(LACKING)
+    )

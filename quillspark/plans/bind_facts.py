@@ -144,13 +144,6 @@ def num_confirm(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", F.when((F.col("n") == 1) & (F.col("quality") == 1), "confirmed").when(F.col("n") == 1, "text differs").otherwise("ambiguous").alias("state"))
 
 
-@register("join_must_answer", "SELECT item_id, count(*) AS answered FROM (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(left(b.text, 60)))) GROUP BY item_id")
-def join_must_answer(spark: SparkSession, root: str) -> DataFrame:
-    """Questions whose opening occurs in documents; the questions are few and are compared with every document."""
-    asked = table(spark, root, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("q"))
-    return table(spark, root, "documents").join(asked, F.lower("text").contains(F.col("q"))).groupBy("item_id").agg(F.count("*").alias("answered"))
-
-
 @register("agg_feedback_total", "SELECT count_if(event_type = 'click') AS chains, count_if(event_type = 'error') AS errors, round(count_if(event_type = 'error') / count(*), 6) AS error_rate, round(count_if(event_type = 'purchase' AND value > 50) / nullif(count_if(event_type = 'purchase'), 0), 6) AS modification_rate FROM events")
 def agg_feedback_total(spark: SparkSession, root: str) -> DataFrame:
     kind = F.col("event_type")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import chunks
+from quillspark.operators import chunks, review, traces
 from quillspark.operators import relational as R
 from quillspark.plans.registry import register
-from quillspark.sources import pages
+from quillspark.sources import exchange, pages
 from quillspark.sources.tables import table
 from quillspark.streaming import tasks as streams
 
@@ -96,10 +96,15 @@ def prj_metadata_only(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", "source", F.substring("text", 1, 320).alias("preview"), "n_chars")
 
 
-@register("snk_trace_spill", "SELECT doc_id, strlen(text) > 4000 AS spilled, CASE WHEN strlen(text) > 8000 THEN 'minimal' WHEN strlen(text) > 4000 THEN 'shrunk' ELSE 'full' END AS form FROM documents")
+@register("snk_trace_spill", "WITH t AS (SELECT doc_id, strlen(text) + 30 AS n, strlen(left(text, 1200)) + 30 AS s FROM documents) SELECT doc_id, n > 18000 AS spilled, CASE WHEN n <= 18000 THEN 'full' WHEN s <= 18000 THEN 'minimal' ELSE 'ultra' END AS form, CASE WHEN n <= 18000 THEN n WHEN s <= 18000 THEN s ELSE 30 END AS kept FROM t")
 def snk_trace_spill(spark: SparkSession, root: str) -> DataFrame:
-    n = F.octet_length("text")
-    return table(spark, root, "documents").select("doc_id", (n > 4000).alias("spilled"), F.when(n > 8000, "minimal").when(n > 4000, "shrunk").otherwise("full").alias("form"))
+    """Traces over 18,000 bytes keep 1,200 characters of their text, or none if that is still too much; the rest goes to a side file."""
+    docs = table(spark, root, "documents")
+    kept, spilled = traces.shrink(docs.select("doc_id", "text"), "text", 18_000, 1_200, 30)
+    folder = exchange.scratch(spark)
+    spilled.write.parquet(folder)
+    there = spark.read.parquet(folder).select("doc_id", F.lit(True).alias("there"))
+    return kept.join(there, "doc_id", "left").select("doc_id", F.coalesce("there", F.lit(False)).alias("spilled"), "form", F.col("bytes").cast("long").alias("kept"))
 
 
 @register("agg_merge_last", "SELECT user_id, last(event_type ORDER BY ts, event_id) FILTER (WHERE event_type <> 'view') AS last_type, last(value ORDER BY ts, event_id) FILTER (WHERE value > 10) AS last_value FROM events GROUP BY user_id")
@@ -157,12 +162,17 @@ def qa_dedupe(spark: SparkSession, root: str) -> DataFrame:
     return R.nth_per(table(spark, root, "events"), ["user_id", "event_type", "value"], [F.col("event_id")]).select("event_id", "user_id", "event_type", "value")
 
 
-@register("brg_versions", "SELECT c_custkey, CASE WHEN max(o_orderstatus = 'F') THEN 'failed' WHEN max(o_orderstatus = 'P') THEN 'pending' WHEN count(o_orderkey) = 1 THEN 'single' ELSE 'insufficient' END AS verdict FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@register("brg_versions", """WITH v AS (SELECT o_custkey AS k, count(DISTINCT o_orderpriority) AS versions, bool_or(o_totalprice > 480000) AS refuted, bool_or(o_orderstatus = 'P') AS pending, bool_or(o_orderkey % 9 = 0) AS editorial, bool_or(o_orderkey % 4 = 0) AS method, bool_and(o_orderkey % 11 <> 1) AS bridged FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN refuted THEN '发现问题' WHEN pending THEN '证据不足' WHEN versions = 1 THEN '通过' WHEN versions > 1 AND editorial THEN '通过' WHEN versions > 1 AND method AND bridged THEN '通过' ELSE '证据不足' END AS verdict FROM customer LEFT JOIN v ON k = c_custkey""")
 def brg_versions(spark: SparkSession, root: str) -> DataFrame:
-    joined = table(spark, root, "customer").select("c_custkey").join(table(spark, root, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    s = F.col("o_orderstatus")
-    verdict = F.when(F.coalesce(F.bool_or(s == "F"), F.lit(False)), "failed").when(F.coalesce(F.bool_or(s == "P"), F.lit(False)), "pending").when(F.count("o_orderkey") == 1, "single").otherwise("insufficient")
-    return joined.groupBy("c_custkey").agg(verdict.alias("verdict"))
+    """Standards by version of each document: refuted, pending, single and validated, editorial only, method change bridged, or open."""
+    o, key = table(spark, root, "orders"), F.col("o_orderkey")
+    facts = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count_distinct("o_orderpriority").alias("versions"), F.bool_or(F.col("o_totalprice") > 480000).alias("refuted"), F.bool_or(F.col("o_orderstatus") == "P").alias("pending"),
+        F.bool_or(key % 9 == 0).alias("editorial"), F.bool_or(key % 4 == 0).alias("method"), F.bool_and(key % 11 != 1).alias("bridged"),
+    )
+    joined = table(spark, root, "customer").select("c_custkey").join(facts, "c_custkey", "left")
+    return joined.select("c_custkey", review.bridge("versions", "refuted", "pending", "editorial", "method", "bridged").alias("verdict"))
 
 
 @register("out_status", "SELECT user_id, CASE WHEN count_if(event_type = 'error') = count(*) THEN 'failed' WHEN count_if(event_type = 'error') > 0 THEN 'partial' ELSE 'success' END AS status FROM events GROUP BY user_id")

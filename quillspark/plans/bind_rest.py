@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import numbers as N
 from quillspark.functions import text as T
 from quillspark.functions.vectors import cosine
-from quillspark.operators import chunks, limits, retrieval
+from quillspark.operators import chunks, limits, retrieval, stability
 from quillspark.operators import relational as R
 from quillspark.plans.registry import register
 from quillspark.sources.tables import table
@@ -162,10 +162,12 @@ def str_markdown_table(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "part").select("p_partkey", F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("row"))
 
 
-@register("str_chunk_valid", "SELECT doc_id, length(left(text, 400)) / length(text) BETWEEN 0.45 AND 1.8 AS valid FROM documents")
+@register("str_chunk_valid", r"WITH s AS (SELECT doc_id, text, list_transform(range(1, greatest(length(text), 1) + 1, 400), lambda i: length(regexp_replace(substring(text, i, 400), '^\s+|\s+$', '', 'g'))) AS n FROM documents) SELECT doc_id, coalesce(list_sum(n) / nullif(length(text), 0) BETWEEN 0.45 AND 1.8, false) AS valid FROM s")
 def str_chunk_valid(spark: SparkSession, root: str) -> DataFrame:
-    ratio = F.length(F.substring("text", 1, 400)) / F.length("text")
-    return table(spark, root, "documents").select("doc_id", ratio.between(0.45, 1.8).alias("valid"))
+    """Whether the segments of a chunker keep enough of the text, and no more than it has."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(400))
+    segments = F.transform(starts, lambda i: T.strip(F.substring("text", i, F.lit(400))))
+    return table(spark, root, "documents").select("doc_id", chunks.valid_segments(F.col("text"), segments).alias("valid"))
 
 
 @register("math_ratio0", "SELECT event_id, CASE WHEN user_id - 50 > 0 THEN value / (user_id - 50) ELSE 0 END AS ratio FROM events")
@@ -274,10 +276,13 @@ def stb_series(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "lineitem").select("l_suppkey", "l_returnflag", "l_shipdate", "l_quantity").distinct().groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("points"))
 
 
-@register("stb_coverage", "SELECT l_suppkey, l_returnflag, max(l_shipdate) < TIMESTAMP '1998-06-01' AS ends_early, count_if(l_tax = 0) AS blanks FROM lineitem GROUP BY ALL")
+@register("stb_coverage", "WITH r AS (SELECT l_suppkey AS b, l_returnflag AS c, month(l_shipdate) AS m, CASE WHEN l_tax = 0 THEN '/' ELSE l_tax::VARCHAR END AS v FROM lineitem), s AS (SELECT b, c, bool_or(m = 12) AS has_end, count_if(v = '/') AS blanks FROM r GROUP BY ALL), g AS (SELECT b, c, count(*) AS gaps FROM (SELECT DISTINCT b, c, unnest([0, 3, 6, 9, 12, 18]) AS m FROM r) p WHERE m <= 12 AND NOT EXISTS (SELECT 1 FROM r WHERE r.b = p.b AND r.c = p.c AND r.m = p.m AND v <> '/') GROUP BY ALL) SELECT b AS l_suppkey, c AS l_returnflag, has_end, blanks, coalesce(gaps, 0) AS gaps, CASE WHEN NOT has_end OR blanks > 0 OR coalesce(gaps, 0) > 0 THEN '存在缺口' ELSE '已核对' END AS status FROM s LEFT JOIN g USING (b, c)")
 def stb_coverage(spark: SparkSession, root: str) -> DataFrame:
-    early = F.max("l_shipdate").cast("date") < F.lit("1998-06-01").cast("date")
-    return table(spark, root, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(early.alias("ends_early"), F.count_if(F.col("l_tax") == 0).alias("blanks"))
+    """End point, blank results and planned months of every series."""
+    blank = F.when(F.col("l_tax") == 0, "/").otherwise(F.col("l_tax").cast("string"))
+    rows = table(spark, root, "lineitem").select("l_suppkey", "l_returnflag", F.month("l_shipdate").alias("month"), blank.alias("result"))
+    plan = rows.select("l_suppkey", "l_returnflag").distinct().select("l_suppkey", "l_returnflag", F.explode(F.array(*map(F.lit, (0, 3, 6, 9, 12, 18)))).alias("month"))
+    return stability.coverage(rows, plan, ["l_suppkey", "l_returnflag"], 12).select("l_suppkey", "l_returnflag", "has_end", "blanks", "gaps", "status")
 
 
 @register("agg_label_set", "SELECT l_returnflag, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS batches FROM lineitem GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import numbers as N
 from quillspark.functions import text as T
 from quillspark.functions.vectors import cosine
-from quillspark.operators import limits, metrics, retrieval, tasks
+from quillspark.operators import limits, metrics, retrieval, review, stability, tasks
 from quillspark.operators import relational as R
 from quillspark.plans.registry import register
 from quillspark.sources.tables import table
@@ -126,10 +126,11 @@ def agg_group_docs(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.col("t").cast("array<string>"), ",").alias("turns"), "first_role")
 
 
-@register("agg_status_fold", "SELECT user_id, CASE WHEN max(event_type = 'purchase') THEN 'problem' WHEN max(event_type = 'signup') THEN 'insufficient' ELSE 'passed' END AS status FROM events GROUP BY 1")
+@register("agg_status_fold", "WITH s AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN '通过' WHEN 'signup' THEN CASE WHEN event_id % 40 = 0 THEN '证据不足' ELSE '不适用' END WHEN 'error' THEN CASE WHEN event_id % 90 = 0 THEN '发现问题' ELSE '不适用' END ELSE '不适用' END AS s FROM events) SELECT user_id, CASE WHEN bool_or(s = '发现问题') THEN '发现问题' WHEN bool_or(s = '证据不足') THEN '证据不足' WHEN bool_and(s = '不适用') THEN '不适用' ELSE '通过' END AS status FROM s GROUP BY 1")
 def agg_status_fold(spark: SparkSession, root: str) -> DataFrame:
-    level = F.max(F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 1).otherwise(0))
-    return table(spark, root, "events").groupBy("user_id").agg(F.element_at(F.array(F.lit("passed"), F.lit("insufficient"), F.lit("problem")), level + 1).alias("status"))
+    kind, n = F.col("event_type"), F.col("event_id")
+    status = F.when(kind == "purchase", review.PASSED).when((kind == "signup") & (n % 40 == 0), review.LACKING).when((kind == "error") & (n % 90 == 0), review.PROBLEM).otherwise(review.NOT_APPLICABLE)
+    return table(spark, root, "events").select("user_id", status.alias("s")).groupBy("user_id").agg(review.fold_status("s").alias("status"))
 
 
 @register("agg_kleene_and", "SELECT l_suppkey, CASE WHEN count_if(NOT f) > 0 THEN false WHEN count_if(f) = count(*) THEN true END AS flag FROM (SELECT l_suppkey, CASE WHEN l_tax > 0.07 THEN NULL ELSE l_quantity < 50 END AS f FROM lineitem) GROUP BY 1")
@@ -183,11 +184,13 @@ def stb_group_key(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", key.alias("group_key"))
 
 
-@register("stb_risk", "SELECT l_suppkey, CASE WHEN count_if(l_quantity > 49) > 0 THEN 'high' WHEN count(l_tax) = 0 THEN 'unknown' WHEN count_if(l_quantity > 42) > 0 THEN 'medium' ELSE 'low' END AS risk FROM lineitem GROUP BY 1")
+@register("stb_risk", "WITH d AS (SELECT l_suppkey, l_returnflag, l_linenumber % 4 <> 3 AS numeric, CASE WHEN l_linenumber % 4 <> 3 THEN l_quantity <= 49 END AS w, l_linenumber % 4 <> 3 AND l_quantity <= 49 AND l_quantity >= 49 * 0.85 AS near FROM lineitem) SELECT l_suppkey, l_returnflag, CASE WHEN coalesce(bool_or(NOT w), false) THEN '高' WHEN NOT bool_or(numeric) THEN '待确认' WHEN bool_or(w IS NULL OR near) THEN '中' ELSE '低' END AS risk FROM d GROUP BY ALL")
 def stb_risk(spark: SparkSession, root: str) -> DataFrame:
-    q = F.col("l_quantity")
-    risk = F.when(F.count_if(q > 49) > 0, "high").when(F.count("l_tax") == 0, "unknown").when(F.count_if(q > 42) > 0, "medium").otherwise("low")
-    return table(spark, root, "lineitem").groupBy("l_suppkey").agg(risk.alias("risk"))
+    """From the limit decisions on every result."""
+    result = F.when(F.col("l_linenumber") % 4 == 3, F.lit("待检")).otherwise(F.col("l_quantity").cast("decimal(10,2)").cast("string"))
+    rows = table(spark, root, "lineitem").select("l_suppkey", "l_returnflag", result.alias("r"), F.lit("≤49").alias("m"))
+    judged = limits.evaluate(rows, "r", "m").select("l_suppkey", "l_returnflag", F.col("decision.within").alias("w"), F.col("decision.near_limit").alias("near"), (F.col("r") != "待检").alias("numeric"))
+    return judged.groupBy("l_suppkey", "l_returnflag").agg(stability.risk("w", "numeric", "near").alias("risk"))
 
 
 @register("vec_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -84,21 +84,32 @@ def agg_keyword_top(spark: SparkSession, root: str) -> DataFrame:
 
 def keyword_top(docs: DataFrame, key: str, text_col: str, most: int = 8) -> DataFrame:
     """The most frequent keywords of each text; ties go to the one that occurs first."""
-    tokens = docs.select(key, F.posexplode(T.all_matches(F.col(text_col), T.KEYWORD_PATTERN)).alias("pos", "token"))
+    # Texts are dealt by key once; what is counted and ranked below then stays where it is.
+    tokens = docs.select(key, text_col).repartition(key).select(key, F.posexplode(T.all_matches(F.col(text_col), T.KEYWORD_PATTERN)).alias("pos", "token"))
     counted = tokens.filter(~F.lower("token").isin(*T.KEYWORD_STOPS)).groupBy(key, "token").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first_pos"))
     return counted.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select(key, "token", "n", "rank")
 
 
-@register("str_char_overlap", r"""WITH n AS (SELECT item_id, regexp_replace(lower(trim(text)), '[\s\x{3000}；;，,。、“”"''（）()【】\[\]：:、\\/_-]+', '', 'g') AS q FROM benchmark),
-c AS (SELECT doc_id, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[\s\x{3000}；;，,。、“”"''（）()【】\[\]：:、\\/_-]+', '', 'g') AS c FROM documents WHERE n_chars < 400)
-SELECT item_id, doc_id, round(greatest(CASE WHEN contains(c, q) OR contains(q, c) THEN CASE WHEN least(length(q), length(c)) >= 6 THEN 1.0 ELSE 0.85 END ELSE 0.0 END,
-  len(list_intersect(list_distinct(string_split(q, '')), list_distinct(string_split(c, '')))) / len(list_distinct(string_split(q, ''))))::DOUBLE, 6) AS score
-FROM n, c WHERE q <> '' AND c <> '' AND greatest(CASE WHEN contains(c, q) OR contains(q, c) THEN CASE WHEN least(length(q), length(c)) >= 6 THEN 1.0 ELSE 0.85 END ELSE 0.0 END,
-  len(list_intersect(list_distinct(string_split(q, '')), list_distinct(string_split(c, '')))) / len(list_distinct(string_split(q, '')))) >= 0.42""")
+_NORM = lambda c: f"regexp_replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '[\\s\\x{{3000}}；;，,。、“”\"''（）()【】\\[\\]：:、\\\\/_-]+', '', 'g')"
+_OVERLAP = "greatest(CASE WHEN contains(c, q) OR contains(q, c) THEN CASE WHEN least(length(q), length(c)) >= 6 THEN 1.0 ELSE 0.85 END ELSE 0.0 END, len(list_intersect(list_distinct(string_split(q, '')), list_distinct(string_split(c, '')))) / len(list_distinct(string_split(q, ''))))::DOUBLE"
+
+
+@register("str_char_overlap", f"WITH p AS (SELECT a.conv_id, a.turn, {_NORM('a.text')} AS q, {_NORM('b.text')} AS c FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, round(CASE WHEN q = '' OR c = '' THEN 0 ELSE {_OVERLAP} END, 6) AS score FROM p")
 def str_char_overlap(spark: SparkSession, root: str) -> DataFrame:
-    """Questions against short texts, kept from 0.42 on; one row of questions is small and sent to all."""
-    questions = table(spark, root, "benchmark").select("item_id", F.col("text").alias("q"))
-    texts = table(spark, root, "documents").filter("n_chars < 400").select("doc_id", F.col("text").alias("c"))
-    scored = texts.join(questions).select("item_id", "doc_id", T.char_overlap(F.col("q"), F.col("c")).alias("s"))
-    return scored.filter("s >= 0.42").select("item_id", "doc_id", F.round("s", 6).alias("score"))
+    """Every turn against the next one of its conversation."""
+    rows = table(spark, root, "conversations").select("conv_id", "turn", F.col("text").alias("q"))
+    nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("q").alias("c"))
+    return rows.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.char_overlap(F.col("q"), F.col("c")), 6).alias("score"))
+
+
+@register("join_must_answer", f"WITH t AS (SELECT conv_id, turn, role, {_NORM('text')} AS x FROM conversations), q AS (SELECT conv_id, turn, x AS q FROM t WHERE role = 'user'), s AS (SELECT q.conv_id, q.turn, {_OVERLAP} AS s FROM q JOIN (SELECT conv_id, x AS c FROM t WHERE role = 'assistant') a ON a.conv_id = q.conv_id WHERE q <> '' AND c <> '') SELECT q.conv_id, q.turn, count(s.s) AS answers, coalesce(round(max(s.s), 6), 0) AS best, count(s.s) > 0 AS covered FROM q LEFT JOIN s ON s.conv_id = q.conv_id AND s.turn = q.turn AND s.s >= 0.42 GROUP BY ALL")
+def join_must_answer(spark: SparkSession, root: str) -> DataFrame:
+    """Every question of a run (conversation) against the run's tasks: those with a score of 0.42 or more answer it."""
+    rows = table(spark, root, "conversations")
+    asked = rows.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    tasks = rows.filter("role = 'assistant'").select("conv_id", F.col("text").alias("c"))
+    scored = asked.join(tasks, "conv_id").select("conv_id", "turn", T.char_overlap(F.col("q"), F.col("c")).alias("s")).filter("s >= 0.42")
+    best = scored.groupBy("conv_id", "turn").agg(F.count("*").alias("answers"), F.max("s").alias("best"))
+    joined = asked.select("conv_id", "turn").join(best, ["conv_id", "turn"], "left")
+    return joined.select("conv_id", "turn", F.coalesce("answers", F.lit(0)).alias("answers"), F.coalesce(F.round("best", 6), F.lit(0.0)).alias("best"), F.col("answers").isNotNull().alias("covered"))
\ No newline at end of file

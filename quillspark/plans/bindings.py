@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import cosine
-from quillspark.plans import bind_facts, bind_more, bind_relational, bind_rest, bind_review, bind_rules, bind_spark, bind_text  # noqa: F401
+from quillspark.plans import bind_facts, bind_forms, bind_more, bind_relational, bind_rest, bind_review, bind_rules, bind_spark, bind_text  # noqa: F401
 from quillspark.plans.registry import register
 from quillspark.sources.tables import table
 
