@@ -9,7 +9,7 @@ from quillspark.functions import plug
 from quillspark.operators import chunks
 from quillspark.operators import relational as R
 from quillspark.plans.registry import register
-from quillspark.sources import exchange
+from quillspark.sources import docx, exchange
 from quillspark.sources import registry as readers
 from quillspark.sources.tables import table
 from quillspark.streaming import tasks as streams
@@ -272,3 +272,63 @@ def map_deep_merge(spark: SparkSession, root: str) -> DataFrame:
     b = F.create_map(F.lit("own"), F.create_map(F.lit("state"), F.when(F.col("n_nationkey") % 2 == 0, "new")), F.lit("more"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")))
     m = table(spark, root, "nation").select("n_nationkey", R.deep_merge(a, b).alias("m"))
     return m.select("n_nationkey", F.col("m")["own"]["name"].alias("name"), F.col("m")["own"]["state"].alias("state"), F.col("m")["more"]["region"].alias("region"))
+
+
+def _word_files(rows: DataFrame) -> DataFrame:
+    """Word documents made of rows (key, title, cells): a heading, a line and a table whose first column is merged."""
+
+    def run(frames):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        line = lambda text, style="": f"<w:p>{style}<w:r><w:t>{text}</w:t></w:r></w:p>"
+        cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{line(text)}</w:tc>"
+        for frame in frames:
+            out = []
+            for title, cells in zip(frame["title"], frame["cells"], strict=True):
+                first = '<w:vMerge w:val="restart"/>'
+                body = [f"<w:tr>{cell(title if i == 0 else '', first if i == 0 else '<w:vMerge/>')}{cell(c)}</w:tr>" for i, c in enumerate(cells)]
+                last = f"<w:tr>{cell('total', '<w:gridSpan w:val=\"2\"/>')}</w:tr>"
+                style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
+                xml = f"<w:document {space}><w:body>{line(title, style)}{line('about ' + title)}<w:tbl>{''.join(body)}{last}</w:tbl></w:body></w:document>"
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr("word/document.xml", xml)
+                out.append(held.getvalue())
+            yield pd.DataFrame({"key": frame["key"], "content": out})
+
+    return rows.mapInPandas(run, "key int, content binary")
+
+
+@register("src_docx", "SELECT r_regionkey AS key, 0 AS pos, 'heading' AS kind, 1 AS level, r_name AS text FROM region UNION ALL SELECT r_regionkey, 1, 'text', 0, 'about ' || r_name FROM region UNION ALL SELECT n_regionkey, 1 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 'row', 0, r_name || ' | ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_regionkey, 2 + count(*), 'row', 0, 'total | total' FROM nation GROUP BY 1")
+def src_docx(spark: SparkSession, root: str) -> DataFrame:
+    n = table(spark, root, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("xs"))
+    joined = table(spark, root, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
+    files = _word_files(joined.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("title"), F.transform("xs", lambda x: x["n_name"]).alias("cells")))
+    return docx.blocks(files, "key", "content").select("key", F.col("pos").cast("long").alias("pos"), "kind", "level", "text")
+
+
+@register("snk_es_bulk", "SELECT doc_id, CASE WHEN n_chars > 8000 THEN 'too_large' WHEN trim(text) = '' THEN 'empty' END AS error FROM documents")
+def snk_es_bulk(spark: SparkSession, root: str) -> DataFrame:
+    """Rows that can be indexed are written; the result has an error for each of the others."""
+    why = F.when(F.col("n_chars") > 8000, "too_large").when(F.trim("text") == "", "empty")
+    marked = table(spark, root, "documents").withColumn("error", why)
+    marked.filter("error IS NULL").drop("error").write.parquet(exchange.scratch(spark))
+    return marked.select("doc_id", "error")
+
+
+@register("snk_report", "SELECT source, '# ' || source || chr(10) || count(*) || ' documents' || chr(10) || string_agg(DISTINCT '- ' || lang, chr(10) ORDER BY '- ' || lang) AS report FROM documents GROUP BY source")
+def snk_report(spark: SparkSession, root: str) -> DataFrame:
+    """One Markdown report a source."""
+    langs = F.array_join(F.transform(F.sort_array(F.collect_set("lang")), lambda x: F.concat(F.lit("- "), x)), "\n")
+    return table(spark, root, "documents").groupBy("source").agg(F.concat(F.lit("# "), F.first("source"), F.lit("\n"), F.count("*").cast("string"), F.lit(" documents\n"), langs).alias("report"))
+
+
+@register("src_pages_loop", "WITH p AS (SELECT *, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) // 10 AS page FROM conversations) SELECT role, page, count(*) AS items FROM p WHERE page < 20 GROUP BY ALL")
+def src_pages_loop(spark: SparkSession, root: str) -> DataFrame:
+    """Pages of ten items of each listing, until there are none or twenty pages are read; the bound is the feature."""
+    numbered = R.nth_per(table(spark, root, "conversations"), ["role"], [F.col("conv_id"), F.col("turn")], 10 * 20, "n")
+    return numbered.groupBy("role", F.expr("(n - 1) div 10").alias("page")).agg(F.count("*").alias("items"))

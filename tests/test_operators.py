@@ -215,3 +215,10 @@ def test_plugs(spark):
     assert sum(x * x for x in v[1]) == pytest.approx(1) and v[2] == [0.0] * 4 and v[3] is None
     lists = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "i int, xs array<string>")
     assert {r["i"]: r["mapped"] for r in plug.parallel_map(lists, "xs", str.upper).collect()} == {1: ["A", "B"], 2: [], 3: None}
+
+
+def test_broken_word_files_do_not_stop_others(spark):
+    from quillspark.sources import docx
+
+    files = spark.createDataFrame([(1, bytearray(b"not a zip")), (2, bytearray(b""))], "k int, content binary")
+    assert rows_of(docx.blocks(files, "k", "content"), "k", "kind", "text") == Counter([(1, "error", "BadZipFile"), (2, "error", "BadZipFile")])
