@@ -225,14 +225,14 @@ def levels(texts: DataFrame, parts: int = 1) -> tuple[DataFrame, dict[int, float
     top = cut(texts.mapInPandas(_count(parts), _COUNTS).groupBy("part").applyInPandas(_sum_counts, "half int, high long, low long, c long"))
     counts = [top]
     for n in range(ORDER - 1, 0, -1):
-        counts.insert(0, counts[0].select("half", *_drop_first(n)).groupBy("half", "high", "low").agg(F.count("*").alias("c")))
+        counts.insert(0, cut(counts[0].select("half", *_drop_first(n)).groupBy("half", "high", "low").agg(F.count("*").alias("c"))))
     bits = lambda x: (-F.log2(x)).alias("value")
     rows, below, unknown = None, None, {0: 0.0, 1: 0.0}
     for n, counted in enumerate(counts, 1):
         found = _discounted(counted).select("half", "high", "low", "c", "d", *_shift("high", "low"))
         if n == 1:
             found = found.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
-        freed = found.groupBy("half", "x", "y").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g"), F.count("*").alias("kinds"))
+        freed = cut(found.groupBy("half", "x", "y").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g"), F.count("*").alias("kinds")))
         found = found.join(freed, ["half", "x", "y"])
         own = (F.col("c") - F.col("d")) / F.col("total")
         if n == 1:
@@ -244,10 +244,11 @@ def levels(texts: DataFrame, parts: int = 1) -> tuple[DataFrame, dict[int, float
             u, v = _drop_first(n - 1)
             found = found.select("half", "high", "low", "g", own.alias("own"), u.alias("u"), v.alias("v")).join(shorter, ["half", "u", "v"])
             below = cut(found.select("half", "high", "low", (F.col("own") + F.col("g") * F.col("q")).alias("p")))
-            back = freed.select("half", F.lit(n - 1).alias("n"), F.col("x").alias("high"), F.col("y").alias("low"), F.lit(1).alias("kind"), bits(F.col("g")))
-            rows = rows.union(back)
+            rows = rows.union(freed.select("half", F.lit(n - 1).alias("n"), F.col("x").alias("high"), F.col("y").alias("low"), F.lit(1).alias("kind"), bits(F.col("g"))))
         own_rows = below.select("half", F.lit(n).alias("n"), "high", "low", F.lit(0).alias("kind"), bits(F.col("p")))
         rows = own_rows if rows is None else rows.union(own_rows)
+        del found, freed
+        release(texts.sparkSession)
     return rows, unknown
 
 
