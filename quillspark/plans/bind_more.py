@@ -19,7 +19,22 @@ def rag_chunk_doc(spark: SparkSession, root: str) -> DataFrame:
     return chunks.chunk_documents(table(spark, root, "documents"), "doc_id", "text")
 
 
-@register("str_split_long")
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_WHOLE = _STRIP(r"regexp_replace(regexp_replace(replace(replace(text, chr(12288), ' '), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+_PIECES = r"string_split(regexp_replace(regexp_replace(w, '\n{2,}', chr(30), 'g'), '([。！？；.!?;])\s+', '\1' || chr(30), 'g'), chr(30))"
+_SPLIT = f"""WITH RECURSIVE n AS (SELECT doc_id, {_WHOLE} AS w FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform({_PIECES}, lambda x: {_STRIP('x')}), lambda x: x <> '') AS xs FROM n WHERE length(w) > 400),
+s AS (SELECT doc_id, unnest(xs) AS s, generate_subscripts(xs, 1) AS i FROM l),
+walk AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS done, '' AS held FROM l UNION ALL
+SELECT k.doc_id, s.i, CASE WHEN length(s) > 400 THEN list_filter(list_transform(range(1, length(s) + 1, 400), lambda p: {_STRIP('substring(s, p, 400)')}), lambda x: x <> '') ELSE [] END,
+CASE WHEN length(s) > 400 THEN '' WHEN length(held) + length(s) + 1 <= 400 THEN CASE WHEN held = '' THEN s ELSE held || ' ' || s END ELSE s END FROM walk k JOIN s ON s.doc_id = k.doc_id AND s.i = k.i + 1),
+b AS (SELECT w.doc_id, w.i, w.done, w.held, n.s, lead(w.held) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS nxt FROM walk w LEFT JOIN s n ON n.doc_id = w.doc_id AND n.i = w.i + 1),
+e AS (SELECT doc_id, i, 0 AS k, unnest(done) AS segment, generate_subscripts(done, 1) AS j FROM b UNION ALL
+SELECT doc_id, i, 1, held, 0 FROM b WHERE held <> '' AND (s IS NULL OR length(s) > 400 OR length(held) + length(s) + 1 > 400))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k, j) - 1 AS pos, segment FROM e UNION ALL SELECT doc_id, 0, w FROM n WHERE w <> '' AND length(w) <= 400"""
+
+
+@register("str_split_long", _SPLIT)
 def str_split_long(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", F.posexplode(chunks.split_long(F.col("text"), 400)).alias("pos", "segment"))
 
