@@ -1,6 +1,7 @@
 """Chunk folds against a plain model, Markdown sections, streaming twins against their batch forms."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -80,3 +81,60 @@ def test_stream_windows_equal_the_batch(spark, tmp_path):
     for name, twin in (("tumble", streams.tumbling_counts), ("session", streams.sessions)):
         got = _stream(spark, tmp_path, twin(source), "complete", name)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, twin(events).collect()))
+
+
+def _norm(t: str) -> str:
+    t = (t or "").replace("　", " ").replace("\r\n", "\n")
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()
+
+
+def _split(t: str, limit: int) -> list[str]:
+    whole = _norm(t)
+    if len(whole) <= limit:
+        return [whole] if whole else []
+    out, held = [], ""
+    for s in (x.strip() for x in re.split(r"(?<=[。！？；.!?;])\s+|\n{2,}", whole)):
+        if not s:
+            continue
+        if len(s) > limit:
+            out += [held] if held else []
+            out += [p for p in (s[i : i + limit].strip() for i in range(0, len(s), limit)) if p]
+            held = ""
+        elif len(held) + len(s) + 1 <= limit:
+            held = f"{held} {s}" if held else s
+        else:
+            out += [held] if held else []
+            held = s
+    return out + ([held] if held else [])
+
+
+def _merge(segments: list[str], least: int, limit: int) -> list[str]:
+    out, held = [], ""
+    for s in filter(None, map(_norm, segments)):
+        if not held:
+            held = s
+        elif len(held) < least:
+            joined = f"{held} {s}"
+            if len(joined) > limit:
+                out, held = out + _split(joined, limit), ""
+            else:
+                held = joined
+        else:
+            out, held = [*out, held], s
+    if held and out and len(held) < least:
+        out[-1] = f"{out[-1]} {held}"
+    elif held:
+        out.append(held)
+    return [p for s in out for p in (_split(s, limit) if len(s) > limit else [s])]
+
+
+def test_chunks_equal_a_plain_model(spark):
+    texts = [*_texts(), "x" * 9000, " \n\n ".join("short. words" for _ in range(900)), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got: dict = {}
+    for r in chunks.chunk_documents(docs, "id", "text", 20, 120).orderBy("id", "chunk_order").collect():
+        got.setdefault(r["id"], []).append(r["text"])
+    for i, t in enumerate(texts):
+        whole = _norm(t)
+        pieces = [whole[a : a + 4000] for a in range(0, max(len(whole), 1), 4000)]
+        assert got.get(i, []) == _merge([s for p in pieces for s in _split(p, 120)], 20, 120), i
