@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: The six white-space bytes of the contracts: space, tab, LF, VT, FF, CR.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,8 +58,13 @@ def power_at_least(base: int, least: int) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once for each context, for the operators that run Python there."""
+    """Send this package's source to the executors, once for each context, for the operators that run Python there.
+
+    Unless the user has chosen another size, Arrow batches are made smaller than Spark's: a batch of texts is in memory several times over.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, "2000")
     if getattr(context, "_sent_package", False):
         return
     package = Path(__file__).resolve().parent.parent

@@ -47,7 +47,9 @@ LANGUAGES = 10_000
 BLOCK_CHARS = 16_000_000
 SHARD_KEYS = 1_500_000
 #: Distinct n-grams that a counting task holds.
-HELD = 3_000_000
+HELD = 1_500_000
+#: Characters made into n-grams at once.
+RUN_CHARS = 400_000
 FILTER_BITS = 1 << 25
 
 _ONE = (1 << WIDE) - 1
@@ -62,8 +64,7 @@ def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
     nth = np.arange(1, len(texts) + 1)
     out = np.zeros(len(points) + pad * (len(texts) + 1), np.int64)
-    at = np.arange(len(points)) + np.repeat(pad * nth, sizes)
-    out[at] = points.astype(np.int64) + 1
+    out[np.arange(len(points)) + np.repeat(pad * nth, sizes)] = points + np.uint32(1)
     firsts = np.cumsum(sizes) - sizes + pad * nth
     asked = np.arange(len(points) + len(texts)) + np.repeat((pad - 1) * nth + 1, sizes + 1)
     return out, asked, firsts - (pad - 1) * nth - 1
@@ -93,9 +94,14 @@ def hashed(high: np.ndarray, low: np.ndarray, n: int, half: int) -> np.ndarray:
     return mix(low.astype(np.uint64) ^ mix(high.astype(np.uint64) + np.uint64((2 * n + half) << 48)))
 
 
+def _key(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """64 bits that tell ORDER-grams apart."""
+    return low.view(np.uint64) * _LOW + high.view(np.uint64) * _HIGH
+
+
 def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which of the grams each is, and the distinct ones."""
-    codes, _ = pd.factorize((low.astype(np.uint64) * _LOW + high.astype(np.uint64) * _HIGH).view(np.int64))
+    codes, _ = pd.factorize(_key(high, low).view(np.int64))
     first = np.zeros(codes.max() + 1 if len(codes) else 0, np.int64)
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     return codes, high[first], low[first]
@@ -141,7 +147,7 @@ def _count(parts: int):
         for frame in frames:
             for half in (0, 1):
                 texts = frame["text"][frame["half"] == half].tolist()
-                for a, b in batches(texts):
+                for a, b in batches(texts, RUN_CHARS):
                     codes, high, low = distinct(*grams_of(*symbols_of(texts[a:b])[:2]))
                     held[half].append((high, low, np.bincount(codes).astype(np.int64)))
                     size += len(high)
@@ -305,10 +311,10 @@ def _unpack(blobs) -> list[str]:
 
 def _runs(blobs) -> Iterator[tuple[int, int, list[str]]]:
     """Texts of a block, a bounded number of characters at a time."""
-    step = 128
+    step = 64
     for start in range(0, len(blobs), step):
         texts = _unpack(blobs[start : start + step])
-        for a, b in batches(texts):
+        for a, b in batches(texts, RUN_CHARS):
             yield start + a, start + b, texts[a:b]
 
 
@@ -323,16 +329,19 @@ def _block_grams(blobs, keep: list | None = None) -> tuple[np.ndarray, np.ndarra
         symbols, at, firsts = symbols_of(texts)
         codes, *own = distinct(*grams_of(symbols, at))
         if keep is not None:
-            keep.append([a, b, firsts, codes.astype(np.int32), own])
+            keep.append([a, b, firsts, codes.astype(np.int32), _key(*own)])
         held.append(tuple(own))
         size += len(own[0])
-        if size > HELD:
+        if size > RUN_CHARS:
             _, high, low = distinct(*(np.concatenate(x) for x in zip((high, low), *held, strict=True)))
             held, size = [], 0
     _, high, low = distinct(*(np.concatenate(x) for x in zip((high, low), *held, strict=True)))
-    for run in keep or []:
-        codes, _, _ = distinct(np.concatenate([high, run[4][0]]), np.concatenate([low, run[4][1]]))
-        run[4] = codes[len(high) :]
+    if keep:
+        keys = _key(high, low)
+        order = np.argsort(keys)
+        keys = keys[order]
+        for run in keep:
+            run[4] = order[np.searchsorted(keys, run[4])].astype(np.int32)
     return high, low
 
 

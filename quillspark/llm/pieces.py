@@ -31,7 +31,7 @@ from quillspark.llm.common import ship
 
 _SPACE = "▁"
 #: Words remembered by a worker; beyond this the memory is emptied and filled anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Texts encoded together.
 BATCH = 200
 

@@ -23,12 +23,12 @@ _LETTERS = mix(np.arange(256, dtype=np.uint64))
 _PLACES = mix(np.arange(1000, 1064, dtype=np.uint64)) | np.uint64(1)
 
 
-def batches(texts: list[str]):
-    """Runs of texts of about BATCH_CHARS characters, as (first, last) positions."""
+def batches(texts: list[str], chars: int = BATCH_CHARS):
+    """Runs of texts of about so many characters, as (first, last) positions."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text)
-        if size >= BATCH_CHARS:
+        if size >= chars:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
