@@ -168,8 +168,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     own = grams.join(shared, "gram", "left_semi").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     places = own.groupBy("id").agg(F.collect_set("place").alias("places"))
     windows = slim.join(places, "id").mapInPandas(_windows, "h long, c int, id long, place int")
-    same = Window.partitionBy("h", "c")
-    held = windows.select("id", "place", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi")).filter("lo != hi")
+    # Of what a window's documents are only the ends are gathered, by partial sums; so a passage of very many documents is no hot group.
+    ends = windows.groupBy("h", "c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi")
+    held = windows.join(ends, ["h", "c"])
     repeated = held.select("id", "place", F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
     # Merge windows of a document that overlap or touch.
     order = Window.partitionBy("id").orderBy("place")

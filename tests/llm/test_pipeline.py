@@ -58,3 +58,20 @@ def test_run_is_its_stages(spark, corpus):
     want = Counter((r["doc_id"], tuple(library.encode(r["text"] or ""))) for r in docs.collect())
     got = Counter((r["doc_id"], tuple(r["ids"])) for r in pipeline.run(spark, root).collect())
     assert got == want and len(got) > 50
+
+
+def test_run_goes_on_where_it_stopped(spark, corpus, tmp_path, monkeypatch):
+    root, _ = corpus
+    folder = str(tmp_path / "run")
+    first = Counter(r["doc_id"] for r in pipeline.run(spark, root, folder).collect())
+
+    def never(*_):
+        raise AssertionError("a finished stage ran again")
+
+    stages = [(n, never) for n, _ in pipeline.STAGES[:3]] + pipeline.STAGES[3:]
+    monkeypatch.setattr(pipeline, "STAGES", stages)
+    spark.read.parquet(f"{folder}/mixture").limit(0).write.parquet(f"{folder}/unfinished")
+    import shutil
+
+    shutil.rmtree(f"{folder}/mixture-done")
+    assert Counter(r["doc_id"] for r in pipeline.run(spark, root, folder).collect()) == first
