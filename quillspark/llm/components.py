@@ -5,28 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
-
-#: Parts into which the members of a label are dealt where they meet it, so that a giant component is many tasks.
-SALTS = 16
+from quillspark.llm.common import cut, release
 
 
 def components(links: DataFrame) -> DataFrame:
     """Of links (a, b): id and component, the smallest id it can reach. Ids without links are not listed.
 
     Each round passes the smaller label along every link, from both ends and through the label's own label, so the
-    longest chain of labels halves; rounds stop when no label changes. Links and labels stay distributed.
+    longest chain of labels halves; rounds stop when no label changes. Links and labels stay distributed. The members of a giant
+    component meet its label in a sort-merge join whose parts Spark splits as they run (adaptive skew join); what members find is combined before
+    it is sent. Each round's shuffles are let go.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("c1"))
-        # Labels are few beside their members; each is sent once to every part of them.
-        roots = labels.select(F.col("component").alias("via")).distinct()
-        jump = labels.select(F.col("id").alias("i"), F.col("component").alias("c2")).join(roots, F.col("i") == F.col("via"))
-        jump = jump.select("via", "c2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        dealt = labels.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(near, F.col("id") == F.col("a")).join(jump, (F.col("component") == F.col("via")) & (F.col("part") == F.col("salt")))
+        jump = labels.select(F.col("id").alias("via"), F.col("component").alias("c2"))
+        joined = labels.join(near, labels["id"] == near["a"]).join(jump, F.col("component") == F.col("via"))
         # The label's node also takes what its members have found.
         new = joined.select("id", "component", F.least("component", "c1", "c2").alias("best"))
         given = new.groupBy(F.col("component").alias("id2")).agg(F.min("best").alias("given"))
@@ -34,5 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         new = cut(new)
         changed = new.filter("old != component").limit(1).count()
         labels = new.select("id", "component")
+        del near, jump, joined, given, new
+        release(links.sparkSession)
         if not changed:
             return labels

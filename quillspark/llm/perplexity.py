@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, release, ship
@@ -41,6 +41,8 @@ PRIOR = 200
 #: above their mean if that is more.
 HIGH = 0.998
 SPREAD = 4.0
+#: Bins of a bit in which values are counted for quantiles.
+BINS = 2048
 #: Languages whose bounds are broadcast; beyond, they are joined.
 LANGUAGES = 10_000
 #: Characters of a block of documents, and keys asked of a shard.
@@ -435,6 +437,22 @@ def score_texts(texts: DataFrame, model: DataFrame, unknown: dict[int, float], b
     return scored.groupBy("key").agg(F.first("bits").alias("bits"), F.first("symbols").alias("symbols"))
 
 
+def upper_bounds(rows: DataFrame, keys: list[str], value: str, high: float) -> DataFrame:
+    """keys and bound: the quantile ``high`` of the values, up to 1/BINS, or SPREAD deviations above their mean if that is more.
+
+    Values are counted in bins first, so a key of very many rows comes together as its bins.
+    """
+    v = F.col(value)
+    bins = rows.groupBy(*keys, F.floor(v * BINS).alias("bin")).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
+    every = Window.partitionBy(*(keys or [F.lit(0)]))
+    upto = F.sum("n").over(every.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bins = bins.withColumns({"upto": upto, "all": F.sum("n").over(every)})
+    edge = F.min(F.when(F.col("upto") >= high * F.col("all"), (F.col("bin") + 1) / BINS))
+    centre = F.sum("s") / F.sum("n")
+    spread = F.sqrt(F.greatest(F.sum("ss") / F.sum("n") - centre * centre, F.lit(0.0)))
+    return bins.groupBy(*keys).agg(F.greatest(edge, centre + SPREAD * spread).alias("bound"), F.sum("n").alias("n")).filter("n > 0")
+
+
 def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high: float = HIGH) -> DataFrame:
     """The documents with __bits (drawn perplexity, bits a symbol), __high (bound of its language), __kept.
 
@@ -455,14 +473,14 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
     known = cut(slim.join(scores, "key").join(ids, F.col("id") == F.col("__trusted")).select("lang", "bits", "symbols"))
     mean = lambda: F.sum("bits") / F.sum("symbols")
     drawn = lambda m: (F.col("bits") + PRIOR * m) / (F.col("symbols") + PRIOR)
-    quantile = F.greatest(F.percentile_approx("d", high, 20_000), F.avg("d") + SPREAD * F.stddev_pop("d"))
     means = known.groupBy("lang").agg(mean().alias("m"))
     means = cut(means.select(F.col("lang").alias("__lang"), F.col("m").alias("__m")))
     few = (lambda df: F.broadcast(df)) if means.count() <= LANGUAGES else (lambda df: df)
-    per = known.join(few(means), F.col("lang").eqNullSafe(F.col("__lang"))).withColumn("d", drawn(F.col("__m"))).groupBy("__lang").agg(F.first("__m").alias("__m"), quantile.alias("__q"))
-    per = cut(per.select("__lang", "__m", "__q", F.lit(True).alias("__has")))
+    per = known.join(few(means), F.col("lang").eqNullSafe(F.col("__lang"))).withColumn("d", drawn(F.col("__m")))
+    per = cut(upper_bounds(per, ["__lang", "__m"], "d", high).select("__lang", "__m", F.col("bound").alias("__q"), F.lit(True).alias("__has")))
     overall = known.agg(mean().alias("m")).first()["m"] or 0.0
-    bound = known.withColumn("d", drawn(F.lit(overall))).agg(quantile.alias("q")).first()["q"]
+    all_of = upper_bounds(known.withColumn("d", drawn(F.lit(overall))), [], "d", high).first()
+    bound = all_of["bound"] if all_of else None
     marked = scores.select(F.col("key").alias("__key"), F.struct("bits", "symbols").alias("__s"))
     # What is asked of the text is asked before the join, which then moves it only if the caller keeps it.
     scored = docs.withColumns({"__text": F.xxhash64(whole), "__empty": F.length(whole) == 0}).join(marked, F.col("__text") == F.col("__key"))

@@ -361,3 +361,17 @@ def test_empty_tables(spark):
     assert pieces.encode_digest(empty, MODEL).count() == pii.find(empty, pii.Field()).count() == 0
     assert toxicity.run(empty, labels).count() == 0
     assert perplexity.judge(empty, labels.select("doc_id")).count() == 0
+
+
+def test_bounds_are_quantiles(spark):
+    rng = random.Random(31)
+    rows = [(k, rng.expovariate(1.0) + (10 if k == "b" else 0)) for k in "aab" for _ in range(3000)] + [("c", 2.5), (None, 1.0), (None, 1.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    for high in (0.5, 0.9, 0.998):
+        got = {r["k"]: r["bound"] for r in perplexity.upper_bounds(frame, ["k"], "v", high).collect()}
+        for k in {k for k, _ in rows}:
+            values = np.array(sorted(v for x, v in rows if x == k))
+            q = values[int(np.ceil(high * len(values))) - 1]
+            want = max(q, values.mean() + perplexity.SPREAD * values.std())
+            assert want <= got[k] + 1e-9 <= want + 1 / perplexity.BINS + 1e-6
+    assert perplexity.upper_bounds(frame.limit(0), [], "v", 0.5).count() == 0
