@@ -11,7 +11,6 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, jaccard_join, mixing, perplexity, pieces
 from quillspark.llm.common import shared_folder

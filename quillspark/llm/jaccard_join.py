@@ -25,7 +25,6 @@ gives an empty result. Extra columns are ignored by ``find`` and kept by ``keep_
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
