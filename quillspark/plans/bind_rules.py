@@ -127,9 +127,6 @@ def math_baseline_score(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "part").select("p_partkey", F.round(F.least(F.lit(0.95), score), 6).alias("score"))
 
 
-_WORDS = "list_distinct(string_split({}.text, ' '))"
-
-
 @register("agg_review_total", "WITH c AS (SELECT len(list_intersect(a.k, b.k)) AS tp, len(a.k) AS na, len(b.k) AS nb FROM (SELECT doc_id, list_distinct(string_split(text, ' ')) AS k FROM documents) a JOIN (SELECT doc_id - 1 AS doc_id, list_distinct(string_split(text, ' ')) AS k FROM documents) b USING (doc_id)) SELECT count(*) AS cases, round(sum(tp) / sum(nb), 6) AS micro_precision, round(sum(tp) / sum(na), 6) AS micro_recall, round(avg(tp / nb), 6) AS macro_precision, round(avg(tp / na), 6) AS macro_recall FROM c")
 def agg_review_total(spark: SparkSession, root: str) -> DataFrame:
     """Micro figures from summed counts and macro figures as means over cases."""
