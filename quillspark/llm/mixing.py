@@ -2,8 +2,8 @@
 
 Method. A source's target is its share, by weight, of a budget of words; targets stop at ``most`` times the source's own
 words and the excess is shared anew, which is water-filling: with sources ordered by cap over weight, those before the
-water level get their cap and the others weight times level. Each document then expects a number of copies. The BIG largest
-documents of a source expect whole copies, rounded from the largest down with what is left over carried on in words, so that no
+water level get their cap and the others weight times level. Each document then expects a number of copies. The largest
+documents of a source, at most BIG, expect whole copies, rounded from the largest down with what is left over carried on in words, so that no
 single text throws the source off its target; all others share the rest of the target evenly. The
 expected copies are summed along the documents of the source, one offset drawn for the source is added, and a
 document is emitted once for each integer boundary its own interval crosses, so it gets the floor or the ceiling of
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import WORD_CLASS, cut, text_or_empty
 
 BUCKET_ROWS = 512
-#: Documents of a source whose expected copies are whole.
+#: Documents of a source, at most, whose expected copies are whole.
 BIG = 256
 _BLOCK = 1024
 _ONE = 1 << 24
@@ -105,11 +105,16 @@ def mix(
 def whole_copies(rows: DataFrame, fair: DataFrame, most: int, big: int) -> DataFrame:
     """Whole copies of the largest documents of each source: source, id, size, copies, alike (rows of that id and size).
 
-    From the largest down each gets the copies nearest to what it should give and what is still owed from those before.
+    Large is a size of which the source has at most ``big`` documents of that or more, so only counts by size come together, not
+    documents. From the largest down each gets the copies nearest to what it should give and what is still owed from those before.
     """
-    groups = rows.filter("size > 0").groupBy("source", "id", "size", "h").agg(F.count("*").alias("alike"))
+    counts = rows.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("size")))
+    least = counts.withColumn("upto", upto).filter(F.col("upto") <= big).groupBy(F.col("source").alias("s")).agg(F.min("size").alias("least"))
+    large = rows.join(least, F.col("source").eqNullSafe(F.col("s"))).filter("size >= least")
+    groups = large.groupBy("source", "id", "size", "h").agg(F.count("*").alias("alike"))
     order = Window.partitionBy("source").orderBy(F.desc("size"), "h", F.col("id").asc_nulls_first())
-    top = groups.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= big)
+    top = groups.withColumn("nth", F.row_number().over(order))
     top = top.join(fair.select(F.col("source").alias("s"), "rate"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     lists = top.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("nth", "id", "size", "alike", "rate"))).alias("list"))
     start = F.struct(F.lit(0.0).alias("owed"), F.expr("cast(array() as array<bigint>)").alias("copies"))

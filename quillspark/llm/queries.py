@@ -85,10 +85,13 @@ levels AS (SELECT l.lvl FROM (
   FROM weighed a) l WHERE l.lvl <= l.ratio ORDER BY l.ratio LIMIT 1),
 fair AS (SELECT *, coalesce(target / nullif(source_size, 0), 0) AS rate
   FROM (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT lvl FROM levels)) AS target FROM weighed)),
+least AS (SELECT source, min(size) AS least
+  FROM (SELECT source, size, sum(count(*)) OVER (PARTITION BY source ORDER BY size DESC) AS upto FROM hashed WHERE size > 0 GROUP BY source, size)
+  WHERE upto <= 256 GROUP BY source),
 largest AS (SELECT g.*, f.rate, (g.size * g.alike)::DOUBLE AS words
   FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, h, doc_id NULLS FIRST) AS nth
-    FROM (SELECT source, doc_id, size, h, count(*) AS alike FROM hashed WHERE size > 0 GROUP BY ALL)) g
-  JOIN fair f ON g.source IS NOT DISTINCT FROM f.source WHERE nth <= 256),
+    FROM (SELECT d.source, doc_id, size, h, count(*) AS alike FROM hashed d JOIN least l ON d.source IS NOT DISTINCT FROM l.source WHERE size >= least GROUP BY ALL)) g
+  JOIN fair f ON g.source IS NOT DISTINCT FROM f.source),
 walk AS (
   SELECT source, doc_id, size, alike, nth, copies, rate * words - copies * words AS owed
   FROM (SELECT *, least(greatest(floor(rate * words / words + 0.5), 0), 2)::BIGINT AS copies FROM largest WHERE nth = 1)
