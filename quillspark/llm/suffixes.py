@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, ship
+from quillspark.llm.common import cut, release, ship
 from quillspark.llm.shingles import batches, mix, word_hashes
 
 LEAST = 50
@@ -164,7 +164,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = cut(classes)
     grams = slim.mapInPandas(_grams, "gram long, id long, place int, s1 long")
     grams = cut(grams)
-    shared = grams.groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo != hi").select("gram")
+    # Written first, so that the join below has plain shuffles on both sides and its parts of a very common gram can be split as it runs.
+    shared = cut(grams.groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo != hi").select("gram"))
+    release(docs.sparkSession)
     own = grams.join(shared, "gram", "left_semi").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     places = own.groupBy("id").agg(F.collect_set("place").alias("places"))
     windows = slim.join(places, "id").mapInPandas(_windows, "h long, c int, id long, place int")
