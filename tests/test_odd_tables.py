@@ -26,3 +26,10 @@ def test_packets_without_sections(spark, tmp_path):
     schema = "o_custkey long, o_orderkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string, o_orderstatus string"
     got, want = both(spark, tmp_path, "ev_packets", customer=(customers, "c_custkey long"), orders=(orders, schema))
     assert got == want and (5, 0, None, "confirmed", 0) in got
+
+
+def test_credit_code_of_rare_letters(spark, tmp_path):
+    run = "abcdefgh123456789"
+    pages = [run + "x", run + "ß", "ﬀ" + run, run + "ſı", "ŉ" + run, run + "ẞ" + run, "ß" + run + "zz<b>", run, "", None, "İ" + run + "K", "é " + 3 * run + "\n" + run]
+    got, want = both(spark, tmp_path, "str_credit_code", pages=(list(enumerate(pages)), "page_id long, html string"))
+    assert got == want and (3, run.upper() + "SI") in got
