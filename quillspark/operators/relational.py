@@ -108,12 +108,31 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int | None
     return joined.filter("start < finish AND begin < stop").withColumn("shared", F.least("stop", "finish") - F.greatest("start", "begin"))
 
 
+def _alike(rows: DataFrame, by: list[str], name: str, most: int = 128) -> DataFrame:
+    """Rows that agree in ``by`` as arrays of the rest of about ``most`` at a time; rows with a null in ``by`` are left out."""
+    rest = [F.col(c) for c in rows.columns if c not in by] or [F.lit(True).alias(f"{name}_row")]
+    rows = rows.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by]))
+    parts = rows.groupBy(*by).agg(F.ceil(F.count("*") / most).alias("__parts"))
+    large = parts.filter("__parts > 1")
+    rows = rows.join(large, by, "left").withColumn("__part", F.pmod(F.xxhash64(*rest), F.coalesce("__parts", F.lit(1))))
+    return rows.groupBy(*by, "__part").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("__part")
+
+
 def box_join(outer: DataFrame, inner: DataFrame, keys: list[str], wide: float, high: float) -> DataFrame:
-    """Boxes (x0, x1, y0, y1) with the boxes (u0, u1, v0, v1) inside them, met in the grid cell of the inner corner."""
+    """Boxes (x0, x1, y0, y1) with the boxes (u0, u1, v0, v1) inside them, met in the grid cell of the inner corner.
+
+    Equal boxes of a key meet once, as arrays of their rows; pairs of rows are only made where the boxes fit. Few bytes make many pairs, so the number
+    of tasks isn't left to sizes.
+    """
+    spark = outer.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 200)
     cells = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
-    spread = outer.withColumn("__x", cells("x0", "x1", wide)).withColumn("__y", cells("y0", "y1", high))
-    placed = inner.withColumns({"__x": F.floor(F.col("u0") / wide), "__y": F.floor(F.col("v0") / high)})
-    return spread.join(placed, [*keys, "__x", "__y"]).filter("x0 <= u0 AND x1 >= u1 AND y0 <= v0 AND y1 >= v1").drop("__x", "__y")
+    spread = _alike(outer, [*keys, "x0", "x1", "y0", "y1"], "__o").withColumn("__x", cells("x0", "x1", wide)).withColumn("__y", cells("y0", "y1", high))
+    placed = _alike(inner, [*keys, "u0", "u1", "v0", "v1"], "__i").withColumns({"__x": F.floor(F.col("u0") / wide), "__y": F.floor(F.col("v0") / high)})
+    at = [*keys, "__x", "__y"]
+    met = spread.repartition(tasks, *at).join(placed.repartition(tasks, *at), at).filter("x0 <= u0 AND x1 >= u1 AND y0 <= v0 AND y1 >= v1")
+    pairs = met.select("*", F.inline("__o")).select("*", F.inline("__i"))
+    return pairs.select(*keys, *[c for d in (outer, inner) for c in d.columns if c not in keys])
 
 
 def containment_join(a: DataFrame, b: DataFrame, left: str, right: str, opening: int = 4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from quillspark.operators import relational as R
 from quillspark.plans import registry
 
 
@@ -33,3 +34,30 @@ def test_credit_code_of_rare_letters(spark, tmp_path):
     pages = [run + "x", run + "ß", "ﬀ" + run, run + "ſı", "ŉ" + run, run + "ẞ" + run, "ß" + run + "zz<b>", run, "", None, "İ" + run + "K", "é " + 3 * run + "\n" + run]
     got, want = both(spark, tmp_path, "str_credit_code", pages=(list(enumerate(pages)), "page_id long, html string"))
     assert got == want and (3, run.upper() + "SI") in got
+
+
+def test_boxes_of_odd_sizes(spark, tmp_path):
+    prices = [900.0, 939.9, 940.0, 940.1, 980.0, -1.0, -0.0, 0.0, float("nan"), float("nan"), float("inf"), float("-inf"), 1e300, None]
+    parts = [(len(prices) * k + i, None if k == 4 else "ab"[k % 2], [10, 13, 14, None][k % 4] if i % 3 else 12, x) for k in range(6) for i, x in enumerate(prices)]
+    parts += [(None, "a", 12, 940.0), (1, "a", 12, 940.0), (1, "a", 12, 940.0), *((1000 + i, "c", 10, 940.0) for i in range(300))]
+    got, want = both(spark, tmp_path, "join_spatial", part=(parts, "p_partkey long, p_brand string, p_size int, p_retailprice double"))
+    assert got == want and len(got) > 300 * 299
+
+
+def _joined(plan) -> int:
+    """The most rows that a join of an executed plan has given out."""
+    name, below = plan.nodeName(), [plan.children().apply(i) for i in range(plan.children().size())]
+    if name == "AdaptiveSparkPlan":
+        below.append(plan.executedPlan())
+    elif name.endswith("QueryStage"):
+        below.append(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name else 0
+    return max([own, *map(_joined, below)])
+
+
+def test_equal_boxes_meet_once(spark):
+    boxes = spark.range(400).selectExpr("id AS o", "1 AS k", "0.0D AS x0", "9.0D AS x1", "id % 2 AS y0", "9.0D AS y1")
+    inside = boxes.selectExpr("o AS i", "k", "x0 + 1 AS u0", "x1 - 1 AS u1", "y0 + 0.5D AS v0", "y1 - 1 AS v1")
+    pairs = R.box_join(boxes, inside, ["k"], 5.0, 5.0)
+    assert pairs.columns[0] == "k" and len(pairs.collect()) == 3 * 200 * 200
+    assert _joined(pairs._jdf.queryExecution().executedPlan()) <= 2 * 400
