@@ -315,7 +315,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rest = a.join(b, F.expr(f"p.key = q.key AND p.id < q.id AND p.c != q.c AND {_fit('p.n', 'q.n')} AND NOT ({_apart('p', 'q')})")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     rest = rest.join(near, ["a", "b"], "left_anti")
     more = cut(_verified(rest, sets))
-    groups = components(links.union(more))
+    groups = first if more.isEmpty() else components(links.union(more))
     named = classes.join(groups, classes["rep"] == groups["id"], "left").select("n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, ["n", "s1", "s2"], "left")
     out = out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"))

@@ -198,13 +198,24 @@ def trusted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -
     return slim.join(ids.hint("merge"), F.col("id") == F.col("__trusted")).select("text", half_of(F.col("text")).alias("half"))
 
 
-def _discounted(counts: DataFrame) -> DataFrame:
-    """Counts (c) with what modified Kneser-Ney takes off each (d), by half."""
-    of = counts.groupBy("half").agg(*[F.sum((F.col("c") == i).cast("long")).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-    d = [F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)))) for i in (1, 2, 3)]
-    of = of.select("half", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])  # two rows
-    return counts.join(F.broadcast(of), "half").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+def _discounts(counts: list[DataFrame]) -> dict[tuple[int, int], list[float]]:
+    """By order and half, what modified Kneser-Ney takes off counts of 1, 2 and more; all orders in one pass, as each pass costs the driver its tasks."""
+    every = None
+    for n, counted in enumerate(counts, 1):
+        own = counted.select(F.lit(n).alias("n"), "half", "c")
+        every = own if every is None else every.union(own)
+    out = {}
+    for row in every.groupBy("n", "half").agg(*[F.sum((F.col("c") == i).cast("long")).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]).collect():  # two rows an order
+        of = [row[f"n{i}"] for i in (1, 2, 3, 4)]
+        y = of[0] / max(of[0] + 2 * of[1], 1.0)
+        out[row["n"], row["half"]] = [max(0.1, min(i - 0.1, i - (i + 1) * y * of[i] / max(of[i - 1], 1.0))) for i in (1, 2, 3)]
+    return out
+
+
+def _discounted(counts: DataFrame, off: list[list[float]]) -> DataFrame:
+    """Counts (c) with what is taken off each (d), by half."""
+    d = [F.when(F.col("half") == 0, off[0][i]).otherwise(off[1][i]) for i in range(3)]
+    return counts.withColumn("d", F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2]))
 
 
 def _shift(high: str, low: str) -> list[Column]:
@@ -236,8 +247,9 @@ def levels(texts: DataFrame, parts: int = 1) -> tuple[DataFrame, dict[int, float
         counts.insert(0, cut(counts[0].select("half", *_drop_first(n)).groupBy("half", "high", "low").agg(F.count("*").alias("c"))))
     bits = lambda x: (-F.log2(x)).alias("value")
     rows, below, unknown = None, None, {0: 0.0, 1: 0.0}
+    off = _discounts(counts)
     for n, counted in enumerate(counts, 1):
-        found = _discounted(counted).select("half", "high", "low", "c", "d", *_shift("high", "low"))
+        found = _discounted(counted, [off.get((n, half), [0.0, 0.0, 0.0]) for half in (0, 1)]).select("half", "high", "low", "c", "d", *_shift("high", "low"))
         if n == 1:
             found = found.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
         freed = cut(found.groupBy("half", "x", "y").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g"), F.count("*").alias("kinds")))
