@@ -36,6 +36,28 @@ def test_credit_code_of_rare_letters(spark, tmp_path):
     assert got == want and (3, run.upper() + "SI") in got
 
 
+def test_credit_code_by_label_then_by_word(spark, tmp_path):
+    import re
+
+    code, other = "91330183MA2CG7XR9P", "91330701MA2EA5925G"
+    label = "统一社会信用代码"
+    pages = [f"{name}{gap}{code}" for name in (label + "/组织机构代码", label, "社会信用代码") for gap in ("", "：", ":;", " \u3000\n", "\xa0\x1c\u2009\x0b")]
+    pages += [label + "：" + (code + other)[:n] for n in (14, 15, 17, 19, 25, 26)]
+    pages += [f"{other} {label}：{code}", f"{label}：无 {other} 社会信用代码 {code[:15]}", f"{label}/组织机构代码 / {code}", f"组织机构代码：{code}", f"{label}：{code.lower()} {other}", f"{label}：</td><td>{code}"]
+    pages += [f"telecommunications {code}", f"{code}1 {other}", f"码{code} {other}", f"_{code} {code}é {other}", f"𠀀{code} ({other})", f"²{code}-{other}", f"{code}\n", f"\n{code} {other}", f"x {code} {other} y", "<b>" + code + "</b>"]
+    pages += [label + "：" * 100_000 + code, label + " " * 100_000, (label + "：") * 20_000, f"{code}{other}", "", None]
+
+    def reference(text):
+        for pattern in (r"(?:统一社会信用代码/组织机构代码|统一社会信用代码|社会信用代码)[:：;\s]*([0-9A-Z]{15,25})", r"\b([0-9A-Z]{18})\b"):
+            if m := re.search(pattern, text or ""):
+                return m.group(1)
+
+    got, want = both(spark, tmp_path, "str_credit_code", pages=(list(enumerate(pages)), "page_id long, html string"))
+    assert got == want
+    named = {i: reference(text) for i, text in enumerate(pages) if reference(text)}
+    assert len(named) > 35 and {i: c for i, c in got if i in named} == named
+
+
 def test_boxes_of_odd_sizes(spark, tmp_path):
     prices = [900.0, 939.9, 940.0, 940.1, 980.0, -1.0, -0.0, 0.0, float("nan"), float("nan"), float("inf"), float("-inf"), 1e300, None]
     parts = [(len(prices) * k + i, None if k == 4 else "ab"[k % 2], [10, 13, 14, None][k % 4] if i % 3 else 12, x) for k in range(6) for i, x in enumerate(prices)]
